@@ -45,7 +45,7 @@ def timestamp_overlap(df: DataFrame, profile: Profile, strategy: str, role: str
         # An unparsable time fails under either strategy.
         failed = counts.select((F.col("bad") > 0).alias("failed"))
         out = out.crossJoin(F.broadcast(failed)).withColumn(
-            "status", F.when("failed", "FAIL").otherwise(F.col("status"))).drop("failed")
+            "status", F.when(F.col("failed"), "FAIL").otherwise(F.col("status"))).drop("failed")
     return out
 
 

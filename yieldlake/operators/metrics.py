@@ -91,8 +91,9 @@ def binary_metrics(df: DataFrame, profile: Profile, score: str, threshold: float
     """Metric record per key.  ``threshold`` is a number or a column that is constant within a key."""
     keys = list(keys or [])
     if isinstance(threshold, str):
-        held = score_curve(df, profile, score, [*keys, threshold], rows)
-        return metrics_from_curve(held, [*keys, threshold], F.col(threshold))
+        held = [*keys, "__threshold"]
+        curve = score_curve(df.withColumn("__threshold", F.col(threshold)), profile, score, held, rows)
+        return metrics_from_curve(curve, held, F.col("__threshold")).drop("__threshold")
     return metrics_from_curve(score_curve(df, profile, score, keys, rows), keys, F.lit(threshold))
 
 

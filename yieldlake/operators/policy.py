@@ -121,7 +121,7 @@ def apply_thresholds(choices: DataFrame, scored: DataFrame, profile: Profile, sc
     extra = list(extra or [])
     chosen = choices.select(*keys, *extra, F.col(threshold).alias("__chosen"))
     usable = scored.join(chosen.where("__chosen is not null"), keys)
-    measured = binary_metrics(usable, profile, score, "__chosen", [*keys, *extra]).drop("__chosen", "threshold")
+    measured = binary_metrics(usable, profile, score, "__chosen", [*keys, *extra]).drop("threshold")
     return chosen.withColumnRenamed("__chosen", "threshold").join(measured, [*keys, *extra], "left")
 
 

@@ -207,7 +207,7 @@ def group_folds(df: DataFrame, profile: Profile, ids: list[str], n_splits: int =
     positive = F.col(profile.label) == F.lit(profile.positive)
     sizes = keyed.groupBy("group").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
-    support = sizes.agg(F.count_if("pos > 0").alias("p"), F.count_if("neg > 0").alias("q")).first()
+    support = sizes.agg(F.count_if(F.col("pos") > 0).alias("p"), F.count_if(F.col("neg") > 0).alias("q")).first()
     if min(support.p, support.q) < n_splits:
         raise ContractError("each label needs at least as many groups as folds")
     dealt = None

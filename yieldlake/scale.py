@@ -194,7 +194,7 @@ def apply_cuts(df: DataFrame, cuts: DataFrame, strata: Sequence[str], ids: Seque
                     *[F.col(c).cast("string").alias(f"__id_{c}") for c in ids])
     return (
         df.withColumn("__mine", mine).join(F.broadcast(cuts), list(strata), "left")
-        .withColumn(out, 1 + F.col("__empty") + F.coalesce(
-            F.size(F.expr("filter(__cuts, c -> c < __mine)")), F.lit(0)))
+        .withColumn(out, (1 + F.col("__empty") + F.coalesce(
+            F.size(F.expr("filter(__cuts, c -> c < __mine)")), F.lit(0))).cast("int"))
         .select(*df.columns, out)
     )
