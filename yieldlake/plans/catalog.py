@@ -4,3 +4,4 @@ from .registry import QUERIES  # noqa: F401
 from . import sensor_queries  # noqa: F401
 from . import split_queries  # noqa: F401
 from . import decision_queries  # noqa: F401
+from . import wafer_queries  # noqa: F401

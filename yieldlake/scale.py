@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 ONE_TASK_ROWS_KEY = "yieldlake.oneTaskRows"
@@ -143,7 +144,8 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, count: str) -> Dat
     hot = hot_keys(lookup, count).select(
         F.col(key), F.struct(*fields).alias("__hot"))
     tagged = rows.join(F.broadcast(hot), key, "left")
-    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*rows.columns), F.lit(4096)).cast("string"))
+    simple = [f.name for f in rows.schema.fields if isinstance(f.dataType, T.AtomicType)]
+    spread = F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*simple), F.lit(4096)).cast("string"))
     tagged = tagged.withColumn(
         "__key", F.when(F.col("__hot").isNotNull() | F.col(key).isNull(), spread)
         .otherwise(F.col(key).cast("string")))

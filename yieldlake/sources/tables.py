@@ -73,7 +73,7 @@ def wafer_source(spark: SparkSession, folder: str) -> DataFrame:
     clash = rows(shaped.where(vec % 100 == 0), F.concat(F.lit("clash_"), vec.cast("string")), (F.col("k") + 1) % 9, 2)
     broken = rows(shaped.where(vec % 120 == 7), F.when(vec % 240 == 7, F.lit("  ")).otherwise(F.lit("lot_x")),
                   F.lit(0), 3).withColumn("failure_type", F.lit("unknown")).withColumn(
-        "wafer_map", F.when(F.col("position") % 8 == 3, F.expr(
+        "wafer_map", F.when(F.col("lot_name") == "lot_x", F.expr(
             "transform(wafer_map, (r, i) -> transform(r, c -> cast(if(i = 1, 3, c) as tinyint)))")).otherwise(
             F.col("wafer_map")))
     return own.unionByName(twin).unionByName(clash).unionByName(broken)
