@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import finite, known, ratio, to_long
 from ..profile import ContractError, Profile
-from ..scale import exact_quantiles, join_on, running_sum
+from ..scale import cut_lineage, exact_quantiles, join_on, running_sum
 
 WHOLE = "all"
 
@@ -103,11 +103,12 @@ def correlations(df: DataFrame, columns: list[str], keys: list[str] | None = Non
     """
     keys = list(keys or [])
     clean = df.select(*keys, *[finite(F.col(c).cast("double")).alias(c) for c in columns]).dropna(subset=columns)
-    tuples = clean.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("w"))
+    # Written once: ranks, joins and means all read it.
+    tuples = cut_lineage(clean.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("w")))
     long = tuples.select(*keys, "w", F.posexplode(F.array(*columns)).alias("pos", "v"))
     per_value = long.groupBy(*keys, "pos", "v").agg(F.sum("w").alias("n"))
-    ranked = running_sum(per_value, [F.col("v")], ["n"], [*keys, "pos"], rows).select(
-        *keys, "pos", "v", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).alias("rank"))
+    ranked = cut_lineage(running_sum(per_value, [F.col("v")], ["n"], [*keys, "pos"], rows).select(
+        *keys, "pos", "v", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).alias("rank")))
     wide = tuples
     for i, c in enumerate(columns):
         mine = ranked.where(F.col("pos") == i).select(*keys, F.col("v").alias(c), F.col("rank").alias(f"__r{i}"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dies
 from ..functions.scalars import rounded
 from ..operators import distribution
+from ..scale import cut_lineage
 from ..sources.tables import wafer_source
 from ..wafer import canonical, groups, resize, summary
 from .registry import query
@@ -38,8 +39,9 @@ mf AS (SELECT pos AS source_row_position, '{VERSION}:' || pos AS sample_id, lot
 
 
 def manifest(spark, folder):
-    return canonical.canonical_manifest(
-        wafer_source(spark, folder), VERSION, "position", "wafer_map", "failure_type", "lot_name", "wafer_index")
+    """The canonical manifest as a written table, as every audit and split reads it."""
+    return cut_lineage(canonical.canonical_manifest(
+        wafer_source(spark, folder), VERSION, "position", "wafer_map", "failure_type", "lot_name", "wafer_index"))
 
 
 @query("W1 W2 W3 W4 W5 W6 P8", f"""WITH {_SOURCE} SELECT sample_id, source_row_position, lot_id, wafer_index, pattern_label,
@@ -247,9 +249,13 @@ def duplicate_audit(spark, folder):
 
 
 def _grouped(spark, folder):
-    active = groups.without_conflicts(manifest(spark, folder).drop("map")).persist()
-    lots = groups.lot_groups(active)
-    return active, lots, groups.group_class_counts(active, lots)
+    return _groups_of(manifest(spark, folder))
+
+
+def _groups_of(rows):
+    active = cut_lineage(groups.without_conflicts(rows.drop("map")))
+    lots = cut_lineage(groups.lot_groups(active))
+    return active, lots, cut_lineage(groups.group_class_counts(active, lots))
 
 
 _SUPPORT = f"""{_CONFLICT}, {_components('ac', '1')}, gc AS (SELECT gid, class_index, COUNT(*) AS n FROM ac JOIN g1 USING (lot_id)
@@ -302,7 +308,7 @@ def assignment_candidate_totals(spark, folder):
 
 def _split_rows(spark, folder, with_map=True):
     rows = manifest(spark, folder)
-    _, lots, counts = _grouped(spark, folder)
+    _, lots, counts = _groups_of(rows)
     assignment = groups.choose_assignment(counts)
     return groups.split_manifest(rows if with_map else rows.drop("map"), lots, assignment, "p1"), lots, assignment, rows
 
@@ -410,7 +416,7 @@ def preservation_metrics(spark, folder):
 @query("W13 W15", """SELECT CAST(18 AS BIGINT) AS cells, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS gate_breaks FROM embeddings LIMIT 1""")
 def preservation_report(spark, folder):
     """Report cells of the development splits, lost regions and gate breaks at 16x16."""
-    rows = _split_rows(spark, folder)[0].persist()
+    rows = cut_lineage(_split_rows(spark, folder)[0])
     report = resize.preservation_report(resize.preservation_rows(rows, (16, 16)))
     totals = report.agg(F.count(F.lit(1)).alias("cells"),
                         F.sum(F.col("failed_region_lost") + F.col("valid_region_lost")).alias("lost"))

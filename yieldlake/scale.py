@@ -8,6 +8,7 @@ larger.  Both give the same rows.
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,7 @@ from pyspark.sql.window import Window
 
 ONE_TASK_ROWS_KEY = "yieldlake.oneTaskRows"
 ONE_TASK_ROWS = 2_000_000
+BROADCAST_ROWS = 100_000  # narrow lookup rows, a few tens of megabytes at most
 HOT_SHARE = 1000  # a key is hot when it holds more than 1/1000 of all rows
 
 
@@ -25,6 +27,11 @@ def one_task_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(ONE_TASK_ROWS_KEY, str(ONE_TASK_ROWS)))
 
 
+def broadcast_rows(spark: SparkSession) -> int:
+    """Largest counted lookup table that is broadcast whole."""
+    return int(spark.conf.get("yieldlake.broadcastRows", str(BROADCAST_ROWS)))
+
+
 def fits_one_task(df: DataFrame, rows: int | None = None) -> bool:
     """True when a count (or a known ``rows`` bound) proves that one task can hold ``df``."""
     known = df.count() if rows is None else rows
@@ -46,9 +53,16 @@ def prepare_checkpoints(spark: SparkSession) -> None:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and return it without its history."""
-    prepare_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` as a Parquet table in the checkpoint folder and read it back.
+
+    The table survives lost executors, is read by column, and its true size guides
+    later joins, which a serialized checkpoint would not give.
+    """
+    spark = df.sparkSession
+    prepare_checkpoints(spark)
+    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -136,11 +150,15 @@ def hot_keys(counts: DataFrame, count: str) -> DataFrame:
 def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, count: str) -> DataFrame:
     """Left join of ``rows`` to a one-row-per-key ``lookup`` that hot or null keys cannot skew.
 
-    ``count`` is the lookup column with the key's row count.  At most 1000 keys can
-    be hot, so those are broadcast; the others meet in an ordinary shuffle, where
+    ``count`` is the lookup column with the key's row count.  The lookup is written
+    once and counted.  A small one is broadcast.  Otherwise only its hot keys, of
+    which there are fewer than 1000, are broadcast; the others meet in an ordinary shuffle, where
     hot and null keys are spread over stand-ins that match nothing.
     """
     fields = [c for c in lookup.columns if c != key]
+    lookup = cut_lineage(lookup)
+    if lookup.count() <= broadcast_rows(rows.sparkSession):
+        return rows.join(F.broadcast(lookup), key, "left").select(*rows.columns, *fields)
     hot = hot_keys(lookup, count).select(
         F.col(key), F.struct(*fields).alias("__hot"))
     tagged = rows.join(F.broadcast(hot), key, "left")

@@ -60,12 +60,14 @@ def canonical_manifest(df: DataFrame, version: str, position: str, die_map: str,
 
 def manifest_counts(manifest: DataFrame) -> DataFrame:
     """Rows per (kind, item): row total, quality and label status, reasons and classes, in one pass."""
+    def entry(kind: str, item):
+        return F.struct(F.lit(kind).alias("kind"), item.alias("item"))
+
     entries = F.concat(
-        F.array(F.struct(F.lit("rows").alias("kind"), F.lit("all").alias("item")),
-                F.struct(F.lit("status"), F.col("quality_status")), F.struct(F.lit("status"), F.col("label_status"))),
-        F.transform("reason_codes", lambda r: F.struct(F.lit("reason").alias("kind"), r.alias("item"))),
-        F.when(F.col("label_status") == "labeled",
-               F.array(F.struct(F.lit("class").alias("kind"), F.col("pattern_label").alias("item"))))
+        F.array(entry("rows", F.lit("all")), entry("status", F.col("quality_status")),
+                entry("status", F.col("label_status"))),
+        F.transform("reason_codes", lambda r: entry("reason", r)),
+        F.when(F.col("label_status") == "labeled", F.array(entry("class", F.col("pattern_label"))))
         .otherwise(F.expr("cast(array() as array<struct<kind:string,item:string>>)")))
     return manifest.select(F.inline(entries)).groupBy("kind", "item").agg(F.count(F.lit(1)).alias("rows"))
 

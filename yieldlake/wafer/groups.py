@@ -166,7 +166,7 @@ def assignment_candidates(counts: DataFrame, config: GroupSplitConfig) -> DataFr
     give each split one, in an order that turns with the candidate, and the others
     fall into bands of cumulative size.
     """
-    groups = _matrix(counts).withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(config.candidates - 1))))
+    groups = cut_lineage(_matrix(counts)).withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(config.candidates - 1))))
     ordered = groups.withColumn("h", F.md5(F.concat_ws(
         "|", F.lit(str(config.seed)), F.col("candidate").cast("string"), F.col("gid").cast("string"))))
     ordered = ordered.withColumn("one", F.lit(1).cast("bigint"))
@@ -210,10 +210,11 @@ def choose_assignment(counts: DataFrame, config: GroupSplitConfig | None = None)
     All candidates are scored in one job; no further ones are tried when none qualifies.
     """
     config = config or GroupSplitConfig()
+    counts = cut_lineage(counts)
     support = class_group_support(counts).agg(F.min("groups").alias("g"), F.min("samples").alias("s")).first()
     if support.g < 3 or support.s <= 0:
         raise ContractError("INSUFFICIENT_CLASS_GROUPS")
-    assigned = assignment_candidates(counts, config)
+    assigned = cut_lineage(assignment_candidates(counts, config))
     best = candidate_scores(assigned, config).where("all_classes_present").agg(
         F.min(F.struct("objective", "candidate")).alias("b")).first().b
     if best is None:
