@@ -78,10 +78,8 @@ def score_folds(members: DataFrame, profile: Profile, candidates: list[Candidate
 
 def cv_members(df: DataFrame, profile: Profile, ids: list[str], n_splits: int, n_repeats: int, seed: int) -> DataFrame:
     """Every row once per repeat and fold as fit or evaluation row, with a running ``cv_fold``."""
-    folds = stratified_folds(df, profile, ids, n_splits, n_repeats, seed).select(
-        *ids, ((F.col("repeat") - 1) * n_splits + F.col("fold")).alias("home"))
-    # ids identify a row, so this join has no hot key.
-    placed = df.join(folds, ids)
+    placed = stratified_folds(df, profile, ids, n_splits, n_repeats, seed, keep=df.columns).select(
+        *df.columns, ((F.col("repeat") - 1) * n_splits + F.col("fold")).alias("home"))
     repeat = F.floor((F.col("home") - 1) / n_splits)
     every = F.transform(F.sequence(F.lit(1), F.lit(n_splits)), lambda i: (repeat * n_splits + i).cast("int"))
     return placed.withColumn("cv_fold", F.explode(every)).withColumn(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import event_time, finite, ratio, to_long, to_long_text
 from ..profile import ContractError, Profile
-from ..scale import exact_quantiles
+from ..scale import cut_lineage, exact_quantiles, fits_one_task
 
 RATIO_FLOOR = 1e-6
 # Change that counts as priority 1.0 for each measure.
@@ -76,29 +76,31 @@ def numeric_drift(df: DataFrame, features: list[str], side: str, train: str = "t
     def of(name: str, expr: Column) -> Column:
         return F.when(F.col(side) == name, expr)
 
-    stats = clean.groupBy("feature").agg(*[
-        agg for name, tag in ((train, "train"), (later, "validation")) for agg in (
-            F.avg(of(name, F.col("value").isNull().cast("int"))).alias(f"{tag}_missing_ratio"),
-            F.avg(of(name, F.col("x"))).alias(f"{tag}_mean"),
-            F.stddev_pop(of(name, F.col("x"))).alias(f"{tag}_std"))])
-    probs = [i / bins for i in range(bins + 1)]
-    quantiles = exact_quantiles(
-        clean.where(F.col("x").isNotNull()), ["feature", side], "x", [*probs, 0.5], rows)
-    wide = quantiles.groupBy("feature").agg(
-        F.max(of(train, F.col("quantiles"))).alias("q_train"),
-        F.max(of(later, F.col("quantiles"))).alias("q_later"))
-    edges = wide.select("feature", F.slice("q_train", 1, bins + 1).alias("edges"))
+    probs = [*[i / bins for i in range(bins + 1)], 0.5]
+    keys = ["feature", side]
+    moments = [F.avg(F.col("value").isNull().cast("int")).alias("missing_ratio"),
+               F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")]
+    if fits_one_task(df, rows):
+        per_side = clean.groupBy(*keys).agg(
+            *moments, F.percentile(F.col("x"), F.array(*map(F.lit, probs))).alias("q"))
+    else:
+        per_side = clean.groupBy(*keys).agg(*moments).join(
+            exact_quantiles(clean, keys, "x", probs, rows, "q"), keys)
+    # One row per feature; written, because edges and report both read it.
+    wide = cut_lineage(per_side.groupBy("feature").agg(*[
+        F.max(of(name, F.col(c))).alias(f"{tag}_{c}") for name, tag in ((train, "train"), (later, "validation"))
+        for c in ("missing_ratio", "mean", "std", "q")]))
+    edges = wide.select("feature", F.slice("train_q", 1, bins + 1).alias("edges"))
     pooled = F.sqrt((F.pow("train_std", 2) + F.pow("validation_std", 2)) / 2)
     return (
-        stats.join(wide, "feature", "left")
-        .join(psi(long, side, train, later, bins, edges), "feature", "left")
+        wide.join(psi(long, side, train, later, bins, edges), "feature", "left")
         .select(
             "feature", F.lit("numeric").alias("feature_type"),
             "train_missing_ratio", "validation_missing_ratio",
             (F.col("validation_missing_ratio") - F.col("train_missing_ratio")).alias("missing_ratio_delta"),
             "train_mean", "validation_mean",
-            F.get("q_train", F.lit(bins + 1)).alias("train_median"),
-            F.get("q_later", F.lit(bins + 1)).alias("validation_median"),
+            F.get("train_q", F.lit(bins + 1)).alias("train_median"),
+            F.get("validation_q", F.lit(bins + 1)).alias("validation_median"),
             ratio(F.col("validation_mean") - F.col("train_mean"), pooled).alias("standardized_mean_difference"),
             "population_stability_index",
             F.lit(None).cast("double").alias("unseen_category_ratio"),

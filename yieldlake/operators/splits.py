@@ -175,9 +175,13 @@ def random_group_split(df: DataFrame, groups: list[str], seed: int = 42, role: s
 
 
 def stratified_folds(df: DataFrame, profile: Profile, ids: list[str], n_splits: int = 5, n_repeats: int = 1,
-                     seed: int = 42) -> DataFrame:
-    """Fold membership ``(ids, label, repeat, fold)``: per label, fold sizes differ by at most one."""
-    labeled = df.select(*ids, profile.label, F.col(profile.label).cast("string").alias("stratum"))
+                     seed: int = 42, keep: list[str] | None = None) -> DataFrame:
+    """Fold membership ``(ids, label, keep..., repeat, fold)``: per label, fold sizes differ by at most one.
+
+    Columns in ``keep`` travel along, so the wide rows need no join to learn their folds.
+    """
+    fields = [*ids, profile.label, *[c for c in (keep or []) if c not in (*ids, profile.label)]]
+    labeled = df.select(*fields, F.col(profile.label).cast("string").alias("stratum"))
     counts = labeled.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
     worst = counts.agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("k")).first()
     if worst.k < 2 or worst.n < n_splits:
@@ -191,7 +195,7 @@ def stratified_folds(df: DataFrame, profile: Profile, ids: list[str], n_splits:
         out = apply_cuts(out, cuts, ["stratum"], ids, seed + repeat, f"__fold{repeat}")
     folds = F.array(*[F.struct(F.lit(r + 1).alias("repeat"), F.col(f"__fold{r}").alias("fold"))
                       for r in range(n_repeats)])
-    return out.select(*ids, profile.label, F.inline(folds))
+    return out.select(*fields, F.inline(folds))
 
 
 def group_folds(df: DataFrame, profile: Profile, ids: list[str], n_splits: int = 5, n_repeats: int = 1,

@@ -206,7 +206,7 @@ def weight_and_depth_grid(spark, folder):
     return evaluation.compare_later_period(train, later, NUMERIC_PROFILE, grid, SENSORS, IDS, 0.3)
 
 
-@query("F9", f"""WITH {sql.B1} SELECT TRUE AS size_near_expected, CAST(2 AS BIGINT) AS labels FROM b1 LIMIT 1""")
+@query("F9", f"""WITH {sql.B1} SELECT TRUE AS size_near_expected, COUNT(DISTINCT label) AS labels FROM b1""")
 def bootstrap_rows(spark, folder):
     frame = sensor_frame(spark, folder)
     drawn = poisson_bootstrap(frame, IDS, 1, 42)

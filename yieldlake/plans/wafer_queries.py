@@ -313,7 +313,7 @@ def _split_rows(spark, folder, with_map=True):
     return groups.split_manifest(rows if with_map else rows.drop("map"), lots, assignment, "p1"), lots, assignment, rows
 
 
-@query("T16", """SELECT CAST(0 AS BIGINT) AS lot_id_overlap, CAST(0 AS BIGINT) AS map_hash_overlap FROM embeddings LIMIT 1""")
+@query("T16", """SELECT CAST(0 AS BIGINT) AS lot_id_overlap, CAST(0 AS BIGINT) AS map_hash_overlap FROM (SELECT COUNT(*) AS n FROM embeddings) t""")
 def assignment_overlap(spark, folder):
     active, lots, counts = _grouped(spark, folder)
     return groups.assignment_overlap(active, lots, groups.choose_assignment(counts))
@@ -413,7 +413,7 @@ def preservation_metrics(spark, folder):
     return rounded(measured.select("sample_id", *resize.preservation(F.col("map"), F.col("resized"))))
 
 
-@query("W13 W15", """SELECT CAST(18 AS BIGINT) AS cells, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS gate_breaks FROM embeddings LIMIT 1""")
+@query("W13 W15", """SELECT CAST(18 AS BIGINT) AS cells, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS gate_breaks FROM (SELECT COUNT(*) AS n FROM embeddings) t""")
 def preservation_report(spark, folder):
     """Report cells of the development splits, lost regions and gate breaks at 16x16."""
     rows = cut_lineage(_split_rows(spark, folder)[0])

@@ -147,15 +147,18 @@ def hot_keys(counts: DataFrame, count: str) -> DataFrame:
         F.col(count) * HOT_SHARE > F.col("__all")).drop("__all")
 
 
-def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, count: str) -> DataFrame:
+def lookup_join(rows: DataFrame, lookup: DataFrame, key: str, count: str, bound: int | None = None) -> DataFrame:
     """Left join of ``rows`` to a one-row-per-key ``lookup`` that hot or null keys cannot skew.
 
-    ``count`` is the lookup column with the key's row count.  The lookup is written
-    once and counted.  A small one is broadcast.  Otherwise only its hot keys, of
-    which there are fewer than 1000, are broadcast; the others meet in an ordinary shuffle, where
-    hot and null keys are spread over stand-ins that match nothing.
+    ``count`` is the lookup column with the key's row count.  A lookup whose size the
+    caller bounds is broadcast when the bound is small; otherwise it is written once
+    and counted.  Of a large one only the hot keys, fewer than 1000, are broadcast;
+    the others meet in an ordinary shuffle, where hot and null keys are spread over
+    stand-ins that match nothing.
     """
     fields = [c for c in lookup.columns if c != key]
+    if bound is not None and bound <= broadcast_rows(rows.sparkSession):
+        return rows.join(F.broadcast(lookup), key, "left").select(*rows.columns, *fields)
     lookup = cut_lineage(lookup)
     if lookup.count() <= broadcast_rows(rows.sparkSession):
         return rows.join(F.broadcast(lookup), key, "left").select(*rows.columns, *fields)

@@ -55,17 +55,17 @@ def _star_edges(active: DataFrame) -> DataFrame:
         F.col("lot_id").alias("u"), F.col("first").alias("v")).distinct()
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, size: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
-    return lookup_join(both.where("v > u"), least, "u", "n").where("v <> m").select(
+    return lookup_join(both.where("v > u"), least, "u", "n", 2 * size).where("v <> m").select(
         F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, size: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     least = down.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-    moved = lookup_join(down, least, "u", "n").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = lookup_join(down, least, "u", "n", 2 * size).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
@@ -76,15 +76,21 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     of rounds that grows with the logarithm of its size.  No neighbour list is ever
     collected; each round is written to the checkpoint folder.
     """
+    def state_of(table: DataFrame):
+        return table.agg(F.count(F.lit(1)).alias("n"),
+                         F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+
     current = cut_lineage(edges)
-    mark = None
+    mark = state_of(current)
     for _ in range(max_rounds):
-        current = cut_lineage(_small_star(_large_star(current)))
-        state = current.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-                            .alias("h")).first()
-        if mark == (state.n, state.h):
+        if not mark.n:
+            return current
+        # Neither step adds edges, so the edge count bounds its tables of nodes.
+        current = cut_lineage(_small_star(_large_star(current, mark.n), mark.n))
+        state = state_of(current)
+        if state == mark:
             return current
-        mark = (state.n, state.h)
+        mark = state
     raise RuntimeError("connected groups did not converge")
 
 
