@@ -52,17 +52,21 @@ def prepare_checkpoints(spark: SparkSession) -> None:
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
 
 
+def scratch_path(spark: SparkSession) -> str:
+    """A new location in the checkpoint folder that every executor can reach."""
+    prepare_checkpoints(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a Parquet table in the checkpoint folder and read it back.
 
     The table survives lost executors, is read by column, and its true size guides
     later joins, which a serialized checkpoint would not give.
     """
-    spark = df.sparkSession
-    prepare_checkpoints(spark)
-    path = f"{spark.sparkContext.getCheckpointDir()}/tables/{uuid.uuid4().hex}"
+    path = scratch_path(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

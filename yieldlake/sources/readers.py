@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.scalars import nan_to_null
 from ..profile import ContractError
+from ..scale import cut_lineage, running_sum
 from ..wafer.summary import EDA_FIELDS
 
 Adapter = Callable[[SparkSession, "Ingestion"], DataFrame]
@@ -56,10 +57,16 @@ def scan_delimited(spark: SparkSession, source: TextSource, schema: T.StructType
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with their position; numbering needs the file order, which only a line-wise scan keeps."""
-    lines = spark.read.text(path).rdd.map(lambda r: r.value).zipWithIndex()
-    schema = "value string, row_pos bigint"
-    return spark.createDataFrame(lines, schema).where(F.length(F.trim("value")) > 0)
+    """Non-blank lines with their position over the part files in name order.
+
+    File, block start and the row number inside the scan task give the order; it is
+    written once so that a repeated scan cannot number the lines anew.
+    """
+    lines = cut_lineage(spark.read.text(path).select(
+        "value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at"),
+        F.lit(1).cast("bigint").alias("one")).where(F.length(F.trim("value")) > 0))
+    ranked = running_sum(lines, [F.col("file_path"), F.col("file_block_start"), F.col("at")], ["one"])
+    return ranked.select("value", (F.col("cum_one") - 1).alias("row_pos"))
 
 
 @adapter("feature_metadata_pair")
