@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldlake.llm import chat, hosts, mixing, sentence_pieces
+from yieldlake.llm import (chat, fingerprints, hosts, language_id, mixing, ngram_join, sentence_pieces,
+                           vector_forest, warc)
 from yieldlake.llm.registry import query, table
 
+@query()
+def op1_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang").withColumn(
+        "held_out", language_id.held_out(F.col("doc_id")))
+    model = language_id.train(docs.where(~F.col("held_out")))
+    return language_id.identify(docs.select("doc_id", "text", "held_out"), model).select(
+        "doc_id", "held_out", "lang_pred", "score", "accepted")
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, coalesce('s' || source, 't') AS k,
@@ -165,3 +175,35 @@ def op10_sentence_pieces(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers
     return sentence_pieces.piece_digests(
         table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query()
+def op4_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints.fingerprint_neighbours(table(spark, folder, "documents"))
+
+
+@query()
+def op5_near_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_forest.near_vectors(table(spark, folder, "embeddings"))
+
+
+WARC_SQL = """
+WITH sized AS (
+  SELECT page_id, coalesce(octet_length(encode(html)), 0) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+firsts AS (SELECT payload_digest, min(page_id) AS first_page FROM sized WHERE payload_bytes >= 100 GROUP BY payload_digest)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN first_page <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN first_page <> page_id THEN first_page END AS refers_to
+FROM sized LEFT JOIN firsts USING (payload_digest)
+"""
+
+
+@query(WARC_SQL)
+def op7_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archive_pages(table(spark, folder, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, folder, "documents"))
