@@ -8,13 +8,33 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from yieldlake.llm import mixing, sentence_pieces
+from yieldlake.llm import language_id, line_dedup, mixing, ngram_join, sentence_pieces
 from yieldlake.scale import cut_lineage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the model accepts."""
+    docs = docs.select(*COLUMNS)
+    model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
+    return language_id.identify(docs, model).where("accepted").select(*COLUMNS)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that occurred before; documents of such lines alone go."""
+    return line_dedup.kept_documents(docs.select(*COLUMNS))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of similar ones."""
+    docs = docs.select(*COLUMNS)
+    gone = ngram_join.similar_documents(docs).where("component_id <> doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.mixed_documents(docs.select(*COLUMNS))
@@ -25,9 +45,15 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return sentence_pieces.piece_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
-STAGES = [("mix_sources", mix_sources), ("encode_pieces", encode_pieces)]
+STAGES = [
+    ("keep_known_language", keep_known_language),
+    ("drop_repeated_lines", drop_repeated_lines),
+    ("drop_near_duplicates", drop_near_duplicates),
+    ("mix_sources", mix_sources),
+    ("encode_pieces", encode_pieces),
+]
 
-ORACLE_SQL = None  # language models and piece tables have no SQL form
+ORACLE_SQL = None  # a trained language model and piece tables have no SQL form
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

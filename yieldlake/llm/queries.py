@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldlake.llm import (chat, fingerprints, hosts, language_id, mixing, ngram_join, sentence_pieces,
+from yieldlake.llm import (chat, fingerprints, hosts, language_id, line_dedup, mixing, ngram_join, sentence_pieces,
                            vector_forest, warc)
 from yieldlake.llm.registry import query, table
 
@@ -207,3 +207,36 @@ def op7_warc_archives(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op8_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.similar_documents(table(spark, folder, "documents"))
+
+
+LINES_SQL = r"""
+WITH split AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line FROM documents),
+long AS (
+  SELECT doc_id, line, norm FROM (
+    SELECT doc_id, line, lower(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm FROM split)
+  WHERE length(norm) >= 20),
+classes AS (SELECT norm, count(*) AS n, min((doc_id, line)) AS first_place, length(norm) AS size FROM long GROUP BY norm),
+halves AS (
+  SELECT DISTINCT norm, first_place, unnest(['a' || left(norm, m), 'b' || right(norm, m)]) AS key
+  FROM (SELECT norm, first_place, unnest([size // 2, (size - 1) // 2]) AS m FROM classes)),
+near AS (
+  SELECT DISTINCT l.norm FROM halves l JOIN halves e ON l.key = e.key AND e.first_place < l.first_place
+  WHERE abs(length(l.norm) - length(e.norm)) <= 1 AND levenshtein(l.norm, e.norm) <= 1),
+gone AS (
+  SELECT DISTINCT o.doc_id, o.line FROM long o JOIN classes c USING (norm) LEFT JOIN near n ON n.norm = o.norm
+  WHERE n.norm IS NOT NULL OR (o.doc_id, o.line) <> c.first_place),
+kept AS (
+  SELECT s.doc_id, string_agg(s.raw, chr(10) ORDER BY s.line) FILTER (g.line IS NULL) AS text, count(*) AS n_lines,
+         count(g.line) AS gone_lines
+  FROM split s LEFT JOIN gone g ON g.doc_id = s.doc_id AND g.line = s.line GROUP BY s.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0)::INT AS n_lines, coalesce(gone_lines, 0)::INT AS gone_lines,
+       sha256(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(k.text, '') END) AS text_sha256
+FROM documents d LEFT JOIN kept k USING (doc_id)
+"""
+
+
+@query(LINES_SQL)
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text")).select(
+        "doc_id", "n_lines", "gone_lines", F.sha2("text", 256).alias("text_sha256"))
