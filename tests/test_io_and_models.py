@@ -143,3 +143,58 @@ def test_selectors_and_results_sink(spark, frame, tmp_path):
     sinks.write_results({"comparison": done, "none": None}, str(tmp_path / "out"), note="x")
     assert spark.read.parquet(str(tmp_path / "out" / "comparison")).first().average_precision > 0.9
     assert spark.read.parquet(str(tmp_path / "out" / "run")).first().tables == "comparison"
+
+
+def test_scans_reject_what_they_cannot_read(spark, tmp_path):
+    two = tmp_path / "two"
+    two.mkdir()
+    (two / "part-0.csv").write_text("a,b\n1,2\n")
+    (two / "part-1.csv").write_text("b,a\n20,10\n")
+    with pytest.raises(ContractError):
+        readers.read_sensor_csv(spark, str(two)).collect()
+    quoted = tmp_path / "quoted.csv"
+    quoted.write_text('"a,x",b\n1,2\n')
+    assert readers.read_sensor_csv(spark, str(quoted)).columns == ["a,x", "b"]
+    for text in ("a,b\n1,2,3\n", "a,b\n1\n", "a,b\n1,abc\n"):
+        bad = tmp_path / "bad.csv"
+        bad.write_text(text)
+        with pytest.raises(ContractError):
+            readers.read_sensor_csv(spark, str(bad)).collect()
+    schema = T.StructType([T.StructField(n, T.DoubleType()) for n in "abc"])
+    for text in ("1 2 3\n4 5\n", "1 2 3\n6 7 8 9\n"):
+        lines = tmp_path / "lines.txt"
+        lines.write_text(text)
+        with pytest.raises(Exception, match="does not have 3 fields"):
+            readers.scan_delimited(spark, readers.TextSource(str(lines), r"\s+"), schema).collect()
+    features, labels = tmp_path / "f.txt", tmp_path / "l.txt"
+    plan = readers.Ingestion("feature_metadata_pair", {
+        "features": readers.TextSource(str(features), r"\s+"), "metadata": readers.TextSource(str(labels), r"\s+")},
+        {"metadata_columns": ["label", "stamp"]})
+    for first, second in (("1 abc\n2 3\n", '1 "d"\n2 "e"\n'), ("1 2\n2 3\n", '1 "d" x\n2 "e"\n')):
+        features.write_text(first)
+        labels.write_text(second)
+        with pytest.raises(ContractError):
+            readers.build_canonical(spark, plan)
+
+
+def test_l1_penalty_shrinks(spark):
+    from yieldlake.ml.models import Candidate, fit
+    from yieldlake.profile import Profile
+    rows = [(i, float(i % 7), float((i * 13) % 11), 1 if (i % 7) > 4 and i % 3 else -1) for i in range(120)]
+    frame = spark.createDataFrame(rows, "row_id int, sensor_0 double, sensor_1 double, label int")
+    profile = Profile("p", label="label", negative=-1, positive=1, timestamp=None, excluded=("row_id",), feature_prefix="sensor_")
+    plain = fit(frame, profile, Candidate("a", "logistic_regression"), ["sensor_0", "sensor_1"]).model
+    for mode in ("none", "balanced"):
+        model = fit(frame, profile, Candidate("b", "logistic_regression_l1", weight_mode=mode), ["sensor_0", "sensor_1"])
+        assert model.model.getRegParam() == pytest.approx(1 / model.weights["total"]) and model.model.getElasticNetParam() == 1.0
+    penalised = fit(frame, profile, Candidate("b", "logistic_regression_l1"), ["sensor_0", "sensor_1"]).model
+    assert sum(map(abs, penalised.coefficients)) < sum(map(abs, plain.coefficients))
+
+
+def test_constants_without_exact_binary_form(spark):
+    from yieldlake.operators import distribution, quality
+    from yieldlake.profile import Profile
+    frame = spark.createDataFrame([(0.1, float(i), 0.0 if i % 2 else -0.0, i % 2) for i in range(9)], "a double, b double, sensor_z double, label int")
+    assert {r.correlation for r in distribution.correlations(frame, ["a", "b"]).collect()} == {None}
+    profile = Profile("p", label="label", negative=0, positive=1, timestamp=None, feature_prefix="sensor_")
+    assert [r.status for r in quality.feature_profile(frame.select("sensor_z", "label"), profile).collect()] == ["removed_constant"]

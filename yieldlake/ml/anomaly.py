@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import metrics, policy
-from ..operators.splits import fold_membership, time_blocks
+from ..operators.splits import fold_membership, fold_periods, time_blocks
 from ..profile import ContractError, Evaluation, Profile
 from ..scale import cut_lineage
 from .evaluation import tagged, union_all
@@ -172,25 +172,20 @@ def compare_anomalies(df: DataFrame, profile: Profile, features: list[str], ids:
                       detectors: tuple[str, ...] = DETECTORS, outer_splits: int = 3, inner_splits: int = 2,
                       trees: int = 200) -> dict[str, DataFrame]:
     """Nested time comparison of detectors: F1 diagnostic and policy thresholds come from the past only."""
-    outer = cut_lineage(fold_membership(time_blocks(df, profile, outer_splits), outer_splits)
-                        .withColumnRenamed("fold", "outer_fold").drop("block"))
+    blocked = cut_lineage(time_blocks(df, profile, outer_splits))
     columns = [*ids, profile.label]
 
-    def scored(members: DataFrame, name: str, **tags) -> DataFrame:
-        model = fit_detector(members.where("fold_role = 'fit'"), profile, name, features, ids, settings, trees)
-        return tagged(model.score(members.where("fold_role = 'evaluation'")).select(*columns, SCORE),
-                      model_name=name, **tags)
+    def scored(rows: DataFrame, block: str, fold: int, name: str, **tags) -> DataFrame:
+        model = fit_detector(rows.where(F.col(block) < fold), profile, name, features, ids, settings, trees)
+        return tagged(model.score(rows.where(F.col(block) == fold)).select(*columns, SCORE), model_name=name, **tags)
 
     folds = range(1, outer_splits + 1)
-    future = run_all([lambda f=f, n=n: scored(outer.where(F.col("outer_fold") == f), n, outer_fold=f)
+    future = run_all([lambda f=f, n=n: scored(blocked, "block", f, n, outer_fold=f)
                       for f in folds for n in detectors])
     inner = []
     for f in folds:
-        past = outer.where((F.col("outer_fold") == f) & (F.col("fold_role") == "fit")).drop("fold_role", "outer_fold")
-        members = cut_lineage(fold_membership(time_blocks(past, profile, inner_splits), inner_splits).withColumnRenamed(
-            "fold", "inner_fold"))
-        inner += run_all([lambda i=i, n=n, m=members, f=f: scored(
-            m.where(F.col("inner_fold") == i), n, outer_fold=f, inner_fold=i)
+        past = time_blocks(blocked.where(F.col("block") < f), profile, inner_splits, "inner_block")
+        inner += run_all([lambda i=i, n=n, p=past, f=f: scored(p, "inner_block", i, n, outer_fold=f, inner_fold=i)
             for i in range(1, inner_splits + 1) for n in detectors])
     keys = ["model_name", "outer_fold"]
     predictions, oof = cut_lineage(union_all(future)), cut_lineage(union_all(inner))
@@ -201,7 +196,8 @@ def compare_anomalies(df: DataFrame, profile: Profile, features: list[str], ids:
     outcome = policy.policy_outcome(policy.select_policy_threshold(table, settings.policy, keys), predictions, profile,
                                     SCORE, keys, settings.policy)
     return {"predictions": predictions, "oof_predictions": oof, "threshold_compare": table, "fold_results": results,
-            "summary": metrics.fold_summary(results, ["model_name"]), "policy_selection": outcome}
+            "summary": metrics.fold_summary(results, ["model_name"]), "policy_selection": outcome,
+            "folds": fold_periods(fold_membership(blocked, outer_splits).withColumnRenamed("fold", "outer_fold"), profile, ["outer_fold"])}
 
 
 def with_supervised(anomaly_summary: DataFrame, supervised_summary: DataFrame, anomaly_periods: DataFrame,

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import event_time, ratio
 from ..operators import leakage, metrics, policy
-from ..operators.splits import fold_membership, fold_periods, recent_rows, stratified_folds, time_blocks
+from ..operators.splits import fold_membership, fold_periods, recent_rows, stratified_homes, time_blocks
 from ..profile import ContractError, Evaluation, Profile
 from ..scale import cut_lineage
 from .models import Candidate, Fitted, fit, run_all
@@ -53,19 +54,42 @@ class Scored:
     selected: DataFrame | None
 
 
-def score_folds(members: DataFrame, profile: Profile, candidates: list[Candidate], features: list[str], ids: list[str],
+@dataclass
+class FoldRows:
+    """Rows stored once, and which of them fit and which evaluate a fold."""
+
+    rows: DataFrame
+    fit: Callable[[int], Column]
+    evaluation: Callable[[int], Column]
+
+
+def time_fold_rows(blocked: DataFrame, block: str = "block") -> FoldRows:
+    """Fold i evaluates block i and fits on all earlier blocks."""
+    return FoldRows(blocked, lambda f: F.col(block) < f, lambda f: F.col(block) == f)
+
+
+def cv_fold_rows(df: DataFrame, profile: Profile, ids: list[str], n_splits: int, n_repeats: int, seed: int) -> FoldRows:
+    """Stratified repeats under one running fold number; the rows carry their fold of each repeat."""
+    placed = cut_lineage(stratified_homes(df, profile, ids, n_splits, n_repeats, seed, "__homes"))
+
+    def home(f: int) -> Column:
+        return F.get("__homes", F.lit((f - 1) // n_splits)) == (f - 1) % n_splits + 1
+
+    return FoldRows(placed, lambda f: ~home(f), home)
+
+
+def score_folds(members: FoldRows, profile: Profile, candidates: list[Candidate], features: list[str], ids: list[str],
                 fold: str, folds: list[int], keep: list[str] | None = None, role: str = "oof") -> Scored:
-    """Fit each candidate on every fold's ``fit`` rows and score its ``evaluation`` rows.
+    """Fit each candidate on every fold's fit rows and score its evaluation rows.
 
     The folds of all candidates run as concurrent jobs; predictions are written once.
     """
-    spark = members.sparkSession
+    spark = members.rows.sparkSession
     columns = [*ids, profile.label, *(keep or [])]
 
     def job(c: Candidate, f: int):
-        mine = members.where(F.col(fold) == f)
-        model = fit(mine.where("fold_role = 'fit'"), profile, c, features, ids)
-        scored = model.score(mine.where("fold_role = 'evaluation'")).select(*columns, SCORE)
+        model = fit(members.rows.where(members.fit(f)), profile, c, features, ids)
+        scored = model.score(members.rows.where(members.evaluation(f))).select(*columns, SCORE)
         tags = {"model_name": c.name, fold: f}
         return (tagged(scored, **tags), fit_record(model, spark, **tags, fit_role=role),
                 selection_rows(model, spark, **tags, fit_role=role, fit_id=f"{c.name}:{role}:{f}"))
@@ -76,20 +100,10 @@ def score_folds(members: DataFrame, profile: Profile, candidates: list[Candidate
                   union_all(chosen) if chosen else None)
 
 
-def cv_members(df: DataFrame, profile: Profile, ids: list[str], n_splits: int, n_repeats: int, seed: int) -> DataFrame:
-    """Every row once per repeat and fold as fit or evaluation row, with a running ``cv_fold``."""
-    placed = stratified_folds(df, profile, ids, n_splits, n_repeats, seed, keep=df.columns).select(
-        *df.columns, ((F.col("repeat") - 1) * n_splits + F.col("fold")).alias("home"))
-    repeat = F.floor((F.col("home") - 1) / n_splits)
-    every = F.transform(F.sequence(F.lit(1), F.lit(n_splits)), lambda i: (repeat * n_splits + i).cast("int"))
-    return placed.withColumn("cv_fold", F.explode(every)).withColumn(
-        "fold_role", F.when(F.col("cv_fold") == F.col("home"), "evaluation").otherwise("fit")).drop("home")
-
-
 def compare_candidates(df: DataFrame, profile: Profile, candidates: list[Candidate], features: list[str],
                        ids: list[str], settings: Evaluation) -> dict[str, DataFrame]:
     """Repeated-CV comparison: metrics per fold, mean and population deviation per model."""
-    members = cut_lineage(cv_members(df, profile, ids, settings.n_splits, settings.n_repeats, settings.seed))
+    members = cv_fold_rows(df, profile, ids, settings.n_splits, settings.n_repeats, settings.seed)
     done = score_folds(members, profile, candidates, features, ids, "cv_fold",
                        list(range(1, settings.n_splits * settings.n_repeats + 1)))
     per_fold = metrics.binary_metrics(done.predictions, profile, SCORE, settings.default_threshold, ["model_name", "cv_fold"])
@@ -105,7 +119,7 @@ def oof_scores(df: DataFrame, profile: Profile, candidate: Candidate, features:
                settings: Evaluation, method: str = "single") -> DataFrame:
     """One out-of-fold score per row: a single repeat, or the mean over repeats."""
     repeats = 1 if method == "single" else settings.n_repeats
-    members = cut_lineage(cv_members(df, profile, ids, settings.n_splits, repeats, settings.seed))
+    members = cv_fold_rows(df, profile, ids, settings.n_splits, repeats, settings.seed)
     done = score_folds(members, profile, [candidate], features, ids, "cv_fold",
                        list(range(1, settings.n_splits * repeats + 1)))
     scores = metrics.mean_scores(done.predictions, [*ids, profile.label], SCORE)
@@ -123,23 +137,22 @@ def compare_temporal(df: DataFrame, profile: Profile, candidates: list[Candidate
     Fits run per (fold, model); everything after the scores is one job over all keys.
     """
     leakage.require_train_role(df)
-    outer = cut_lineage(fold_membership(time_blocks(df, profile, outer_splits), outer_splits)
-                        .withColumnRenamed("fold", "outer_fold").drop("block"))
+    blocked = cut_lineage(time_blocks(df, profile, outer_splits))
+    outer = fold_membership(blocked, outer_splits).withColumnRenamed("fold", "outer_fold")
     folds = list(range(1, outer_splits + 1))
-    done = score_folds(outer, profile, candidates, features, ids, "outer_fold", folds, role="outer_fit")
+    done = score_folds(time_fold_rows(blocked), profile, candidates, features, ids, "outer_fold", folds, role="outer_fit")
     inner_parts, inner_fits = [], []
     for f in folds:
-        past = outer.where((F.col("outer_fold") == f) & (F.col("fold_role") == "fit")).drop("fold_role", "outer_fold")
+        past = blocked.where(F.col("block") < f)
         for mode in modes:
             if mode == "temporal_oof":
-                members = fold_membership(time_blocks(past, profile, inner_splits), inner_splits).withColumnRenamed(
-                    "fold", "inner_fold")
+                # Inner blocks are time cuts, a column of the stored rows.
+                members = time_fold_rows(time_blocks(past, profile, inner_splits, "inner_block"), "inner_block")
                 inner_folds = list(range(1, inner_splits + 1))
             else:
-                members = cv_members(past, profile, ids, settings.n_splits, 1, settings.seed).withColumnRenamed(
-                    "cv_fold", "inner_fold")
+                members = cv_fold_rows(past, profile, ids, settings.n_splits, 1, settings.seed)
                 inner_folds = list(range(1, settings.n_splits + 1))
-            scored = score_folds(cut_lineage(members), profile, candidates, features, ids, "inner_fold", inner_folds,
+            scored = score_folds(members, profile, candidates, features, ids, "inner_fold", inner_folds,
                                  role="inner_oof")
             inner_parts.append(tagged(scored.predictions, outer_fold=f, mode=mode))
             inner_fits.append(tagged(scored.fits, outer_fold=f, mode=mode))
@@ -170,7 +183,8 @@ def compare_temporal(df: DataFrame, profile: Profile, candidates: list[Candidate
 def compare_later_period(train: DataFrame, later: DataFrame, profile: Profile, candidates: list[Candidate],
                          features: list[str], ids: list[str], threshold: float) -> DataFrame:
     """Fit on Train, score a later period, one metric row per model under a fixed threshold."""
-    members = tagged(train, fold_role="fit").unionByName(tagged(later, fold_role="evaluation")).withColumn("period", F.lit(1))
+    rows = tagged(train, fold_role="fit").unionByName(tagged(later, fold_role="evaluation"))
+    members = FoldRows(rows, lambda f: F.col("fold_role") == "fit", lambda f: F.col("fold_role") == "evaluation")
     done = score_folds(members, profile, candidates, features, ids, "period", [1])
     return metrics.binary_metrics(done.predictions, profile, SCORE, threshold, ["model_name"])
 
@@ -185,22 +199,22 @@ def relative_ap_loss(results: DataFrame, baseline: str) -> DataFrame:
 def compare_recent_windows(df: DataFrame, profile: Profile, candidate: Candidate, features: list[str], ids: list[str],
                            windows: list[int], outer_splits: int = 3, threshold: float = 0.5) -> DataFrame:
     """Fit on the last days before each fold only; a window without both labels stays as a skipped row."""
-    members = cut_lineage(fold_membership(time_blocks(df, profile, outer_splits), outer_splits).drop("block"))
+    blocked = cut_lineage(time_blocks(df, profile, outer_splits))
+    members = fold_membership(blocked, outer_splits).drop("block")
     ts = event_time(members, profile.timestamp, profile.timestamp_format)
     failed = F.col(profile.label) == F.lit(profile.positive)
-    later = members.where("fold_role = 'evaluation'")
-    frames, facts = [], []
+    facts = []
     for days in windows:
         past = recent_rows(members, profile, days).select(members.columns)
-        both = past.unionByName(later).withColumn("window_days", F.lit(days))
-        frames.append(both)
         facts.append(tagged(past, window_days=days).groupBy("fold", "window_days").agg(
             F.count(F.lit(1)).alias("train_samples"), F.count_if(failed).alias("train_fail"),
             F.min(ts).alias("train_start"), F.max(ts).alias("train_end")))
     facts_all = cut_lineage(union_all(facts))
-    usable = [(r.fold, r.window_days) for r in facts_all.where("train_fail > 0 and train_fail < train_samples").collect()]
-    every = union_all(frames).withColumn("unit", F.col("fold") * 100000 + F.col("window_days"))
-    done = score_folds(every, profile, [candidate], features, ids, "unit", sorted(f * 100000 + d for f, d in usable))
+    usable = facts_all.where("train_fail > 0 and train_fail < train_samples").collect()  # folds times windows
+    since = {r.fold * 100000 + r.window_days: r.train_start for r in usable}
+    every = FoldRows(blocked, lambda u: (F.col("block") < u // 100000) & (ts >= F.lit(since[u])),
+                     lambda u: F.col("block") == u // 100000)
+    done = score_folds(every, profile, [candidate], features, ids, "unit", sorted(since))
     scored = metrics.binary_metrics(done.predictions, profile, SCORE, threshold, ["model_name", "unit"]).withColumns({
         "fold": F.floor(F.col("unit") / 100000).cast("int"), "window_days": (F.col("unit") % 100000).cast("int")})
     return facts_all.join(scored.drop("unit"), ["fold", "window_days"], "left").withColumns({

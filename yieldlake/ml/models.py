@@ -58,11 +58,13 @@ def top_k_candidates(base: Candidate, sizes=TOP_K_SIZES) -> list[Candidate]:
     return [replace(base, name=f"{base.name}_top_{k}", top_k=k) for k in sizes]
 
 
-def build_classifier(c: Candidate):
+def build_classifier(c: Candidate, total_weight: float):
+    """Unfitted classifier; an L1 penalty of strength 1 against the summed loss is 1 / total weight on the mean loss."""
     common = {"featuresCol": "features_vector", "labelCol": "__y", "weightCol": "__w"}
     if c.classifier in ("logistic_regression_l1", "logistic_regression"):
-        penalty = 1.0 if c.classifier.endswith("l1") else 0.0
-        return LogisticRegression(maxIter=c.max_iter, elasticNetParam=penalty, **common)
+        if not c.classifier.endswith("l1"):
+            return LogisticRegression(maxIter=c.max_iter, **common)
+        return LogisticRegression(maxIter=c.max_iter, elasticNetParam=1.0, regParam=1.0 / total_weight, **common)
     if c.classifier == "random_forest" or c.classifier in LEAF_VARIANTS:
         return RandomForestClassifier(numTrees=c.trees, maxDepth=c.depth, seed=c.seed,
                                       minInstancesPerNode=LEAF_VARIANTS.get(c.classifier, 1), **common)
@@ -80,9 +82,20 @@ def class_weight(df: DataFrame, profile: Profile, mode: str) -> dict[str, float]
         raise ContractError("the fit rows need both labels")
     if mode == "balanced":
         total = n.p + n.n
-        return {"positive": total / (2 * n.p), "negative": total / (2 * n.n), "rows": total}
+        return {"positive": total / (2 * n.p), "negative": total / (2 * n.n), "rows": total, "total": float(total)}
     ratio = {"none": 1.0, "sqrt_ratio": (n.n / n.p) ** 0.5, "ratio": n.n / n.p}[mode]
-    return {"positive": ratio, "negative": 1.0, "rows": n.p + n.n}
+    return {"positive": ratio, "negative": 1.0, "rows": n.p + n.n, "total": ratio * n.p + n.n}
+
+
+def class_weight_table(df: DataFrame, profile: Profile, keys: list[str]) -> DataFrame:
+    """``(keys, mode, positive_weight)`` of every weight mode, from one aggregation."""
+    label = F.col(profile.label)
+    counts = df.groupBy(*keys).agg(F.count_if(label == F.lit(profile.positive)).alias("p"),
+                                   F.count_if(label == F.lit(profile.negative)).alias("n"))
+    share = F.col("n") / F.col("p")
+    modes = F.array(*[F.struct(F.lit(m).alias("mode"), w.cast("double").alias("positive_weight"))
+                      for m, w in (("none", F.lit(1.0)), ("sqrt_ratio", F.sqrt(share)), ("ratio", share))])
+    return counts.select(*keys, F.inline(modes))
 
 
 def with_target(df: DataFrame, profile: Profile, weights: dict[str, float]) -> DataFrame:
@@ -125,14 +138,14 @@ def importances(model, names: list[str]) -> list[tuple[str, float]]:
     return sorted(pairs, key=lambda p: -abs(p[1]))
 
 
-def _selector_model(c: Candidate, kind: str, prepared: DataFrame, rows: float):
+def _selector_model(c: Candidate, kind: str, prepared: DataFrame, total_weight: float):
     common = {"featuresCol": "features_vector", "labelCol": "__y", "weightCol": "__w"}
     if kind == "forest":
         return RandomForestClassifier(numTrees=c.trees, maxDepth=c.selector_depth, seed=c.seed,
                                       minInstancesPerNode=c.selector_leaf, **common).fit(prepared)
     if kind == "gain":
         return GBTClassifier(maxIter=c.trees, maxDepth=c.selector_depth, stepSize=0.1, seed=c.seed, **common).fit(prepared)
-    return LogisticRegression(maxIter=c.max_iter, elasticNetParam=1.0, regParam=1.0 / max(rows, 1.0), **common).fit(prepared)
+    return LogisticRegression(maxIter=c.max_iter, elasticNetParam=1.0, regParam=1.0 / total_weight, **common).fit(prepared)
 
 
 def poisson_bootstrap(df: DataFrame, ids: list[str], repeat: int, seed: int) -> DataFrame:
@@ -143,7 +156,7 @@ def poisson_bootstrap(df: DataFrame, ids: list[str], repeat: int, seed: int) ->
     """
     unit = (F.pmod(F.xxhash64(F.lit(seed), F.lit(repeat), *ids), F.lit(1 << 40)) + 0.5) / float(1 << 40)
     steps, term, total = [], 2.718281828459045 ** -1, 0.0
-    for k in range(12):
+    for k in range(16):  # beyond, the tail is smaller than the draw's resolution
         term = term / k if k else term
         total += term
         steps.append(total)
@@ -163,7 +176,7 @@ def stable_selection(df: DataFrame, profile: Profile, c: Candidate, features: li
                            dropConstant=profile.drop_constant).fit(sample)
         weights = class_weight(sample, profile, c.weight_mode)
         model = _selector_model(replace(c, seed=c.seed + repeat), kind,
-                                prep.transform(with_target(sample, profile, weights)), weights["rows"])
+                                prep.transform(with_target(sample, profile, weights)), weights["total"])
         return {n: (i, v) for i, (n, v) in enumerate(importances(model, prep.get("features")), 1)}
 
     runs = run_all([lambda r=r: one(r) for r in range(c.repeats)])
@@ -195,7 +208,7 @@ def fit(df: DataFrame, profile: Profile, c: Candidate, features: list[str], ids:
         names = prep.slot_names()
         if c.top_k is not None and c.top_k > len(names):
             raise ContractError(f"Top-K of {c.top_k} exceeds {len(names)} features")
-        ranked = importances(_selector_model(c, c.selector, prep.transform(target), weights["rows"]), names)
+        ranked = importances(_selector_model(c, c.selector, prep.transform(target), weights["total"]), names)
         chosen = [p for p in ranked if p[1] != 0.0] if c.selector == "l1" else ranked[:c.top_k]
         selected = [{"feature": n, "selection_rank": i, "selection_importance": v,
                      "feature_space": "raw_sensor" if n in numeric else "transformed_feature"}
@@ -222,7 +235,7 @@ def fit(df: DataFrame, profile: Profile, c: Candidate, features: list[str], ids:
     prepared = prep.transform(target)
     for stage in stages:
         prepared = stage.transform(prepared)
-    return Fitted(c, prep, build_classifier(c).fit(prepared), weights, selected, stages)
+    return Fitted(c, prep, build_classifier(c, weights["total"]).fit(prepared), weights, selected, stages)
 
 
 def pca_to_variance(prepared: DataFrame, width: int, share: float, column: str = "all_features_vector"):

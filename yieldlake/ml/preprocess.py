@@ -16,6 +16,8 @@ from ..functions.scalars import known, to_long, to_long_text
 from ..profile import ContractError
 from ..scale import exact_quantiles
 
+MAX_LEVELS = 10_000  # slots that all categorical features together may add to the vector
+
 
 def _one_hot(levels: Column, value: Column) -> Column:
     return F.transform(levels, lambda level: (level == value).cast("double"))
@@ -92,8 +94,10 @@ class FeaturePrep(Estimator, _PrepParams, DefaultParamsReadable, DefaultParamsWr
             F.count(F.lit(1)).alias("n"))
         modes = {r.feature: r.mode for r in counts.groupBy("feature").agg(
             F.min_by("value", F.struct(-F.col("n"), F.col("value"))).alias("mode")).collect()}
-        # One entry per declared category of the fit rows: the width of the encoded vector.
-        found = sorted((r.feature, r.value) for r in counts.select("feature", "value").collect())
+        # One entry per category is one slot of the encoded vector, which has a declared width.
+        found = sorted((r.feature, r.value) for r in counts.select("feature", "value").limit(MAX_LEVELS + 1).collect())
+        if len(found) > MAX_LEVELS:
+            raise ContractError(f"the categorical features {columns} have more than {MAX_LEVELS} levels")
         return [modes.get(c, "") for c in columns], [f"{f}={v}" for c in columns for f, v in found if f == c]
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import finite, known, ratio, to_long
 from ..profile import ContractError, Profile
-from ..scale import cut_lineage, exact_quantiles, join_on, running_sum
+from ..scale import cut_lineage, exact_quantiles, join_on, lookup_join, running_sum
 
 WHOLE = "all"
 
@@ -102,22 +102,27 @@ def correlations(df: DataFrame, columns: list[str], keys: list[str] | None = Non
     or a constant column give null.
     """
     keys = list(keys or [])
-    clean = df.select(*keys, *[finite(F.col(c).cast("double")).alias(c) for c in columns]).dropna(subset=columns)
+    clean = df.select(*keys, *[(finite(F.col(c).cast("double")) + F.lit(0.0)).alias(c) for c in columns]).dropna(subset=columns)
     # Written once: ranks, joins and means all read it.
     tuples = cut_lineage(clean.groupBy(*keys, *columns).agg(F.count(F.lit(1)).alias("w")))
     long = tuples.select(*keys, "w", F.posexplode(F.array(*columns)).alias("pos", "v"))
     per_value = long.groupBy(*keys, "pos", "v").agg(F.sum("w").alias("n"))
     ranked = cut_lineage(running_sum(per_value, [F.col("v")], ["n"], [*keys, "pos"], rows).select(
-        *keys, "pos", "v", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).alias("rank")))
+        *keys, "pos", "v", "n", (F.col("cum_n") - F.col("n") + (F.col("n") + 1) / 2).alias("rank")))
+    def value_key(column: str):
+        return F.concat_ws("|", *[F.coalesce(F.concat(F.lit("k"), F.col(k).cast("string")), F.lit("n")) for k in keys],
+                           (F.col(column) + F.lit(0.0)).cast("string"))
+
     wide = tuples
     for i, c in enumerate(columns):
-        mine = ranked.where(F.col("pos") == i).select(*keys, F.col("v").alias(c), F.col("rank").alias(f"__r{i}"))
-        wide = wide.join(mine, [*keys, c])
+        # A value may be as frequent as the whole group, so its rank is looked up, not joined on a hot key.
+        mine = ranked.where(F.col("pos") == i).select(value_key("v").alias("__value"), F.col("rank").alias(f"__r{i}"), F.col("n").alias("__n"))
+        wide = lookup_join(wide.withColumn("__value", value_key(c)), mine, "__value", "__n").drop("__value", "__n")
     pairs = list(combinations(range(len(columns)), 2))
     # Centring on the group means keeps the second moments accurate for large ranks.
     means = _means(wide, columns, keys)
     wide = join_on(wide, means, keys)
-    aggs = [F.sum("w").alias("rows")]
+    aggs = [F.sum("w").alias("rows"), *[(F.min(c) == F.max(c)).alias(f"__same{i}") for i, c in enumerate(columns)]]
     for i, j in pairs:
         for method, a, b in (("p", f"__c{i}", f"__c{j}"), ("s", f"__d{i}", f"__d{j}")):
             aggs.append(F.sum(F.col("w") * F.col(a) * F.col(b)).alias(f"{method}_{i}_{j}"))
@@ -133,7 +138,9 @@ def correlations(df: DataFrame, columns: list[str], keys: list[str] | None = Non
     for method, name in (("p", "pearson"), ("s", "spearman")):
         for i, j in pairs:
             scale = F.sqrt(F.col(f"{method}_{i}")) * F.sqrt(F.col(f"{method}_{j}"))
-            value = F.when(F.col("rows") >= 3, ratio(F.col(f"{method}_{i}_{j}"), scale))
+            # A centred constant need not sum to zero exactly, so constants are found by their range.
+            varied = (F.col("rows") >= 3) & ~F.col(f"__same{i}") & ~F.col(f"__same{j}")
+            value = F.when(varied, ratio(F.col(f"{method}_{i}_{j}"), scale))
             cells.append(F.struct(F.lit(name).alias("method"), F.lit(columns[i]).alias("first"),
                                   F.lit(columns[j]).alias("second"), value.alias("correlation")))
     return sums.select(*keys, "rows", F.inline(F.array(*cells)))

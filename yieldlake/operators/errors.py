@@ -79,6 +79,7 @@ def compare_error_features(cases: DataFrame, features: list[str], drift: DataFra
         F.desc_nulls_last("drift_priority_score"), F.desc_nulls_last("absolute_fn_vs_tn_smd"), "feature")
 
 
-def fn_drift_candidates(compared: DataFrame, limit: int = 20) -> DataFrame:
-    """Sensors whose missed failures differ most from true negatives."""
-    return compared.orderBy(F.desc_nulls_last("absolute_fn_vs_tn_smd"), "feature").limit(limit)
+def fn_drift_candidates(compared: DataFrame, limit: int | None = None) -> DataFrame:
+    """Sensors by how far missed failures differ from true negatives; the first ``limit`` where one is given."""
+    ranked = compared.orderBy(F.desc_nulls_last("absolute_fn_vs_tn_smd"), "feature")
+    return ranked if limit is None else ranked.limit(limit)

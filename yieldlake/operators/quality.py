@@ -76,7 +76,8 @@ def feature_profile(df: DataFrame, profile: Profile, exact_unique: bool = True)
     """
     features = profile.features(df.columns)
     numeric = [f for f in features if f not in profile.categorical]
-    long = to_long(df, numeric).select("feature", F.col("value").cast("string").alias("value"))
+    # Adding zero makes -0.0 and 0.0 one value.
+    long = to_long(df, numeric).select("feature", (F.col("value") + F.lit(0.0)).cast("string").alias("value"))
     if profile.categorical:
         from ..functions.scalars import to_long_text
         long = long.unionByName(to_long_text(df, list(profile.categorical)).select("feature", "value"))

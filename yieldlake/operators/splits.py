@@ -174,14 +174,10 @@ def random_group_split(df: DataFrame, groups: list[str], seed: int = 42, role: s
         "__part", "stratum")
 
 
-def stratified_folds(df: DataFrame, profile: Profile, ids: list[str], n_splits: int = 5, n_repeats: int = 1,
-                     seed: int = 42, keep: list[str] | None = None) -> DataFrame:
-    """Fold membership ``(ids, label, keep..., repeat, fold)``: per label, fold sizes differ by at most one.
-
-    Columns in ``keep`` travel along, so the wide rows need no join to learn their folds.
-    """
-    fields = [*ids, profile.label, *[c for c in (keep or []) if c not in (*ids, profile.label)]]
-    labeled = df.select(*fields, F.col(profile.label).cast("string").alias("stratum"))
+def stratified_homes(df: DataFrame, profile: Profile, ids: list[str], n_splits: int = 5, n_repeats: int = 1,
+                     seed: int = 42, out: str = "homes") -> DataFrame:
+    """Each row once, with the array of its fold per repeat; per label, fold sizes differ by at most one."""
+    labeled = df.withColumn("stratum", F.col(profile.label).cast("string"))
     counts = labeled.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
     worst = counts.agg(F.min("n").alias("n"), F.count(F.lit(1)).alias("k")).first()
     if worst.k < 2 or worst.n < n_splits:
@@ -189,13 +185,19 @@ def stratified_folds(df: DataFrame, profile: Profile, ids: list[str], n_splits:
     quotas = counts.select("stratum", F.inline(F.array(*[
         F.struct(F.lit(j).alias("part"), F.floor(F.col("n") * j / n_splits).cast("bigint").alias("upto"))
         for j in range(1, n_splits)])))
-    out = labeled
+    placed = labeled
     for repeat in range(n_repeats):
         cuts = quota_cuts(labeled, quotas, ["stratum"], ids, seed + repeat)
-        out = apply_cuts(out, cuts, ["stratum"], ids, seed + repeat, f"__fold{repeat}")
-    folds = F.array(*[F.struct(F.lit(r + 1).alias("repeat"), F.col(f"__fold{r}").alias("fold"))
-                      for r in range(n_repeats)])
-    return out.select(*fields, F.inline(folds))
+        placed = apply_cuts(placed, cuts, ["stratum"], ids, seed + repeat, f"__fold{repeat}")
+    return placed.select(*df.columns, F.array(*[F.col(f"__fold{r}") for r in range(n_repeats)]).alias(out))
+
+
+def stratified_folds(df: DataFrame, profile: Profile, ids: list[str], n_splits: int = 5, n_repeats: int = 1,
+                     seed: int = 42) -> DataFrame:
+    """Fold membership ``(ids, label, repeat, fold)``, one row per row and repeat."""
+    placed = stratified_homes(df.select(*ids, profile.label), profile, ids, n_splits, n_repeats, seed)
+    return placed.select(*ids, profile.label, F.posexplode("homes").alias("repeat", "fold")).withColumn(
+        "repeat", F.col("repeat") + 1)
 
 
 def group_folds(df: DataFrame, profile: Profile, ids: list[str], n_splits: int = 5, n_repeats: int = 1,

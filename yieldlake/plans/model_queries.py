@@ -8,7 +8,7 @@ from ..functions.scalars import rounded
 from ..ml import anomaly, evaluation
 from ..ml.evaluation import SCORE
 from ..ml.inference import FrozenScorer, input_violations, score_gap
-from ..ml.models import Candidate, class_weight, fit, importances, pca_to_variance, poisson_bootstrap, weight_grid
+from ..ml.models import Candidate, class_weight_table, fit, importances, pca_to_variance, poisson_bootstrap, weight_grid
 from ..ml.preprocess import FeaturePrep
 from ..operators import errors, metrics
 from ..operators.splits import fold_membership, random_split, time_blocks, time_split
@@ -21,8 +21,9 @@ from .registry import query
 FAST = Candidate("logistic", "logistic_regression", max_iter=15)
 FOREST = Candidate("forest", "random_forest", trees=5, depth=4)
 BOOSTED = Candidate("boosted", "boosted_trees", trees=3, depth=3)
-SETTINGS = Evaluation(n_splits=2, n_repeats=1, policy=ThresholdPolicy(0.5, 0.6))
+SETTINGS = Evaluation(n_splits=3, n_repeats=2, policy=ThresholdPolicy(0.5, 0.6))
 IDS = ["row_id"]
+CV_CANDIDATES = [FAST, Candidate("forest_top_2", "logistic_regression", selector="forest", top_k=2, trees=5, max_iter=15)]
 
 
 def _parts(spark, folder):
@@ -79,11 +80,8 @@ c AS (SELECT fold, COUNT(*) FILTER (label = -1) / CAST(COUNT(*) FILTER (label =
 SELECT fold, 'none' AS mode, CAST(1 AS DOUBLE) AS positive_weight FROM c UNION ALL SELECT fold, 'sqrt_ratio', ROUND(SQRT(r), 6) FROM c
 UNION ALL SELECT fold, 'ratio', ROUND(r, 6) FROM c""")
 def class_weights_by_fold(spark, folder):
-    members = cut_lineage(fold_membership(time_blocks(sensor_frame(spark, folder), NUMERIC_PROFILE, 3), 3)
-                          .where("fold_role = 'fit'").select("fold", "label"))
-    rows = [(f, mode, class_weight(members.where(F.col("fold") == f), NUMERIC_PROFILE, mode)["positive"])
-            for f in (1, 2, 3) for mode in ("none", "sqrt_ratio", "ratio")]
-    return rounded(spark.createDataFrame(rows, "fold int, mode string, positive_weight double"))
+    members = fold_membership(time_blocks(sensor_frame(spark, folder), NUMERIC_PROFILE, 3), 3).where("fold_role = 'fit'")
+    return rounded(class_weight_table(members, NUMERIC_PROFILE, ["fold"]))
 
 
 @query("F5 F6")
@@ -117,7 +115,7 @@ def later_period_comparison(spark, folder):
 @query("L6 L7 L8")
 def repeated_cv_comparison(spark, folder):
     train, _ = _parts(spark, folder)
-    done = evaluation.compare_candidates(train, NUMERIC_PROFILE, [FAST], SENSORS, IDS, SETTINGS)
+    done = evaluation.compare_candidates(train, NUMERIC_PROFILE, CV_CANDIDATES, SENSORS, IDS, SETTINGS)
     return done["summary"]
 
 
@@ -134,7 +132,7 @@ def oof_score_rows(spark, folder):
 @query("L9 L11 M14")
 def nested_time_evaluation(spark, folder):
     frame = sensor_frame(spark, folder)
-    done = evaluation.compare_temporal(frame, NUMERIC_PROFILE, [FAST], SENSORS, IDS, SETTINGS)
+    done = evaluation.compare_temporal(frame, NUMERIC_PROFILE, CV_CANDIDATES, SENSORS, IDS, SETTINGS)
     return done["fold_results"]
 
 
@@ -142,13 +140,13 @@ def nested_time_evaluation(spark, folder):
 def fixed_against_reselected_sensors(spark, folder):
     """Sensors fixed on the first past against sensors chosen again, on identical later rows."""
     frame = sensor_frame(spark, folder)
-    members = cut_lineage(fold_membership(time_blocks(frame, NUMERIC_PROFILE, 3), 3).drop("block"))
-    first = fit(members.where("fold = 1 and fold_role = 'fit'"), NUMERIC_PROFILE,
+    blocked = cut_lineage(time_blocks(frame, NUMERIC_PROFILE, 3))
+    first = fit(blocked.where("block < 1"), NUMERIC_PROFILE,
                 Candidate("pick", "logistic_regression", selector="forest", top_k=2, trees=5, max_iter=10), SENSORS)
     names = tuple(s["feature"] for s in first.selected)
     candidates = [Candidate("fixed", "logistic_regression", selector="fixed", fixed=names, max_iter=10),
                   Candidate("again", "logistic_regression", selector="forest", top_k=2, trees=5, max_iter=10)]
-    done = evaluation.score_folds(members, NUMERIC_PROFILE, candidates, SENSORS, IDS, "fold", [2, 3])
+    done = evaluation.score_folds(evaluation.time_fold_rows(blocked), NUMERIC_PROFILE, candidates, SENSORS, IDS, "fold", [2, 3])
     results = metrics.binary_metrics(done.predictions, NUMERIC_PROFILE, SCORE, 0.07, ["model_name", "fold"])
     return evaluation.paired_ap_delta(results, "fixed", "again", "fold")
 
@@ -173,7 +171,7 @@ def missing_mode_comparison(spark, folder):
 def stable_selection(spark, folder):
     train, _ = _parts(spark, folder)
     model = fit(train, NUMERIC_PROFILE, Candidate(
-        "stable", "logistic_regression", selector="stable_forest", top_k=2, trees=5, repeats=3, max_iter=10), SENSORS, IDS)
+        "stable", "logistic_regression", selector="stable_forest", top_k=2, trees=20, repeats=10, max_iter=10), SENSORS, IDS)
     return evaluation.selection_rows(model, spark, model_name="stable")
 
 
@@ -202,7 +200,7 @@ def sensor_count_curve(spark, folder):
 @query("L3")
 def weight_and_depth_grid(spark, folder):
     train, later = _parts(spark, folder)
-    grid = [c for c in weight_grid(Candidate("boosted", "boosted_trees", trees=2)) if c.name.startswith("M3")]
+    grid = weight_grid(Candidate("boosted", "boosted_trees", trees=2))
     return evaluation.compare_later_period(train, later, NUMERIC_PROFILE, grid, SENSORS, IDS, 0.3)
 
 
@@ -225,15 +223,17 @@ def pca_reconstruction_scores(spark, folder):
 @query("L17")
 def isolation_forest_scores(spark, folder):
     train, later = _parts(spark, folder)
-    model = anomaly.fit_forest_detector(train, NUMERIC_PROFILE, SENSORS, IDS, trees=20)
+    model = anomaly.fit_forest_detector(train, NUMERIC_PROFILE, SENSORS, IDS, trees=100)
     return model.score(later).select("row_id", "label", anomaly.SCORE)
 
 
 @query("L18 L19")
 def anomaly_time_comparison(spark, folder):
-    done = anomaly.compare_anomalies(
-        sensor_frame(spark, folder), NUMERIC_PROFILE, SENSORS, IDS, SETTINGS, detectors=("pca_reconstruction",))
-    return done["fold_results"]
+    """Both detectors and a supervised model over the same periods, one summary row each."""
+    frame = sensor_frame(spark, folder)
+    found = anomaly.compare_anomalies(frame, NUMERIC_PROFILE, SENSORS, IDS, SETTINGS, trees=50)
+    known = evaluation.compare_temporal(frame, NUMERIC_PROFILE, [FAST], SENSORS, IDS, SETTINGS)
+    return anomaly.with_supervised(found["summary"], known["summary"].where("mode <> 'default'"), found["folds"], known["folds"])
 
 
 @query("L20 L23", f"""WITH {sql.B1}, {sql.split()} SELECT row_id, TRUE AS decision_matches, TRUE AS label_matches FROM sp
@@ -294,7 +294,6 @@ def matched_reference_blocks(spark, folder):
     """Reference scores on stored fold blocks, rebuilt by joining on the saved row ids."""
     blocked = time_blocks(sensor_frame(spark, folder), NUMERIC_PROFILE, 2)
     stored = cut_lineage(blocked.select("row_id", "block"))
-    rebuilt = sensor_frame(spark, folder).join(stored, "row_id")
-    members = cut_lineage(fold_membership(rebuilt, 2).drop("block"))
-    done = evaluation.score_folds(members, NUMERIC_PROFILE, [FAST], SENSORS, IDS, "fold", [1, 2])
+    rebuilt = cut_lineage(sensor_frame(spark, folder).join(stored, "row_id"))
+    done = evaluation.score_folds(evaluation.time_fold_rows(rebuilt), NUMERIC_PROFILE, [FAST], SENSORS, IDS, "fold", [1, 2])
     return metrics.binary_metrics(done.predictions, NUMERIC_PROFILE, SCORE, 0.07, ["model_name", "fold"])

@@ -53,7 +53,7 @@ def class_distribution(spark, folder):
     ROUND(COUNT(*) FILTER ({c} IS NULL) / CAST(COUNT(*) AS DOUBLE), 6) AS missing_rate FROM b1"""
     for c in ["row_id", "ts", "grp", "label", *sql.FEATURES, "machine"]))
 def missing_summary(spark, folder):
-    return rounded(quality.missing_summary(sensor_frame(spark, folder), limit=30))
+    return rounded(quality.missing_summary(sensor_frame(spark, folder)))
 
 
 @query("Q3 Q9", """WITH t AS (SELECT CASE WHEN event_id % 50 = 0 THEN NULL WHEN event_id % 50 = 1 THEN 'not a time'

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dies
 from ..functions.scalars import rounded
 from ..operators import distribution
-from ..scale import cut_lineage
+from ..scale import cut_lineage, scratch_path
 from ..sources.tables import wafer_source
 from ..wafer import canonical, groups, resize, summary
 from .registry import query
@@ -39,9 +39,9 @@ mf AS (SELECT pos AS source_row_position, '{VERSION}:' || pos AS sample_id, lot
 
 
 def manifest(spark, folder):
-    """The canonical manifest as a written table, as every audit and split reads it."""
-    return cut_lineage(canonical.canonical_manifest(
-        wafer_source(spark, folder), VERSION, "position", "wafer_map", "failure_type", "lot_name", "wafer_index"))
+    """The canonical manifest; it stays lazy, so a query reads only the columns that it needs."""
+    return canonical.canonical_manifest(
+        wafer_source(spark, folder), VERSION, "position", "wafer_map", "failure_type", "lot_name", "wafer_index")
 
 
 @query("W1 W2 W3 W4 W5 W6 P8", f"""WITH {_SOURCE} SELECT sample_id, source_row_position, lot_id, wafer_index, pattern_label,
@@ -307,10 +307,13 @@ def assignment_candidate_totals(spark, folder):
 
 
 def _split_rows(spark, folder, with_map=True):
-    rows = manifest(spark, folder)
+    """The split without maps, which join by sample at the end where they are wanted."""
+    whole = manifest(spark, folder)
+    rows = cut_lineage(whole.drop("map"))
     _, lots, counts = _groups_of(rows)
     assignment = groups.choose_assignment(counts)
-    return groups.split_manifest(rows if with_map else rows.drop("map"), lots, assignment, "p1"), lots, assignment, rows
+    split = groups.split_manifest(rows, lots, assignment, "p1")
+    return split.join(whole.select("sample_id", "map"), "sample_id") if with_map else split, lots, assignment, rows
 
 
 @query("T16", """SELECT CAST(0 AS BIGINT) AS lot_id_overlap, CAST(0 AS BIGINT) AS map_hash_overlap FROM (SELECT COUNT(*) AS n FROM embeddings) t""")
@@ -415,9 +418,9 @@ def preservation_metrics(spark, folder):
 
 @query("W13 W15", """SELECT CAST(18 AS BIGINT) AS cells, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS gate_breaks FROM (SELECT COUNT(*) AS n FROM embeddings) t""")
 def preservation_report(spark, folder):
-    """Report cells of the development splits, lost regions and gate breaks at 16x16."""
+    """Report cells of the development splits, lost regions and gate breaks at model size."""
     rows = cut_lineage(_split_rows(spark, folder)[0])
-    report = resize.preservation_report(resize.preservation_rows(rows, (16, 16)))
+    report = cut_lineage(resize.preservation_report(resize.preservation_rows(rows)))
     totals = report.agg(F.count(F.lit(1)).alias("cells"),
                         F.sum(F.col("failed_region_lost") + F.col("valid_region_lost")).alias("lost"))
     return totals.crossJoin(resize.check_gate(report, rows).agg(F.count(F.lit(1)).alias("gate_breaks")))
@@ -426,14 +429,19 @@ def preservation_report(spark, folder):
 @query("W14")
 def resize_examples(spark, folder):
     rows = _split_rows(spark, folder)[0]
-    return resize.example_picks(resize.preservation_rows(rows, (16, 16)))
+    return resize.example_picks(resize.preservation_rows(rows))
 
 
 @query("W16 S8", f"""WITH {_CONFLICT} SELECT COUNT(*) AS rows, CAST(0 AS BIGINT) AS repeated_ids, CAST(0 AS BIGINT) AS wrong_shape,
 CAST(0 AS BIGINT) AS wrong_values, CAST(0 AS BIGINT) AS defect_outside_valid, CAST(0 AS BIGINT) AS wrong_class,
 CAST(0 AS BIGINT) AS wrong_split FROM ac WHERE quality_status = 'accepted' AND label_status = 'labeled'""")
 def input_table_contract(spark, folder):
-    return resize.input_violations(resize.input_table(_split_rows(spark, folder)[0], (16, 16)), (16, 16))
+    """The gated input table at model size, written by split and read back."""
+    rows = cut_lineage(_split_rows(spark, folder)[0])
+    report = cut_lineage(resize.preservation_report(resize.preservation_rows(rows)))
+    path = scratch_path(spark)
+    resize.write_input_table(rows, report, path)
+    return resize.input_violations(spark.read.parquet(path))
 
 
 @query("S8")

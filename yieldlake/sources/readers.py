@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -50,10 +51,13 @@ def scan_delimited(spark: SparkSession, source: TextSource, schema: T.StructType
         return nan_to_null((reader.schema(schema) if schema else reader).csv(source.path))
     if schema is None:
         raise ContractError("a pattern separator needs a schema")
-    parts = F.split(F.trim("value"), source.sep)
-    fields = [F.nullif(F.get(parts, F.lit(i)), F.lit("NaN")).cast(f.dataType).alias(f.name)
+    width = len(schema.fields)
+    cut = F.split(F.trim("value"), source.sep)
+    parts = F.when(F.size(cut) == width, cut).otherwise(F.raise_error(F.concat(
+        F.lit(f"a line does not have {width} fields: "), F.substring("value", 1, 80))).cast("array<string>"))
+    fields = [F.nullif(F.get("parts", F.lit(i)), F.lit("NaN")).cast(f.dataType).alias(f.name)
               for i, f in enumerate(schema.fields)]
-    return spark.read.text(source.path).where(F.length(F.trim("value")) > 0).select(*fields)
+    return spark.read.text(source.path).where(F.length(F.trim("value")) > 0).select(parts.alias("parts")).select(*fields)
 
 
 def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -75,16 +79,21 @@ def feature_metadata_pair(spark: SparkSession, plan: Ingestion) -> DataFrame:
     features, metadata = plan.sources["features"], plan.sources["metadata"]
     names = list(plan.options["metadata_columns"])
     prefix = str(plan.options.get("prefix", "sensor_"))
-    left = _numbered_lines(spark, features.path)
-    parts = F.split(F.trim("value"), features.sep)
-    widths = left.agg(F.min(F.size(parts)).alias("lo"), F.max(F.size(parts)).alias("hi")).first()
+    # Each line is split once; a token that is no number stands out as a null that was not "NaN".
+    left = _numbered_lines(spark, features.path).select("row_pos", F.split(F.trim("value"), features.sep).alias("parts"))
+    wrong = F.exists("parts", lambda t: (t != "NaN") & t.try_cast("double").isNull())
+    widths = left.agg(F.min(F.size("parts")).alias("lo"), F.max(F.size("parts")).alias("hi"), F.count_if(wrong).alias("bad")).first()
     if widths.lo is None or widths.lo != widths.hi:
         raise ContractError("feature rows differ in width")
-    values = left.select("row_pos", *[
-        F.expr(f"try_cast(nullif(try_element_at(split(trim(value), '{_sql(features.sep)}'), {i + 1}), 'NaN') as double)")
-        .alias(f"{prefix}{i}") for i in range(widths.lo)])
+    if widths.bad:
+        raise ContractError(f"{widths.bad} feature rows hold a token that is no number")
+    numbers = left.select("row_pos", F.transform("parts", lambda t: F.nullif(t, F.lit("NaN")).cast("double")).alias("parts"))
+    values = numbers.select("row_pos", *[F.get("parts", F.lit(i)).alias(f"{prefix}{i}") for i in range(widths.lo)])
     right = _numbered_lines(spark, metadata.path)
-    cut = F.split(F.trim("value"), metadata.sep, len(names))
+    # Separators inside double quotes belong to the value.
+    cut = F.split(F.trim("value"), f'(?:{metadata.sep})(?=(?:[^"]*"[^"]*")*[^"]*$)')
+    if not right.where(F.size(cut) != len(names)).isEmpty():
+        raise ContractError(f"a metadata row does not have the {len(names)} declared columns")
     labels = right.select("row_pos", *[
         F.regexp_replace(F.trim(F.get(cut, F.lit(i))), '^"|"$', "").alias(n) for i, n in enumerate(names)])
     paired = labels.join(values, "row_pos", "full_outer")
@@ -94,10 +103,6 @@ def feature_metadata_pair(spark: SparkSession, plan: Ingestion) -> DataFrame:
     return paired.select(*names, *[f"{prefix}{i}" for i in range(widths.lo)], "row_pos")
 
 
-def _sql(text: str) -> str:
-    return text.replace("\\", "\\\\").replace("'", "\\'")
-
-
 def build_canonical(spark: SparkSession, plan: Ingestion) -> DataFrame:
     if plan.adapter not in ADAPTERS:
         raise ContractError(f"unknown adapter: {plan.adapter}")
@@ -107,18 +112,25 @@ def build_canonical(spark: SparkSession, plan: Ingestion) -> DataFrame:
 def read_sensor_csv(spark: SparkSession, path: str) -> DataFrame:
     """Sensor scan with a checked header: non-empty unique names, every row as wide as the header.
 
-    Only the header line reaches the driver.
+    Only one header line reaches the driver; the scan checks the header of every other file
+    against it, and rejects rows of another width and values that are no number.
     """
-    lines = spark.read.text(path)
-    head = lines.first()
-    names = [n.strip() for n in head.value.split(",")] if head else []
+    head = spark.read.text(path).first()
+    names = [n.strip() for n in next(csv.reader([head.value]), [])] if head else []
     if not names or any(not n for n in names) or len(set(names)) != len(names):
         raise ContractError("the header needs unique non-empty names")
-    uneven = lines.where((F.length("value") > 0) & (F.size(F.split("value", ",", -1)) != len(names)))
-    if not uneven.isEmpty():
-        raise ContractError("a row differs in width from the header")
-    schema = T.StructType([T.StructField(n, T.DoubleType()) for n in names])
-    return nan_to_null(spark.read.option("header", True).option("mode", "FAILFAST").schema(schema).csv(path))
+    fields = [T.StructField(n, T.DoubleType()) for n in names]
+    reader = spark.read.option("header", True).option("enforceSchema", False)
+    marked = T.StructType([*fields, T.StructField("__corrupt", T.StringType())])
+    loose = reader.option("columnNameOfCorruptRecord", "__corrupt").schema(marked).csv(path)
+    try:
+        # Hashing all columns makes the scan parse and check all of them.
+        broken = loose.agg(F.count("__corrupt").alias("n"), F.max(F.hash(*names))).first().n
+    except Exception as error:  # the message names the file whose header differs
+        raise ContractError(f"the files do not have one header: {error}") from error
+    if broken:
+        raise ContractError("a row differs in width from the header or holds a value that is no number")
+    return nan_to_null(reader.option("mode", "FAILFAST").schema(T.StructType(fields)).csv(path))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

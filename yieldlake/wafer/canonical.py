@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import dies
 from ..functions.scalars import ratio
+from ..profile import ContractError
 
 # Reasons that are not map errors.
 MISSING_LOT = "MISSING_OR_INVALID_LOT"
@@ -155,14 +156,16 @@ def audit_report(manifest: DataFrame, version: str) -> DataFrame:
     return stages.groupBy("stage", "code").agg(F.count(F.lit(1)).alias("rows"))
 
 
-def source_profile(df: DataFrame, die_map: str, label: str, limit: int | None = 1000,
+def source_profile(df: DataFrame, die_map: str, label: str, limit: int | None = None,
                    order: str | None = None) -> DataFrame:
     """First look: map status, shape and label structure with their row counts.
 
-    ``limit`` rows (the smallest ``order`` values) are inspected; ``None`` inspects the whole table.
+    The whole table is inspected, or the ``limit`` rows with the smallest ``order`` values.
     """
     if limit is not None:
-        df = df.orderBy(order).limit(limit) if order else df.limit(limit)
+        if order is None:
+            raise ContractError("a limited profile needs an order")
+        df = df.orderBy(order).limit(limit)
     cells = F.col(die_map).cast("array<array<tinyint>>")
     dtype = df.schema[label].dataType
     shape = F.concat_ws("x", F.size(cells).cast("string"), F.size(F.get(cells, F.lit(0))).cast("string"))
