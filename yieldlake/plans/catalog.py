@@ -7,3 +7,4 @@ from . import decision_queries  # noqa: F401
 from . import wafer_queries  # noqa: F401
 from . import model_queries  # noqa: F401
 from . import sink_queries  # noqa: F401
+from . import comparison_queries  # noqa: F401
