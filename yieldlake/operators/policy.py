@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import ratio
 from ..profile import PROTOCOL_ID, ContractError, Profile, ThresholdPolicy
+from ..scale import join_on
 from .metrics import binary_metrics
 
 
@@ -116,11 +117,11 @@ def apply_thresholds(choices: DataFrame, scored: DataFrame, profile: Profile, sc
                      extra: list[str] | None = None, threshold: str = "threshold") -> DataFrame:
     """Metrics of the chosen thresholds on a later scored period; infeasible choices keep a null row.
 
-    ``choices`` has a few rows per key, so the join is left to Spark's own size rules.
+    ``choices`` has a few rows per key.
     """
     extra = list(extra or [])
     chosen = choices.select(*keys, *extra, F.col(threshold).alias("__chosen"))
-    usable = scored.join(chosen.where("__chosen is not null"), keys)
+    usable = join_on(scored, chosen.where("__chosen is not null"), keys)
     measured = binary_metrics(usable, profile, score, "__chosen", [*keys, *extra]).drop("threshold")
     return chosen.withColumnRenamed("__chosen", "threshold").join(measured, [*keys, *extra], "left")
 

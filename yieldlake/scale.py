@@ -9,7 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,12 +68,54 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession)
     df.write.parquet(path)
+    held = _SCOPE.get()
+    if held is not None:
+        held.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Tables written in the innermost open scope of this thread; None outside of any.
+_SCOPE: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Remove the tables that ``cut_lineage`` writes inside, once the block ends.
+
+    Gives a function that writes a result outside of the scope; only what it returns may
+    be used afterwards.
+    """
+    outer, held = _SCOPE.get(), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        token = _SCOPE.set(outer)
+        try:
+            return cut_lineage(df)
+        finally:
+            _SCOPE.reset(token)
+
+    token = _SCOPE.set(held)
+    try:
+        yield keep
+    finally:
+        _SCOPE.reset(token)
+        for name in held:
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``keys``; with no keys ``right`` is one row and joins every row."""
-    return left.join(right, list(keys), how) if keys else left.crossJoin(F.broadcast(right))
+    """Equi-join with a ``right`` of few rows per key; with no keys it is one row and joins every row.
+
+    Keys such as fold, label or sensor may hold a large part of ``left`` each.  ``right`` is
+    written once and counted, and broadcast when that proves it small, so that no key is
+    shuffled to one task.
+    """
+    if not keys:
+        return left.crossJoin(F.broadcast(right))
+    right = cut_lineage(right)
+    small = right.count() <= broadcast_rows(left.sparkSession)
+    return left.join(F.broadcast(right) if small else right, list(keys), how)
 
 
 def running_sum(

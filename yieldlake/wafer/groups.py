@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.dies import CLASS_NAMES
 from ..functions.scalars import ratio
 from ..profile import ContractError
-from ..scale import cut_lineage, lookup_join, running_sum
+from ..scale import cut_lineage, lookup_join, running_sum, scratch_scope
 
 SPLITS = ("train", "validation", "test")
 CLASSES = len(CLASS_NAMES)
@@ -80,17 +80,18 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return table.agg(F.count(F.lit(1)).alias("n"),
                          F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
 
-    current = cut_lineage(edges)
-    mark = state_of(current)
-    for _ in range(max_rounds):
-        if not mark.n:
-            return current
-        # Neither step adds edges, so the edge count bounds its tables of nodes.
-        current = cut_lineage(_small_star(_large_star(current, mark.n), mark.n))
-        state = state_of(current)
-        if state == mark:
-            return current
-        mark = state
+    with scratch_scope(edges.sparkSession) as keep:
+        current = cut_lineage(edges)
+        mark = state_of(current)
+        for _ in range(max_rounds):
+            if not mark.n:
+                return keep(current)
+            # Neither step adds edges, so the edge count bounds its tables of nodes.
+            current = cut_lineage(_small_star(_large_star(current, mark.n), mark.n))
+            state = state_of(current)
+            if state == mark:
+                return keep(current)
+            mark = state
     raise RuntimeError("connected groups did not converge")
 
 
