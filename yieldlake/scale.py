@@ -7,6 +7,7 @@ larger.  Both give the same rows.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -74,6 +75,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of frames that nothing refers to any more.
+
+    Its cleaner acts when the driver happens to collect garbage; between large steps whose
+    results are written, asking for it keeps old files from adding up.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 # Tables written in the innermost open scope of this thread; None outside of any.
 _SCOPE: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
 
