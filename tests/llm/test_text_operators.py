@@ -184,8 +184,9 @@ def near_copies(draw, base, edits):
 
 
 def test_similar_documents_against_brute_force(spark, odd, monkeypatch):
-    monkeypatch.setattr(ngram_join, "TILE_SIDE", 8)  # several tiles for a frequent token
+    monkeypatch.setattr(ngram_join, "TILE_SIDE", 4)  # several tiles for a frequent token
     monkeypatch.setattr(ngram_join, "HOT_ROWS", 5)
+    monkeypatch.setattr(ngram_join, "PAIR_CHUNK", 50)
     draw = random.Random(5)
     passage = prose(draw, 55, 10_000)
     texts = []
@@ -209,6 +210,16 @@ def test_similar_documents_against_brute_force(spark, odd, monkeypatch):
     assert ngram_join.similar_documents(odd.limit(0)).count() == 0
 
 
+def test_fitting_signatures_bound_the_overlap():
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        both, a, b = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in rng.integers(1, 400, 3))
+        left, right = np.unique(np.concatenate((both, a))), np.unique(np.concatenate((both, b)))
+        marks = [np.frombuffer(ngram_join.fitting_signature(s), np.uint64) for s in (left, right)]
+        may = ngram_join.fitting_bound(len(left), len(right), *marks)
+        assert may or not ngram_join.similar(len(left), len(right), len(np.intersect1d(left, right)))
+
+
 def test_prefix_length_is_exact():
     for n in range(1, 300):
         assert ngram_join.prefix_length(n) == n - -(-3 * n // 4) + 1

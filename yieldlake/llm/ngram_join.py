@@ -20,14 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from yieldlake.llm.shingles import as_bytes, mix, shingle_sets
-from yieldlake.scale import cut_lineage, lookup_join
+from yieldlake.scale import cut_lineage, lookup_join, release_shuffles, scratch_scope
 from yieldlake.wafer.groups import connected
 
 NUMERATOR, DENOMINATOR = 75, 100  # least similarity
-SIGNATURE_WORDS = 4  # 64-bit words of a bitmap
+SIGNATURE_WORDS = 16  # 64-bit words of a bitmap
 HOT_ROWS = 24  # a prefix token of more sets is put last
 MAX_HOT = 500_000  # a token counts as hot only above this share of all prefix tokens, so the list is bounded
-TILE_SIDE = 512
+TILE_SIDE = 256  # rows of one side of a tile
+PAIR_CHUNK = 1 << 16
 SEED_TOKENS = 3
 ID_BROADCAST = 100_000
 
@@ -42,20 +43,59 @@ def similar(size_a, size_b, overlap):
     return DENOMINATOR * overlap >= NUMERATOR * (size_a + size_b - overlap)
 
 
-def signature(shingles: np.ndarray) -> bytes:
-    bits = np.zeros(SIGNATURE_WORDS * 64, np.uint8)
-    bits[(mix(shingles) % np.uint64(len(bits))).astype(np.int64)] = 1
+def signature(shingles: np.ndarray, size: int = SIGNATURE_WORDS * 64) -> bytes:
+    """Bitmap of ``size`` bits, a power of two."""
+    bits = np.zeros(size, np.uint8)
+    bits[(mix(shingles) & np.uint64(size - 1)).astype(np.int64)] = 1
     return np.packbits(bits).tobytes()
 
 
-def bounded_pairs(sizes: np.ndarray, words: np.ndarray, clusters: np.ndarray, left: np.ndarray, right: np.ndarray):
-    """Positions ``(a, b)`` of rows of both sides whose sizes and signatures allow a link, of different clusters."""
-    apart = np.bitwise_count(words[left][:, None, :] ^ words[right][None, :, :]).sum(axis=2, dtype=np.int64)
-    both = sizes[left][:, None] + sizes[right][None, :]
-    most = np.minimum((both - apart) // 2, np.minimum(sizes[left][:, None], sizes[right][None, :]))
-    good = similar(sizes[left][:, None], sizes[right][None, :], most) & (clusters[left][:, None] != clusters[right][None, :])
-    a, b = np.nonzero(good)
-    return left[a], right[b]
+def fitting_signature(shingles: np.ndarray) -> bytes:
+    """Bitmap with room for a set of any size; half of it folds onto the other for comparison with a shorter one."""
+    return signature(shingles, 1 << max(6, int(len(shingles) * 3 // 2).bit_length()))
+
+
+def fitting_bound(size_a: int, size_b: int, bits_a: np.ndarray, bits_b: np.ndarray) -> bool:
+    """Whether two sets with fitting signatures (64-bit words) may link."""
+    while len(bits_a) > len(bits_b):
+        bits_a = bits_a[:len(bits_a) // 2] | bits_a[len(bits_a) // 2:]
+    while len(bits_b) > len(bits_a):
+        bits_b = bits_b[:len(bits_b) // 2] | bits_b[len(bits_b) // 2:]
+    apart = int(np.bitwise_count(bits_a ^ bits_b).sum(dtype=np.int64))
+    return bool(similar(size_a, size_b, min((size_a + size_b - apart) // 2, size_a, size_b)))
+
+
+def bounded(left_size, right_size, left_words: np.ndarray, right_words: np.ndarray) -> np.ndarray:
+    """Which pairs may link: bits that differ bound the overlap from above."""
+    apart = np.bitwise_count(left_words ^ right_words).sum(axis=1, dtype=np.int64)
+    return similar(left_size, right_size, np.minimum((left_size + right_size - apart) // 2, np.minimum(left_size, right_size)))
+
+
+def tile_candidates(tile: np.ndarray, square: np.ndarray, first: np.ndarray, sizes: np.ndarray, clusters: np.ndarray, words: np.ndarray):
+    """Positions ``(a, b)`` of rows that share a tile and may link, of different clusters.
+
+    ``tile`` numbers the tiles of the rows, in order; rows of a tile are ordered by size.
+    All pairs of a ``square`` tile count; of another, those of a ``first`` row with one of
+    the second side.  A row is only paired within its size band.
+    """
+    count = len(tile)
+    ends = np.searchsorted(tile, tile, "right")
+    # Rows of the tile, ordered by size, that are not larger than the band of a row allows.
+    reach = tile.astype(np.float64) * (sizes.max(initial=0) * 2.0 + 2.0)
+    last = np.minimum(ends, np.searchsorted(reach + sizes, reach + sizes * DENOMINATOR / NUMERATOR + 1e-6, "right"))
+    partners = last - np.arange(count) - 1
+    start = 0
+    while start < count:
+        upto = np.cumsum(partners[start:])
+        stop = start + max(1, int(np.searchsorted(upto, PAIR_CHUNK, "right")))
+        own = partners[start:stop]
+        left = np.repeat(np.arange(start, stop), own)
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(own) - own, own)
+        keep = (clusters[left] != clusters[right]) & (square[left] | (first[left] != first[right]))
+        left, right = left[keep], right[keep]
+        good = bounded(sizes[left], sizes[right], words[left], words[right])
+        yield left[good], right[good]
+        start = stop
 
 
 def set_table(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -179,18 +219,14 @@ def _allowed(pairs: DataFrame, classes: DataFrame) -> DataFrame:
                 continue
             na, nb = batch.column(2).to_numpy().astype(np.int64), batch.column(3).to_numpy().astype(np.int64)
             words = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, SIGNATURE_WORDS) for c in (4, 5)]
-            apart = np.bitwise_count(words[0] ^ words[1]).sum(axis=1, dtype=np.int64)
-            keep = similar(na, nb, np.minimum((na + nb - apart) // 2, np.minimum(na, nb)))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+            yield batch.select(["a", "b"]).filter(pa.array(bounded(na, nb, *words)))
 
     with_a = pairs.join(facts.toDF("a", "na", "bits_a"), "a")
     return with_a.join(facts.toDF("b", "nb", "bits_b"), "b").select("a", "b", "na", "nb", "bits_a", "bits_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Pairs whose sorted shingle arrays intersect enough, as class ids ``(u, v)`` with ``u > v``."""
-    spark = docs.sparkSession
-    pairs = cut_lineage(pairs)
+def _encoded_sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, encode) -> DataFrame:
+    """``(id, f1, n, code)`` of the sets that occur in pairs, computed from the texts again."""
     involved = cut_lineage(pairs.select(F.col("a").alias("f1")).unionByName(pairs.select(F.col("b").alias("f1"))).distinct()
                            .join(classes.select("f1", "id"), "f1").select(F.col("id").alias("doc")).distinct())
     if involved.count() <= ID_BROADCAST:
@@ -199,19 +235,43 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
     def run(batches):
         import pyarrow as pa
         for batch in batches:
-            sets = list(shingle_sets(as_bytes(batch.column(1))))
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([int(mix(s + np.uint64(1)).sum(dtype=np.uint64)) - (1 << 63) for s in sets], pa.int64()),
-                pa.array([s.tobytes() for s in sets], pa.binary())], ["id", "f1", "shingles"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                sets = list(shingle_sets(as_bytes(part.column(1))))
+                yield pa.RecordBatch.from_arrays([
+                    part.column(0), pa.array([int(mix(s + np.uint64(1)).sum(dtype=np.uint64)) - (1 << 63) for s in sets], pa.int64()),
+                    pa.array([len(s) for s in sets], pa.int64()), pa.array([encode(s) for s in sets], pa.binary())], ["id", "f1", "n", "code"])
 
-    arrays = cut_lineage(_narrow(docs, key, text).join(involved, "doc", "left_semi").mapInArrow(run, "id bigint, f1 bigint, shingles binary"))
+    return cut_lineage(_narrow(docs, key, text).join(involved, "doc", "left_semi").mapInArrow(
+        run, "id bigint, f1 bigint, n bigint, code binary"))
+
+
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Pairs whose sorted shingle arrays intersect enough, as class ids ``(u, v)`` with ``u > v``."""
+    pairs = cut_lineage(pairs)
+    marks = _encoded_sets(pairs, classes, docs, key, text, fitting_signature)
+
+    def bound(batches):
+        import pyarrow as pa
+        for batch in batches:
+            good = [fitting_bound(m, n, np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
+                    for m, n, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4), batch.column(5))]
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    # Short signatures let long sets pass; signatures that fit the sets do not, and are far smaller than the arrays.
+    sides = marks.toDF("id", "f1", "n", "x")
+    pairs = cut_lineage(pairs.join(sides.select(F.col("f1").alias("a"), F.col("n").alias("m"), "x"), "a").join(
+        sides.select(F.col("f1").alias("b"), "n", F.col("x").alias("y")), "b").select("a", "b", "m", "n", "x", "y").mapInArrow(
+        bound, "a bigint, b bigint").distinct())
+    arrays = _encoded_sets(pairs, classes, docs, key, text, np.ndarray.tobytes).drop("n")
 
     def intersect(batches):
         import pyarrow as pa
         for batch in batches:
             found = []
-            for a, b, x, y in zip(*(c.to_pylist() for c in batch.columns)):
-                left, right = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            # Arrays are read in place: a batch may hold many long ones.
+            for a, b, x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+                left, right = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 both = len(np.intersect1d(left, right, assume_unique=True))
                 if a != b and similar(len(left), len(right), both):
                     found.append((max(a, b), min(a, b)))
@@ -226,11 +286,13 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
 def tile_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of sets of different clusters that share a prefix token and pass size and signature.
 
-    ``classes`` has ``f1, n, bits, cluster``.  A token's rows are dealt to square tiles of
-    at most TILE_SIDE rows a side.
+    ``classes`` has ``f1, n, bits, cluster``.  Tokens of a single cluster are left out.  A
+    token's rows are dealt to tiles of about TILE_SIDE rows a side.
     """
-    known = shared.select("token", "f1", "rows").join(classes.select("f1", "n", "bits", "cluster"), "f1")
-    blocks = F.ceil(F.col("rows") / (2 * TILE_SIDE)).cast("int")
+    grouped = shared.select("token", "f1", "rows").join(classes.select("f1", "cluster"), "f1")
+    mixed = grouped.groupBy("token").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select("token")
+    known = grouped.join(mixed, "token", "left_semi").join(classes.select("f1", "n", "bits"), "f1")
+    blocks = F.ceil(F.col("rows") / TILE_SIDE).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j")))
     dealt = known.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("f1"), F.col("blocks")).cast("int")).withColumn(
@@ -243,19 +305,12 @@ def tile_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
         def compared(table):
             """Pairs of all tiles in a sorted table."""
             token, i, j = (table.column(c).to_numpy() for c in ("token", "i", "j"))
-            new = np.flatnonzero(np.concatenate(([True], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
+            tile = np.cumsum(np.concatenate(([0], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
             sizes, clusters, owner, block = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "cluster", "f1", "block"))
             words = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, SIGNATURE_WORDS)
             out = []
-            for a, b in zip(new, [*new[1:], len(token)]):
-                if (clusters[a:b] == clusters[a]).all():
-                    continue
-                at = np.arange(a, b)
-                left, right = at[block[a:b] == i[a]], at[block[a:b] == j[a]]
-                for k in range(0, len(left), 64):
-                    x, y = bounded_pairs(sizes, words, clusters, left[k:k + 64], right)
-                    pair = np.sort(np.stack((owner[x], owner[y])), axis=0)
-                    out.append(pair[:, pair[0] < pair[1]])
+            for x, y in tile_candidates(tile, i == j, block == i, sizes, clusters, words):
+                out.append(np.unique(np.sort(np.stack((owner[x], owner[y])), axis=0), axis=1))
             pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
 
@@ -274,7 +329,7 @@ def tile_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
             yield compared(rest.combine_chunks())
 
     count = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(count, "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInArrow(
+    return dealt.repartition(count, "token", "i", "j").sortWithinPartitions("token", "i", "j", "n").mapInArrow(
         run, "a bigint, b bigint").distinct()
 
 
@@ -288,13 +343,20 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
     for links.  A null key keeps a null component.  An empty table gives no rows; other
     columns are not read.
     """
+    with scratch_scope(docs.sparkSession) as keep:
+        return keep(_similar_documents(docs, key, text))
+
+
+def _similar_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
     sets = cut_lineage(set_table(docs, key, text))
     classes = cut_lineage(sets.where("n > 0 and doc is not null").groupBy("f1", "f2", "n").agg(
         F.min("doc").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits")))
     hot = hot_tokens(docs, key, text)
     shared = cut_lineage(shared_tokens(prefix_tokens(docs, key, text, hot)))
+    release_shuffles(docs.sparkSession)
     seeds = verified(_allowed(seed_pairs(shared), classes), classes, docs, key, text)
     clusters = connected(seeds)
+    release_shuffles(docs.sparkSession)
     marked = classes.join(clusters.select(F.col("u").alias("id"), F.col("v").alias("cluster")), "id", "left").withColumn(
         "cluster", F.coalesce("cluster", "id"))
     marked = cut_lineage(marked.select("f1", "n", "bits", "id", "cluster"))
