@@ -26,7 +26,7 @@ from yieldlake.wafer.groups import connected
 NUMERATOR, DENOMINATOR = 75, 100  # least similarity
 SIGNATURE_WORDS = 16  # 64-bit words of a bitmap
 HOT_ROWS = 24  # a prefix token of more sets is put last
-MAX_HOT = 500_000  # a token counts as hot only above this share of all prefix tokens, so the list is bounded
+MAX_HOT = 5_000_000  # a token counts as hot only above this share of all prefix tokens, so the list is bounded
 TILE_SIDE = 256  # rows of one side of a tile
 PAIR_CHUNK = 1 << 16
 SEED_TOKENS = 3
@@ -125,7 +125,7 @@ def _prefixes(s: np.ndarray, hot: np.ndarray) -> np.ndarray:
     size = prefix_length(len(s))
     if not len(hot):
         return s[:size]
-    known = np.isin(s, hot, assume_unique=True)
+    known = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
     return np.concatenate((s[~known], s[known]))[:size]
 
 
