@@ -10,6 +10,7 @@ different values are corrected for when two fingerprints are compared.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 from hashlib import sha256
 
 import numpy as np
@@ -25,21 +26,30 @@ _SHIFT = np.uint64(64 - (BINS.bit_length() - 1))
 BATCH_BYTES = 4 << 20
 
 
+@lru_cache(maxsize=256)
+def _probes(step: int) -> np.ndarray:
+    """Bins that 32 successive attempts try for each bin, the same for every text."""
+    attempts = np.arange(1 + 32 * step, 33 + 32 * step, dtype=np.uint64)[:, None] << np.uint64(32)
+    return (mix(np.arange(BINS, dtype=np.uint64)[None, :] * np.uint64(0x10001) + attempts) >> _SHIFT).astype(np.int64)
+
+
 def bin_values(shingles: np.ndarray) -> np.ndarray:
     """Value of each bin from a sorted, non-empty array of distinct shingle hashes."""
-    bins, first = np.unique((shingles >> _SHIFT).astype(np.int64), return_index=True)
+    bins = (shingles >> _SHIFT).astype(np.int64)
+    first = np.flatnonzero(np.diff(bins, prepend=-1))  # sorted hashes: a bin's smallest comes first
+    bins = bins[first]
     values = np.zeros(BINS, np.uint64)
     values[bins] = shingles[first]
     filled = np.zeros(BINS, bool)
     filled[bins] = True
     empty = np.flatnonzero(~filled)
-    attempt = 1
+    step = 0
     while len(empty):
-        other = (mix(empty.astype(np.uint64) * np.uint64(0x10001) + np.uint64(attempt << 32)) >> _SHIFT).astype(np.int64)
-        hit = filled[other]
-        values[empty[hit]] = values[other[hit]]
+        tries = filled[_probes(step)[:, empty]]
+        hit = tries.any(axis=0)
+        values[empty[hit]] = values[_probes(step)[tries.argmax(axis=0)[hit], empty[hit]]]
         empty = empty[~hit]
-        attempt += 1
+        step += 1
     return values
 
 
