@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from yieldlake.scale import cut_lineage, lookup_join, running_sum
+from yieldlake.scale import cut_lineage, lookup_join, running_sum, scratch_scope
 
 WORD = r"[^\x20\x09-\x0D]+"
 MOST_COPIES = 3
@@ -84,6 +84,11 @@ def _ranked(rows: DataFrame, key: str, seed: int) -> DataFrame:
 
 def mixing_plan(sizes: DataFrame, key: str, seed: int) -> DataFrame:
     """One row per source key: target, certain copies, and the cut of its Pareto ranks."""
+    with scratch_scope(sizes.sparkSession) as keep:
+        return keep(_mixing_plan(cut_lineage(sizes), key, seed))
+
+
+def _mixing_plan(sizes: DataFrame, key: str, seed: int) -> DataFrame:
     targets = source_targets(sizes)
     preferred = F.col("size") / (F.col("size") + F.col("source_size") / F.col("documents"))
     known = lookup_join(sizes, targets, _KEY, "documents")
@@ -109,7 +114,7 @@ def mixing_plan(sizes: DataFrame, key: str, seed: int) -> DataFrame:
                  F.struct(F.abs(F.col("upto") - F.col("rest")), "upto", "__rank", key)).alias("l")).select(_KEY, "l.*")
     chosen = plan.join(last, _KEY, "left")
     nothing = F.abs(F.col("before") - F.col("rest")) <= F.col("off")  # the cut bucket gives no row at all
-    return cut_lineage(chosen.withColumn("cut_rank", F.when(nothing, F.lit(-1.0)).otherwise(F.col("cut_rank"))).drop("before", "off"))
+    return chosen.withColumn("cut_rank", F.when(nothing, F.lit(-1.0)).otherwise(F.col("cut_rank"))).drop("before", "off")
 
 
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = 17) -> DataFrame:
@@ -120,8 +125,8 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     rows.  Reruns agree for one ``seed``.  Columns of ``docs`` with those names are replaced.
     """
     sized = docs.drop("size", "source_size", "target", "copies", "taken").withColumn("size", word_count(F.col(text))).withColumn(_KEY, _key(F.col(source)))
-    narrow = cut_lineage(sized.select(F.col(key), _KEY, "size"))
-    return _with_copies(sized, mixing_plan(narrow, key, seed), key, seed)
+    plan = mixing_plan(sized.select(F.col(key), _KEY, "size"), key, seed)
+    return _with_copies(sized, plan, key, seed)
 
 
 def _with_copies(rows: DataFrame, plan: DataFrame, key: str, seed: int) -> DataFrame:

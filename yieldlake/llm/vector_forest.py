@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from yieldlake.scale import cut_lineage, lookup_join
+from yieldlake.scale import cut_lineage, lookup_join, scratch_scope
 from yieldlake.wafer.groups import connected
 
 
@@ -231,6 +231,11 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", embedding: str = "embe
     different length do not link.  Each row counts, also rows that repeat a key.  An empty
     table gives no rows; other columns are not read.
     """
+    with scratch_scope(vectors.sparkSession) as keep:
+        return keep(_near_vectors(vectors, key, embedding, options))
+
+
+def _near_vectors(vectors: DataFrame, key: str, embedding: str, options: ForestOptions) -> DataFrame:
     rows, classes, kind = vector_classes(vectors, key, embedding)
     roots = connected(forest_edges(classes, kind, options))
     members = roots.select(F.col("u").alias("id"), F.col("v").alias("root"))
