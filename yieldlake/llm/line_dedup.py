@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from yieldlake.llm.shingles import mix
-from yieldlake.scale import cut_lineage, lookup_join
+from yieldlake.scale import cut_lineage, lookup_join, scratch_scope
 
 MIN_CHARS = 20
 LINE_BROADCAST = 100_000
@@ -28,17 +28,21 @@ _STEP = 0x9E3779B97F4A7C15
 
 
 def normal(line: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]+", " ")))
+    """Lower case, runs of white space as one space, none at the ends (a lone space needs no replacing)."""
+    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")))
 
 
-def _lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Long enough lines with their row's identity ``(doc, r1, r2)``, place and two hashes."""
+def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows with their identity ``(r1, r2)``, by which lines find them again."""
     rows = docs.select(F.col(key).alias("doc"), F.col(text).cast("string").alias("text"))
-    rows = rows.select("doc", F.xxhash64("doc", "text").alias("r1"), F.xxhash64(F.lit(7), "text", "doc").alias("r2"),
-                       F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
-    return rows.select("doc", "r1", "r2", "line", normal(F.col("raw")).alias("norm")).where(
-        F.length("norm") >= MIN_CHARS).select(
-        "doc", "r1", "r2", "line", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2"), "norm")
+    return rows.select("doc", F.xxhash64("doc", "text").alias("r1"), F.xxhash64(F.lit(7), "text", "doc").alias("r2"), "text")
+
+
+def _lines(rows: DataFrame) -> DataFrame:
+    """Long enough lines of rows with their place, normal form and two hashes of it."""
+    split = rows.select("doc", "r1", "r2", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
+    return split.select("doc", "r1", "r2", "line", normal(F.col("raw")).alias("norm")).where(
+        F.length("norm") >= MIN_CHARS).select("*", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2"))
 
 
 def _half_keys(norm: Column) -> list[Column]:
@@ -54,13 +58,17 @@ def _half_keys(norm: Column) -> list[Column]:
     return out
 
 
+def line_table(rows: DataFrame) -> DataFrame:
+    """Every line's place, hashes and half keys, written once."""
+    keys = [k.alias(c) for k, c in zip(_half_keys(F.col("norm")), ("a0", "a1", "b0", "b1"))]
+    return cut_lineage(_lines(rows).select("doc", "r1", "r2", "line", "h1", "h2", *keys))
+
+
 def line_classes(lines: DataFrame) -> DataFrame:
     """One row per distinct line: hashes, number of occurrences, earliest place, and its half keys."""
-    first, last, other, more = _half_keys(F.col("norm"))
-    keyed = lines.select("h1", "h2", F.struct("doc", "r1", "r2", "line").alias("place"),
-                         first.alias("a0"), last.alias("a1"), other.alias("b0"), more.alias("b1"))
-    return cut_lineage(keyed.groupBy("h1", "h2").agg(
-        F.count(F.lit(1)).alias("n"), F.min("place").alias("first"), *[F.min(c).alias(c) for c in ("a0", "a1", "b0", "b1")]))
+    return cut_lineage(lines.groupBy("h1", "h2").agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "r1", "r2", "line")).alias("first"),
+        *[F.min(c).alias(c) for c in ("a0", "a1", "b0", "b1")]))
 
 
 def half_sharers(classes: DataFrame) -> DataFrame:
@@ -126,18 +134,25 @@ def near_earlier(candidates: DataFrame) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """``(r1, r2, gone)``: places of the lines to remove from each row that loses any."""
-    lines = _lines(docs, key, text)
+    with scratch_scope(docs.sparkSession) as keep:
+        return keep(_dropped_lines(docs, key, text))
+
+
+def _dropped_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+    rows = _rows(docs, key, text)
+    lines = line_table(rows)
     classes = line_classes(lines)
     sharers = cut_lineage(half_sharers(classes).join(classes.select("h1", "h2", "first"), ["h1", "h2"]))
-    small = sharers.count() <= LINE_BROADCAST
-    held = F.broadcast(sharers) if small else sharers
-    # The text of a candidate comes from its first place only.
-    texts = lines.join(held, ["h1", "h2"]).where(F.struct("doc", "r1", "r2", "line").eqNullSafe(F.col("first"))).select(
-        "h1", "h2", "first", "norm", "in_first", "in_second").dropDuplicates(["h1", "h2"])
+    # The text of a candidate comes from its first place: only the rows that hold one are read again.
+    places = sharers.select("first.r1", "first.r2").distinct()
+    held = F.broadcast(places) if sharers.count() <= LINE_BROADCAST else places
+    texts = _lines(rows.join(held, ["r1", "r2"], "left_semi")).select(
+        "h1", "h2", "norm", F.struct("doc", "r1", "r2", "line").alias("at")).join(sharers, ["h1", "h2"]).where(
+        F.col("at").eqNullSafe(F.col("first"))).select("h1", "h2", "first", "norm", "in_first", "in_second").dropDuplicates(["h1", "h2"])
     near = near_earlier(cut_lineage(texts)).withColumn("near", F.lit(True))
     decided = classes.select("h1", "h2", "n", "first").join(near, ["h1", "h2"], "left").where("n > 1 or near")
     lookup = decided.select(F.concat_ws("|", "h1", "h2").alias("class"), "n", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    met = lookup_join(lines.drop("norm").withColumn("class", F.concat_ws("|", "h1", "h2")), lookup, "class", "n")
+    met = lookup_join(lines.select("doc", "r1", "r2", "line", "h1", "h2").withColumn("class", F.concat_ws("|", "h1", "h2")), lookup, "class", "n")
     gone = met.where(F.col("near") | (F.col("first").isNotNull() & ~F.struct("doc", "r1", "r2", "line").eqNullSafe(F.col("first"))))
     return gone.groupBy("r1", "r2").agg(F.collect_set("line").alias("gone"))  # one row's places
 
