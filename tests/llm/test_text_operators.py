@@ -276,6 +276,17 @@ def test_line_dedup_against_brute_force(spark, odd, shuffled, monkeypatch):
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 
+def test_kept_documents_drop_whole_copies_with_short_lines(spark):
+    long = "a line that is long enough to be near"
+    rows = [(1, f"{long}\nshort\n \nx"), (2, f"{long}\nshort\n \nx"), (3, f"Short\nown words\n{long}s\n\nX "), (4, "short"), (5, "shor"), (6, "\n ")]
+    docs = docs_of(spark, [(i, t, None, None, len(t)) for i, t in rows]).repartition(3)
+    same = {1: rows[0][1], 5: "shor", 6: "\n "}
+    assert {r.doc_id: r.text for r in line_dedup.kept_documents(docs).collect()} == same | {3: "Short\nown words\n\nX ", 4: "short"}
+    assert {r.doc_id: r.text for r in line_dedup.kept_documents(docs, exact_chars=1).collect()} == same | {3: "own words\n"}
+    lost = {r.doc_id: r.gone_lines for r in line_dedup.dedup_lines(docs, exact_chars=1).collect()}
+    assert lost == {1: 0, 2: 3, 3: 3, 4: 1, 5: 0, 6: 0}
+
+
 # -- mixing ------------------------------------------------------------------------------------------
 
 def test_mix_targets_and_nearness(spark, odd):

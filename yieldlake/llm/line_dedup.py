@@ -1,9 +1,9 @@
 """Remove lines that repeat an earlier line of the collection, up to one edited character.
 
-Lines are compared in lower case with white space collapsed; lines of fewer than
-``MIN_CHARS`` characters are never removed.  Equal lines are one class, held by its
-earliest place.  Near lines meet in a deletion-neighbourhood join: two lines are within one
-edit when they are equal after deleting one character at the same place (a substitution),
+Lines are compared in lower case with white space collapsed.  Equal lines are one class,
+held by its earliest place; ``exact_chars`` is the least length of a line that goes when it
+repeats, 1 for every line that is not blank.  Lines of ``MIN_CHARS`` characters or more that are
+near meet in a deletion-neighbourhood join: two lines are within one edit when they are equal after deleting one character at the same place (a substitution),
 or when one of them is the other without a character.  Every such variant becomes a hashed
 key; in a group of equal keys each line only needs the earliest other line, so groups
 yield minima and not pairs.  What is found is verified by edit distance.
@@ -38,15 +38,15 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("doc", F.xxhash64("doc", "text").alias("r1"), F.xxhash64(F.lit(7), "text", "doc").alias("r2"), "text")
 
 
-def _lines(rows: DataFrame) -> DataFrame:
-    """Long enough lines of rows with their place, normal form and two hashes of it."""
+def _lines(rows: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+    """Lines of ``least`` characters or more with their place, normal form and two hashes of it."""
     split = rows.select("doc", "r1", "r2", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
     return split.select("doc", "r1", "r2", "line", normal(F.col("raw")).alias("norm")).where(
-        F.length("norm") >= MIN_CHARS).select("*", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2"))
+        F.length("norm") >= least).select("*", F.xxhash64("norm").alias("h1"), F.xxhash64(F.lit(7), "norm").alias("h2"))
 
 
 def _half_keys(norm: Column) -> list[Column]:
-    """Hashes of both halves, for this line's length and the next shorter one."""
+    """Hashes of both halves, for this line's length and the next shorter one; null for a line too short to be near."""
     n = F.length(norm)
     out = []
     for side in ("first", "second"):
@@ -54,14 +54,15 @@ def _half_keys(norm: Column) -> list[Column]:
             half = F.floor((n - shorter) / 2).cast("int")
             part = F.substring(norm, F.lit(1), half) if side == "first" else F.substring(norm, n - half + 1, half)
             found = F.xxhash64(F.lit(side), part)
-            out.append(found if not shorter else F.when(n % 2 == 0, found))
+            out.append(F.when((n >= MIN_CHARS) & (n % 2 == 0) if shorter else n >= MIN_CHARS, found))
     return out
 
 
-def line_table(rows: DataFrame) -> DataFrame:
-    """Every line's place, hashes and half keys, written once."""
+def line_table(rows: DataFrame, exact_chars: int = MIN_CHARS, least: int = MIN_CHARS) -> DataFrame:
+    """Every line's place, whether it stays for its length, hashes and half keys, written once."""
     keys = [k.alias(c) for k, c in zip(_half_keys(F.col("norm")), ("a0", "a1", "b0", "b1"))]
-    return cut_lineage(_lines(rows).select("doc", "r1", "r2", "line", "h1", "h2", *keys))
+    return cut_lineage(_lines(rows, least).select(
+        "doc", "r1", "r2", "line", (F.length("norm") < exact_chars).alias("short"), "h1", "h2", *keys))
 
 
 def line_classes(lines: DataFrame) -> DataFrame:
@@ -132,15 +133,18 @@ def near_earlier(candidates: DataFrame) -> DataFrame:
     return pairs.where(F.levenshtein("norm", "earlier", 1) >= 0).select("h1", "h2").distinct()
 
 
-def dropped_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``(r1, r2, gone)``: places of the lines to remove from each row that loses any."""
+def dropped_lines(docs: DataFrame, key: str, text: str, exact_chars: int = MIN_CHARS, least: int = MIN_CHARS) -> DataFrame:
+    """``(r1, r2, gone, repeated)``: places of the lines to remove from each row that loses any.
+
+    ``repeated`` has those of ``least`` characters or more that repeat too, but stay for their length.
+    """
     with scratch_scope(docs.sparkSession) as keep:
-        return keep(_dropped_lines(docs, key, text))
+        return keep(_dropped_lines(docs, key, text, exact_chars, min(least, exact_chars)))
 
 
-def _dropped_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+def _dropped_lines(docs: DataFrame, key: str, text: str, exact_chars: int, least: int) -> DataFrame:
     rows = _rows(docs, key, text)
-    lines = line_table(rows)
+    lines = line_table(rows, exact_chars, least)
     classes = line_classes(lines)
     sharers = cut_lineage(half_sharers(classes).join(classes.select("h1", "h2", "first"), ["h1", "h2"]))
     # The text of a candidate comes from its first place: only the rows that hold one are read again.
@@ -152,36 +156,44 @@ def _dropped_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     near = near_earlier(cut_lineage(texts)).withColumn("near", F.lit(True))
     decided = classes.select("h1", "h2", "n", "first").join(near, ["h1", "h2"], "left").where("n > 1 or near")
     lookup = decided.select(F.concat_ws("|", "h1", "h2").alias("class"), "n", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    met = lookup_join(lines.select("doc", "r1", "r2", "line", "h1", "h2").withColumn("class", F.concat_ws("|", "h1", "h2")), lookup, "class", "n")
+    met = lookup_join(lines.select("doc", "r1", "r2", "line", "short", "h1", "h2").withColumn("class", F.concat_ws("|", "h1", "h2")), lookup, "class", "n")
     gone = met.where(F.col("near") | (F.col("first").isNotNull() & ~F.struct("doc", "r1", "r2", "line").eqNullSafe(F.col("first"))))
-    return gone.groupBy("r1", "r2").agg(F.collect_set("line").alias("gone"))  # one row's places
+    return gone.groupBy("r1", "r2").agg(  # one row's places
+        F.collect_set(F.when(~F.col("short"), F.col("line"))).alias("gone"),
+        F.collect_set(F.when(F.col("short"), F.col("line"))).alias("repeated"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", exact_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with repeated lines removed from ``text``, plus ``n_lines`` and ``gone_lines``.
 
     A line goes when an earlier line, in the order of (key, row, place), is equal or within
     one edit after normalisation, whether or not that line itself stays.  Rows that repeat
     a key and text are treated alike; a null key comes first.  Null text stays null with 0
-    lines; blank and short lines always stay.  An empty table gives no rows.  Columns of
-    ``docs`` with those names are replaced.
+    lines; blank lines and those under ``exact_chars`` (at most ``MIN_CHARS``) always stay.
+    An empty table gives no rows.  Columns of ``docs`` with those names are replaced.
     """
+    return _cleaned(docs, key, text, exact_chars, exact_chars).drop("__fresh")
+
+
+def _cleaned(docs: DataFrame, key: str, text: str, exact_chars: int, least: int) -> DataFrame:
+    """``dedup_lines`` with ``__fresh``: false when only blanks and repeats of ``least`` characters or more are left."""
     own = docs.drop("n_lines", "gone_lines")
     rows = own.withColumn("__r1", F.xxhash64(F.col(key), F.col(text).cast("string"))).withColumn(
         "__r2", F.xxhash64(F.lit(7), F.col(text).cast("string"), F.col(key)))
-    gone = dropped_lines(own, key, text).toDF("__r1", "__r2", "__gone")
+    gone = dropped_lines(own, key, text, exact_chars, least).toDF("__r1", "__r2", "__gone", "__repeated")
     lines = F.split(F.col(text), "\n", -1)
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     joined = rows.join(gone, ["__r1", "__r2"], "left").withColumn(
         "n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))).withColumn(
-        "gone_lines", F.coalesce(F.size("__gone"), F.lit(0)))
-    return joined.withColumn(text, F.when(F.col("__gone").isNull(), F.col(text)).otherwise(
-        F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))).select(*own.columns, "n_lines", "gone_lines")
+        "gone_lines", F.coalesce(F.size("__gone"), F.lit(0))).withColumn("__fresh", F.when(
+            F.col("gone_lines") == 0, True).otherwise(
+            F.exists(F.array_except(stay, F.col("__repeated")), lambda i: normal(F.get(lines, i)) != "")))
+    return joined.withColumn(text, F.when(F.col("gone_lines") == 0, F.col(text)).otherwise(
+        F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))).select(*own.columns, "n_lines", "gone_lines", "__fresh")
 
 
-def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars") -> DataFrame:
-    """``docs`` without repeated lines and without documents of which nothing but blanks is left."""
-    cleaned = dedup_lines(docs, key, text)
-    emptied = (F.col("gone_lines") > 0) & (F.trim(F.regexp_replace(text, r"[\x20\x09-\x0D]+", " ")) == "")
-    return cleaned.where(~F.coalesce(emptied, F.lit(False))).withColumn(
+def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars",
+                   exact_chars: int = MIN_CHARS) -> DataFrame:
+    """``docs`` without repeated lines; a document that lost lines and has only blanks and repeats of any length left goes."""
+    return _cleaned(docs, key, text, exact_chars, 1).where("__fresh").withColumn(
         chars, F.when(F.col("gone_lines") > 0, F.length(text).cast("long")).otherwise(F.col(chars))).select(*docs.columns)
