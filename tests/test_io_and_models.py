@@ -1,3 +1,5 @@
+import importlib
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -198,3 +200,12 @@ def test_constants_without_exact_binary_form(spark):
     assert {r.correlation for r in distribution.correlations(frame, ["a", "b"]).collect()} == {None}
     profile = Profile("p", label="label", negative=0, positive=1, timestamp=None, feature_prefix="sensor_")
     assert [r.status for r in quality.feature_profile(frame.select("sensor_z", "label"), profile).collect()] == ["removed_constant"]
+
+
+@pytest.mark.parametrize("module, name", [("sink_queries", "stored_predictions"), ("comparison_queries", "saved_scorer_parity")])
+def test_stored_scorers_use_every_sensor(spark, monkeypatch, module, name):
+    plans = importlib.import_module(f"yieldlake.plans.{module}")
+    used, fit = [], plans.fit
+    monkeypatch.setattr(plans, "fit", lambda *args: used.append(list(args[3])) or fit(*args))
+    assert getattr(plans, name)(spark, "/root/testdata/sf0.001").count() > 0
+    assert used == [[f"sensor_{i}" for i in range(6)]]

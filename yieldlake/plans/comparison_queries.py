@@ -58,7 +58,7 @@ CAST(0 AS DOUBLE) AS largest_gap, CAST(0 AS BIGINT) AS different_labels FROM sp
 def saved_scorer_parity(spark, folder):
     """A scorer saved, loaded and applied gives the scores and labels that it gave before."""
     train, later = _parts(spark, folder)
-    scorer = FrozenScorer.from_fit(fit(train, NUMERIC_PROFILE, PLAIN, ["sensor_0", "sensor_1"]), NUMERIC_PROFILE, 0.07, 20)
+    scorer = FrozenScorer.from_fit(fit(train, NUMERIC_PROFILE, PLAIN, SENSORS), NUMERIC_PROFILE, 0.07, 20)
     path = scratch_path(spark)
     scorer.save(path)
     rows = later.select("row_id", *scorer.sensors)

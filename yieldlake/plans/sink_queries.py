@@ -11,7 +11,7 @@ from ..operators import metrics
 from ..operators.splits import tag_splits
 from ..scale import scratch_path
 from ..sources import readers, sinks
-from ..sources.tables import NUMERIC_PROFILE, score_frame, sensor_frame, table
+from ..sources.tables import NUMERIC_PROFILE, SENSORS, score_frame, sensor_frame, table
 from . import sql
 from .registry import query
 
@@ -64,7 +64,7 @@ def stored_result_table(spark, folder):
 @query("S10 L20", f"""WITH {sql.B1} SELECT row_id, TRUE AS in_range FROM b1""")
 def stored_predictions(spark, folder):
     frame = sensor_frame(spark, folder)
-    model = fit(frame, NUMERIC_PROFILE, Candidate("lr", "logistic_regression", max_iter=10), ["sensor_0", "sensor_1"])
+    model = fit(frame, NUMERIC_PROFILE, Candidate("lr", "logistic_regression", max_iter=10), SENSORS)
     scorer = FrozenScorer.from_fit(model, NUMERIC_PROFILE, 0.5, 20)
     path = scratch_path(spark)
     sinks.write_predictions(scorer, frame.select("row_id", *scorer.sensors), ["row_id"], path)
