@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from yieldlake.llm import (chat, fingerprints, hosts, language_id, line_dedup, mixing, ngram_join, sentence_pieces,
-                           vector_forest, warc)
+from yieldlake.llm import (chat, fingerprints, hosts, language_id, line_dedup, mixing, ngram_join, quality_votes,
+                           ranked_search, sentence_pieces, spelling_groups, vector_forest, warc)
 from yieldlake.llm.registry import query, table
 
 @query()
@@ -240,3 +240,86 @@ FROM documents d LEFT JOIN kept k USING (doc_id)
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.dedup_lines(table(spark, folder, "documents").select("doc_id", "text")).select(
         "doc_id", "n_lines", "gone_lines", F.sha2("text", 256).alias("text_sha256"))
+
+
+SPELLING_SQL = r"""
+WITH crc_table AS (
+  SELECT list(c ORDER BY i) AS entries FROM (
+    SELECT i, list_reduce([i] || range(8), lambda c, step: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+runs AS (
+  SELECT doc_id, word, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[a-z\x{00C0}-\x{00FF}]+')) AS word
+    FROM documents) GROUP BY ALL),
+hashed AS (
+  SELECT word, n, xor(4294967295, list_reduce(
+    [4294967295::BIGINT] || flatten(list_transform(string_split(doc_id || ':' || word, ''), lambda c:
+      CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + unicode(c) // 64, 128 + unicode(c) % 64]::BIGINT[] END)),
+    lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1]))) AS h
+  FROM runs, crc_table),
+edited AS (
+  SELECT CASE WHEN h % 97 = 0 THEN left(word, h % length(word)) || substr(word, h % length(word) + 2) ELSE word END AS word, n
+  FROM hashed),
+vocabulary AS (
+  SELECT word, sum(n)::BIGINT AS n FROM edited WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+shorter AS (
+  SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM vocabulary)),
+pairs AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM shorter a JOIN shorter b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM shorter a JOIN vocabulary b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM shorter a JOIN vocabulary b ON a.rest = b.word),
+judged AS (
+  SELECT v.word, v.n, count(near) AS n_near, max(near_n) AS most,
+         (array_agg(near ORDER BY near_n DESC, encode(near)))[1] AS near
+  FROM vocabulary v LEFT JOIN pairs p ON p.word = v.word GROUP BY v.word, v.n),
+formed AS (SELECT word, n, n_near, CASE WHEN most >= 2 * n THEN near END AS form, CASE WHEN most >= 2 * n THEN most END AS form_n FROM judged),
+steps AS (
+  WITH RECURSIVE walk AS (
+    SELECT word, word AS spot, 0 AS step FROM formed
+    UNION ALL SELECT w.word, f.form, step + 1 FROM walk w JOIN formed f ON f.word = w.spot WHERE f.form IS NOT NULL)
+  SELECT word, arg_max(spot, step) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN steps USING (word)
+"""
+
+
+@query(SPELLING_SQL)
+def op11_spelling_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_groups.group_spellings(table(spark, folder, "documents"))
+
+
+SEARCH_SQL = r"""
+WITH terms AS (
+  SELECT 'd' AS kind, doc_id AS id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+  UNION ALL
+  SELECT 'q', item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) FROM benchmark),
+counted AS (SELECT kind, id, term, count(*) AS tf FROM terms GROUP BY ALL),
+sized AS (
+  SELECT id, n, 100 - 25 + (25 * n * count(*) OVER ()) // (sum(n) OVER ())::BIGINT AS m, count(*) OVER () AS documents
+  FROM (SELECT id, sum(tf)::BIGINT AS n FROM counted WHERE kind = 'd' GROUP BY id)),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(documents) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+  FROM counted JOIN sized USING (id) WHERE kind = 'd' GROUP BY term),
+scored AS (
+  SELECT q.id AS item_id, d.id AS doc_id, sum(q.tf * w * ((1000000000 * d.tf) // (1000 * d.tf + 12 * m)))::BIGINT AS score
+  FROM counted q JOIN counted d ON q.term = d.term AND q.kind = 'q' AND d.kind = 'd'
+  JOIN weights t ON t.term = q.term JOIN sized s ON s.id = d.id GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank FROM scored WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20
+"""
+
+
+@query(SEARCH_SQL)
+def op12_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search.search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query()
+def op13_quality_votes(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text").withColumn("held_out", quality_votes.held_out(F.col("doc_id")))
+    model = quality_votes.train(docs.where(~F.col("held_out")), table(spark, folder, "labels").where(
+        ~quality_votes.held_out(F.col("doc_id"))))
+    return quality_votes.score_texts(docs, model).select("doc_id", "held_out", "score", "predicted")
