@@ -164,7 +164,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     """Features and labels of up to ``rows_per_label`` rows a label, and the counts of all labels.
 
     Labels are drawn by a hash of their key, then joined with the texts; features are made in
-    the tasks, so that only they come to the driver.
+    the tasks, so that only they come to the driver: at most six bytes for each of BUCKETS terms a row.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias("__label"))
     counts = {r["__label"]: r["count"] for r in known.groupBy("__label").count().collect()}
@@ -172,7 +172,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
     draw = F.pmod(F.xxhash64(F.lit(options.seed), F.col(key)), F.lit(1 << 20)) / float(1 << 20)
     wanted = F.when(F.col("__label") == 1, options.rows_per_label / max(1, totals[1])).otherwise(
         options.rows_per_label / max(1, totals[0]))
-    drawn = known.withColumn("__draw", draw).where(F.col("__draw") < wanted)
+    # The limit proves that the drawn labels may be broadcast.
+    drawn = known.withColumn("__draw", draw).where(F.col("__draw") < wanted).orderBy("__draw", "__label").limit(2 * options.rows_per_label)
 
     def run(batches):
         import pyarrow as pa
@@ -180,14 +181,15 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, key: str, text: str, lab
         for batch in batches:
             found = [_weighted(term_counts(x)) for x in _batch_texts(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([x[0] for x in found], pa.list_(pa.int64())),
-                 pa.array([x[1] for x in found], pa.list_(pa.float64()))], ["label", "draw", "terms", "logs"])
+                [batch.column(0), batch.column(1), pa.array([x[0].astype(np.int16).tobytes() for x in found], pa.binary()),
+                 pa.array([x[1].astype(np.float32).tobytes() for x in found], pa.binary())], ["label", "draw", "terms", "logs"])
 
-    rows = docs.select(key, F.col(text).cast("string").alias("__text")).join(drawn, key).select("__label", "__draw", "__text")
+    rows = docs.select(key, F.col(text).cast("string").alias("__text")).join(F.broadcast(drawn), key).select("__label", "__draw", "__text")
     # Keys that repeat bring all their rows: the order and the limit keep the sample bounded even then.
-    made = rows.mapInArrow(run, "label int, draw double, terms array<bigint>, logs array<double>").orderBy(
+    made = rows.mapInArrow(run, "label int, draw double, terms binary, logs binary").orderBy(
         "draw", "label", F.xxhash64("terms", "logs")).limit(2 * options.rows_per_label).collect()
-    return ([(np.array(r["terms"], dtype=np.int64), np.array(r["logs"])) for r in made], [r["label"] for r in made], totals)
+    return ([(np.frombuffer(r["terms"], dtype=np.int16).astype(np.int64), np.frombuffer(r["logs"], dtype=np.float32)) for r in made],
+            [r["label"] for r in made], totals)
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
