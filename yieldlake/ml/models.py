@@ -11,8 +11,10 @@ from pyspark.ml.feature import PCA, VectorSlicer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..profile import ContractError, Profile
+from ..scale import cut_lineage, seeded_hash
 from .preprocess import FeaturePrep, FeaturePrepModel
 
 # Leaf sizes and depth variants of the candidate families.
@@ -148,21 +150,36 @@ def _selector_model(c: Candidate, kind: str, prepared: DataFrame, total_weight:
     return LogisticRegression(maxIter=c.max_iter, elasticNetParam=1.0, regParam=1.0 / total_weight, **common).fit(prepared)
 
 
-def poisson_bootstrap(df: DataFrame, ids: list[str], repeat: int, seed: int) -> DataFrame:
-    """Bootstrap rows: each row repeats by a Poisson(1) count drawn from its own hash.
+def bootstrap_copies(df: DataFrame, label: str, ids: list[str], repeat: int, seed: int) -> DataFrame:
+    """``df`` with ``copies``: how often each row is drawn when every class draws its own size with replacement.
 
-    Every row decides alone, so no sample positions are shared or joined, and both labels
-    keep their expected size.
+    A row's rank within its class is its place in a seeded hash order, found from counts per
+    hash prefix and the order within a prefix.  Each of a class's draws hashes to one rank;
+    draws are counted per rank before they meet the rows.  Rows that were not drawn and rows
+    without a label are left out; ``ids`` must identify a row.
     """
-    unit = (F.pmod(F.xxhash64(F.lit(seed), F.lit(repeat), *ids), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    steps, term, total = [], 2.718281828459045 ** -1, 0.0
-    for k in range(16):  # beyond, the tail is smaller than the draw's resolution
-        term = term / k if k else term
-        total += term
-        steps.append(total)
-    count = sum(((unit > s).cast("int") for s in steps), F.lit(0))
-    return df.withColumn("__copies", count).where("__copies > 0").withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copies", "__copy")
+    spark = df.sparkSession
+    hashed = df.where(F.col(label).isNotNull()).withColumn("__h", seeded_hash(ids, seed)).withColumn("__p", F.substring("__h", 1, 4))
+    prefixes = hashed.groupBy(label, "__p").agg(F.count(F.lit(1)).alias("__n"))
+    along = Window.partitionBy(label).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    # At most 65,536 rows a class.
+    offsets = cut_lineage(prefixes.select(label, "__p", F.coalesce(F.sum("__n").over(along), F.lit(0)).alias("__before"), "__n"))
+    within = Window.partitionBy(label, "__p").orderBy("__h", *ids)
+    ranked = hashed.join(F.broadcast(offsets.drop("__n")), [label, "__p"]).withColumn(
+        "__rank", F.col("__before") + F.row_number().over(within) - 1)
+    sizes = offsets.groupBy(label).agg(F.sum("__n").alias("__size"))
+    most = sizes.agg(F.max("__size").alias("n")).first().n or 0
+    draws = spark.range(most).crossJoin(F.broadcast(sizes)).where("id < __size")  # one row a class
+    place = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(repeat)), F.col(label).cast("string"), F.col("id").cast("string")))
+    picked = draws.select(label, F.pmod(F.conv(F.substring(place, 1, 15), 16, 10).cast("bigint"), F.col("__size")).alias("__rank")).groupBy(
+        label, "__rank").agg(F.count(F.lit(1)).alias("copies"))
+    return ranked.join(picked, [label, "__rank"]).select(*df.columns, "copies")
+
+
+def stratified_bootstrap(df: DataFrame, label: str, ids: list[str], repeat: int, seed: int) -> DataFrame:
+    """Bootstrap rows: ``df`` with each row as often as ``bootstrap_copies`` draws it; every class keeps its size."""
+    drawn = bootstrap_copies(df, label, ids, repeat, seed)
+    return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*df.columns)
 
 
 def stable_selection(df: DataFrame, profile: Profile, c: Candidate, features: list[str], ids: list[str]) -> list[dict]:
@@ -171,7 +188,7 @@ def stable_selection(df: DataFrame, profile: Profile, c: Candidate, features: li
     last = len(features) + 1
 
     def one(repeat: int) -> dict[str, tuple[int, float]]:
-        sample = poisson_bootstrap(df, ids, repeat, c.seed)
+        sample = stratified_bootstrap(df, profile.label, ids, repeat, c.seed)
         prep = FeaturePrep(features=features, missingThreshold=profile.missing_threshold,
                            dropConstant=profile.drop_constant).fit(sample)
         weights = class_weight(sample, profile, c.weight_mode)

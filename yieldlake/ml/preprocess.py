@@ -12,9 +12,10 @@ from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import known, to_long, to_long_text
+from ..columns import column_moments, column_quantiles
+from ..functions.scalars import known, ratio, to_long_text
 from ..profile import ContractError
-from ..scale import exact_quantiles
+from ..scale import cut_lineage
 
 MAX_LEVELS = 10_000  # slots that all categorical features together may add to the vector
 
@@ -35,8 +36,8 @@ class _PrepParams(HasOutputCol):
 class FeaturePrep(Estimator, _PrepParams, DefaultParamsReadable, DefaultParamsWritable):
     """Quality filter, exact-median imputation, optional scaling, missing flags and one-hot encoding.
 
-    Fitting is one long-form aggregation and one exact-quantile job whatever the number
-    of sensors; what reaches the driver is one row per sensor.
+    The inputs are written once; statistics and exact medians come from their batches whatever
+    the number of sensors, and one row per sensor reaches the driver.
     """
 
     @keyword_only
@@ -49,10 +50,11 @@ class FeaturePrep(Estimator, _PrepParams, DefaultParamsReadable, DefaultParamsWr
 
     def _fit(self, dataset: DataFrame) -> FeaturePrepModel:
         names = self.getOrDefault("features")
-        long = to_long(dataset, names)
-        stats = {r.feature: r for r in long.groupBy("feature").agg(
-            F.count(F.lit(1)).alias("n"), F.count("value").alias("seen"), F.avg("value").alias("mean"),
-            F.var_pop("value").alias("var"), F.min("value").alias("low"), F.max("value").alias("high")).collect()}
+        stored = cut_lineage(dataset.select(*names))
+        stats = {r.feature: r for r in column_moments(stored, names).select(
+            "feature", F.col("row_count").alias("n"), F.col("seen_count").alias("seen"), "mean",
+            ratio(F.col("m2"), F.col("value_count")).alias("var"), F.col("minimum").alias("low"),
+            F.col("maximum").alias("high")).collect()}
         if not stats:
             raise ContractError("no rows to fit on")
         threshold, drop = self.getOrDefault("missingThreshold"), self.getOrDefault("dropConstant")
@@ -61,9 +63,8 @@ class FeaturePrep(Estimator, _PrepParams, DefaultParamsReadable, DefaultParamsWr
         kept = [f for f in names if f not in high and f not in constant]
         if not kept:
             raise ContractError("the quality filter leaves no feature")
-        rows = stats[names[0]].n
-        medians = {r.feature: (r.q[0] if r.q else 0.0) for r in exact_quantiles(
-            to_long(dataset, kept), ["feature"], "value", [0.5], rows, "q").collect()}
+        medians = {r.feature: (r.q[0] if r.q else 0.0) for r in column_quantiles(
+            stored, kept, [0.5], name="q", stored=True).collect()}
         centres, spreads = [], []
         for f in kept:
             s, m = stats[f], medians[f]

@@ -7,9 +7,10 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import finite, known, ratio, to_long
+from ..functions.scalars import finite, known, ratio
 from ..profile import ContractError, Profile
-from ..scale import cut_lineage, exact_quantiles, join_on, lookup_join, running_sum
+from ..columns import column_moments, column_quantiles, exact_quantiles
+from ..scale import cut_lineage, join_on, lookup_join, running_sum
 
 WHOLE = "all"
 
@@ -18,30 +19,29 @@ def class_period_distribution(df: DataFrame, profile: Profile, features: list[st
                               block: str = "block") -> DataFrame:
     """Per (period, class, feature) rows, observed, missing ratio, median, p10, p90, plus period ``all``.
 
-    Every row counts in its own block and in the whole, so the explosion is twofold.
-    An infinite value is an error.
+    Statistics of a block and class merge into those of the whole by grouping sets; no row
+    is repeated.  An infinite value is an error.
     """
-    rows = df.count()
-    periods = F.array(F.lit(WHOLE), F.col(block).cast("string"))
-    label = F.col(profile.label)
-    kept = df.where(label.isin(profile.negative, profile.positive))
-    long = to_long(kept, features, [F.col(block).alias("__block"), label.alias("class")])
-    if not long.where(F.abs("value") == F.lit(float("inf"))).isEmpty():
+    stored = cut_lineage(df.select(F.col(block).cast("string").alias("period"), F.col(profile.label).alias("class"), *features))
+    kept = stored.where(F.col("class").isin(profile.negative, profile.positive))
+    found = cut_lineage(column_moments(kept, features, ["period", "class"]))
+    infinite = F.lit(float("inf"))
+    if not found.where((F.col("minimum") == -infinite) | (F.col("maximum") == infinite)).isEmpty():
         raise ContractError("infinite sensor values")
-    long = long.select(F.explode(F.array(F.lit(WHOLE), F.col("__block").cast("string"))).alias("period"),
-                       "class", "feature", "value")
     keys = ["period", "class", "feature"]
-    stats = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("row_count"), F.count("value").alias("observed_count"),
-        F.avg(F.col("value").isNull().cast("int")).alias("missing_ratio"))
-    q = exact_quantiles(long, keys, "value", [0.1, 0.5, 0.9], rows, "q")
-    names = df.select(F.explode(periods).alias("period")).distinct()
+    stats = found.groupingSets([keys, keys[1:]], *keys).agg(
+        F.grouping("period").alias("__whole"), F.sum("row_count").alias("row_count"), F.sum("seen_count").alias("observed_count"))
+    stats = stats.withColumn("period", F.when(F.col("__whole") == 1, WHOLE).otherwise(F.col("period"))).drop("__whole")
+    whole = column_quantiles(kept, features, [0.1, 0.5, 0.9], ["class"], "q", stored=True).withColumn("period", F.lit(WHOLE))
+    q = column_quantiles(kept, features, [0.1, 0.5, 0.9], ["period", "class"], "q", stored=True).unionByName(whole)
+    names = stored.select("period").distinct().unionByName(df.sparkSession.range(1).select(F.lit(WHOLE).alias("period"))).distinct()
     grid = names.select(
         "period", F.explode(F.array(F.lit(profile.negative), F.lit(profile.positive))).alias("class")).select(
         "period", "class", F.explode(F.array(*map(F.lit, features))).alias("feature"))
     return grid.join(stats, keys, "left").join(q, keys, "left").select(
         *keys, F.coalesce("row_count", F.lit(0)).alias("row_count"),
-        F.coalesce("observed_count", F.lit(0)).alias("observed_count"), "missing_ratio",
+        F.coalesce("observed_count", F.lit(0)).alias("observed_count"),
+        ratio(F.col("row_count") - F.col("observed_count"), F.col("row_count")).alias("missing_ratio"),
         F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(0)).alias("p10"), F.get("q", F.lit(2)).alias("p90"))
 
 
@@ -74,9 +74,9 @@ def histogram(df: DataFrame, value: str, bins: int, low: float | None = None, hi
         (F.lit(low) + (F.col("bin") + 1) * width).alias("high"), "rows")
 
 
-def box_statistics(df: DataFrame, value: str, keys: list[str], rows: int | None = None) -> DataFrame:
+def box_statistics(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """Quartiles and 1.5-IQR whisker ends per key, as a box plot without outliers shows them."""
-    q = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75], df.count() if rows is None else rows, "q")
+    q = exact_quantiles(df, keys, value, [0.25, 0.5, 0.75], "q")
     q = q.select(*keys, *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(("q1", "median", "q3"))])
     iqr = F.col("q3") - F.col("q1")
     joined = join_on(df, q.withColumn("lo", F.col("q1") - 1.5 * iqr).withColumn("hi", F.col("q3") + 1.5 * iqr), keys)

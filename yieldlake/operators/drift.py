@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import event_time, finite, ratio, to_long, to_long_text
+from ..columns import column_bins, column_moments, column_quantiles
+from ..functions.scalars import event_time, ratio, to_long_text
 from ..profile import ContractError, Profile
-from ..scale import cut_lineage, exact_quantiles, fits_one_task
+from ..scale import cut_lineage
 
 RATIO_FLOOR = 1e-6
 # Change that counts as priority 1.0 for each measure.
@@ -26,19 +27,6 @@ REPORT_COLUMNS = (
 )
 
 
-def bin_counts(long: DataFrame, edges: DataFrame, keys: list[str], side: str) -> DataFrame:
-    """Rows per (keys, bin, side): bins are half-open between the inner edges.
-
-    ``edges`` has one row per feature of the schema, so its size is bounded by the
-    number of columns and it may be broadcast.
-    """
-    inner = F.filter(F.slice("edges", 2, F.size("edges") - 2), lambda e: e <= F.col("value"))
-    return (
-        long.join(F.broadcast(edges), keys).withColumn("bin", F.size(inner))
-        .groupBy(*keys, "bin", side).agg(F.count(F.lit(1)).alias("n"))
-    )
-
-
 def psi_from_counts(counts: DataFrame, edges: DataFrame, keys: list[str], side: str,
                     train: str, later: str) -> DataFrame:
     """PSI per key from bin counts, with absent bins as zero and shares floored."""
@@ -53,39 +41,39 @@ def psi_from_counts(counts: DataFrame, edges: DataFrame, keys: list[str], side:
     return filled.groupBy(*keys).agg(F.sum((v - t) * F.ln(v / t)).alias("population_stability_index"))
 
 
-def psi(long: DataFrame, side: str, train: str, later: str, bins: int = 10,
-        edges: DataFrame | None = None, rows: int | None = None) -> DataFrame:
-    """PSI per feature of long rows ``(feature, value, side)``; features without 3 edges are absent."""
-    seen = long.where(finite(F.col("value")).isNotNull())
-    if edges is None:
-        probs = [i / bins for i in range(bins + 1)]
-        edges = exact_quantiles(seen.where(F.col(side) == train), ["feature"], "value", probs, rows, "edges")
+def quantile_edges(df: DataFrame, features: list[str], side: str, train: str, bins: int = 10) -> DataFrame:
+    """``feature, edges``: the quantiles of the finite training values that bound equally filled bins."""
+    probs = [i / bins for i in range(bins + 1)]
+    return column_quantiles(df.where(F.col(side) == train), features, probs, name="edges", finite=True)
+
+
+def psi(df: DataFrame, edges: DataFrame, side: str, train: str, later: str) -> DataFrame:
+    """PSI per feature between the given bin edges; features with fewer than 3 distinct edges are absent.
+
+    ``edges`` has one row per feature of the schema, so its size is bounded by the number of
+    columns and it may be sent to the tasks.  Bins are half-open between the inner edges.
+    """
     edges = edges.select("feature", F.array_distinct("edges").alias("edges")).where(F.size("edges") >= 3)
-    return psi_from_counts(bin_counts(seen, edges, ["feature"], side), edges, ["feature"], side, train, later)
+    inner = {r["feature"]: r["edges"][1:-1] for r in edges.collect()}
+    return psi_from_counts(column_bins(df, inner, [side]), edges, ["feature"], side, train, later)
 
 
 def numeric_drift(df: DataFrame, features: list[str], side: str, train: str = "train",
-                  later: str = "validation", bins: int = 10, rows: int | None = None) -> DataFrame:
-    """Missing ratios, means, medians, SMD with population variance and PSI per numeric feature."""
-    df = df.where(F.col(side).isin(train, later))
-    if rows is None:
-        rows = df.count()
-    long = to_long(df, features, [side])
-    clean = long.withColumn("x", finite(F.col("value")))
+                  later: str = "validation", bins: int = 10) -> DataFrame:
+    """Missing ratios, means, medians, SMD with population variance and PSI per numeric feature.
+
+    Missing counts null and NaN; everything else is over finite values.
+    """
+    stored = cut_lineage(df.where(F.col(side).isin(train, later)).select(side, *features))
 
     def of(name: str, expr: Column) -> Column:
         return F.when(F.col(side) == name, expr)
 
     probs = [*[i / bins for i in range(bins + 1)], 0.5]
-    keys = ["feature", side]
-    moments = [F.avg(F.col("value").isNull().cast("int")).alias("missing_ratio"),
-               F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")]
-    if fits_one_task(df, rows):
-        per_side = clean.groupBy(*keys).agg(
-            *moments, F.percentile(F.col("x"), F.array(*map(F.lit, probs))).alias("q"))
-    else:
-        per_side = clean.groupBy(*keys).agg(*moments).join(
-            exact_quantiles(clean, keys, "x", probs, rows, "q"), keys)
+    moments = column_moments(stored, features, [side], finite=True).select(
+        "feature", side, ratio(F.col("row_count") - F.col("seen_count"), F.col("row_count")).alias("missing_ratio"), "mean",
+        F.sqrt(ratio(F.col("m2"), F.col("value_count"))).alias("std"))
+    per_side = moments.join(column_quantiles(stored, features, probs, [side], "q", stored=True, finite=True), ["feature", side])
     # One row per feature; written, because edges and report both read it.
     wide = cut_lineage(per_side.groupBy("feature").agg(*[
         F.max(of(name, F.col(c))).alias(f"{tag}_{c}") for name, tag in ((train, "train"), (later, "validation"))
@@ -93,7 +81,7 @@ def numeric_drift(df: DataFrame, features: list[str], side: str, train: str = "t
     edges = wide.select("feature", F.slice("train_q", 1, bins + 1).alias("edges"))
     pooled = F.sqrt((F.pow("train_std", 2) + F.pow("validation_std", 2)) / 2)
     return (
-        wide.join(psi(long, side, train, later, bins, edges), "feature", "left")
+        wide.join(psi(stored, edges, side, train, later), "feature", "left")
         .select(
             "feature", F.lit("numeric").alias("feature_type"),
             "train_missing_ratio", "validation_missing_ratio",
@@ -199,30 +187,28 @@ def monthly_statistics(df: DataFrame, profile: Profile, side: str, features: lis
     """Per (split, month, sensor): rows, observed values, mean, median and failures."""
     month = F.date_format(event_time(df, profile.timestamp, profile.timestamp_format), "yyyy-MM")
     failed = (F.col(profile.label) == F.lit(profile.positive)).cast("int").alias("failed")
-    rows = df.count()
-    long = to_long(df, features, [F.col(side).alias("split"), month.alias("month"), failed])
-    long = long.withColumn("x", finite(F.col("value")))
-    keys = ["split", "month", "feature"]
-    stats = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("row_count"), F.count("x").alias("observed_count"),
-        F.avg(F.col("x").isNull().cast("int")).alias("missing_ratio"), F.avg("x").alias("mean"),
-        F.sum("failed").alias("failure_count"))
-    medians = exact_quantiles(long, keys, "x", [0.5], rows, "m").select(*keys, F.get("m", F.lit(0)).alias("median"))
+    stored = cut_lineage(df.select(F.col(side).alias("split"), month.alias("month"), failed, *features))
+    groups = ["split", "month"]
+    keys = [*groups, "feature"]
+    failures = stored.groupBy(*groups).agg(F.sum("failed").alias("failure_count"))
+    stats = column_moments(stored, features, groups, finite=True).join(failures, groups).select(
+        *keys, "row_count", F.col("value_count").alias("observed_count"),
+        ratio(F.col("row_count") - F.col("value_count"), F.col("row_count")).alias("missing_ratio"), "mean", "failure_count")
+    medians = column_quantiles(stored, features, [0.5], groups, "m", stored=True, finite=True).select(
+        *keys, F.get("m", F.lit(0)).alias("median"))
     return stats.join(medians, keys).withColumn(
         "failure_ratio", ratio(F.col("failure_count"), F.col("row_count")))
 
 
 def detail_summary(df: DataFrame, features: list[str], side: str) -> DataFrame:
     """Per (feature, split): rows, observed, missing ratio, min, p10, median, p90, max, population sigma."""
-    rows = df.count()
-    long = to_long(df, features, [F.col(side).alias("split")])
+    stored = cut_lineage(df.select(F.col(side).alias("split"), *features))
     keys = ["feature", "split"]
-    stats = long.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("row_count"), F.count("value").alias("observed_count"),
-        F.avg(F.col("value").isNull().cast("int")).alias("missing_ratio"),
-        F.min("value").alias("minimum"), F.max("value").alias("maximum"),
-        F.stddev_pop("value").alias("std_pop"))
-    q = exact_quantiles(long, keys, "value", [0.1, 0.5, 0.9], rows, "q")
+    stats = column_moments(stored, features, ["split"]).select(
+        *keys, "row_count", F.col("seen_count").alias("observed_count"),
+        ratio(F.col("row_count") - F.col("seen_count"), F.col("row_count")).alias("missing_ratio"), "minimum", "maximum",
+        F.sqrt(ratio(F.col("m2"), F.col("value_count"))).alias("std_pop"))
+    q = column_quantiles(stored, features, [0.1, 0.5, 0.9], ["split"], "q", stored=True)
     return stats.join(q, keys).select(
         *keys, "row_count", "observed_count", "missing_ratio", "minimum",
         F.get("q", F.lit(0)).alias("p10"), F.get("q", F.lit(1)).alias("median"),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import known, ratio, to_long
 from ..profile import Profile
-from ..scale import exact_quantiles
+from ..columns import column_moments, column_quantiles
+from ..scale import cut_lineage
 
 # Order of the confusion groups.
 ERROR_GROUPS = ("TP", "FN", "FP", "TN")
@@ -20,43 +21,43 @@ def assign_error_groups(df: DataFrame, profile: Profile, score: str, threshold:
                          .when(flagged, "FP").otherwise("TN"))
 
 
-def error_group_summary(cases: DataFrame, features: list[str], score: str, rows: int | None = None) -> DataFrame:
+def error_group_summary(cases: DataFrame, features: list[str], score: str) -> DataFrame:
     """Count, mean and median score and row missing ratio of all four groups."""
     missing = sum((known(F.col(f).cast("double")).isNull().cast("int") for f in features), F.lit(0)) \
         if len(features) <= 64 else F.aggregate(
             F.array(*[F.isnull(f) for f in features]), F.lit(0), lambda a, x: a + x.cast("int"))
-    work = cases.select("error_group", F.col(score).alias("score"),
-                        (missing / F.lit(len(features))).alias("row_missing_ratio"))
+    work = cut_lineage(cases.select("error_group", F.col(score).alias("score"),
+                                    (missing / F.lit(len(features))).alias("row_missing_ratio")))
     stats = work.groupBy("error_group").agg(
         F.count(F.lit(1)).alias("sample_count"), F.avg("score").alias("score_mean"),
         F.avg("row_missing_ratio").alias("row_missing_ratio_mean"))
-    if rows is None:
-        rows = cases.count()
-    scores = exact_quantiles(work, ["error_group"], "score", [0.5], rows, "sm")
-    gaps = exact_quantiles(work, ["error_group"], "row_missing_ratio", [0.5], rows, "rm")
+    both = column_quantiles(work, ["score", "row_missing_ratio"], [0.5], ["error_group"], "q", stored=True).groupBy("error_group").agg(
+        F.max(F.when(F.col("feature") == "score", F.col("q"))).alias("sm"),
+        F.max(F.when(F.col("feature") != "score", F.col("q"))).alias("rm"))
     groups = cases.sparkSession.createDataFrame([(g,) for g in ERROR_GROUPS], "error_group string")
     return (
-        groups.join(stats, "error_group", "left").join(scores, "error_group", "left").join(gaps, "error_group", "left")
+        groups.join(stats, "error_group", "left").join(both, "error_group", "left")
         .select("error_group", F.coalesce("sample_count", F.lit(0)).alias("sample_count"), "score_mean",
                 F.get("sm", F.lit(0)).alias("score_median"), "row_missing_ratio_mean",
                 F.get("rm", F.lit(0)).alias("row_missing_ratio_median"))
     )
 
 
-def compare_error_features(cases: DataFrame, features: list[str], drift: DataFrame | None = None,
-                           rows: int | None = None) -> DataFrame:
+def compare_error_features(cases: DataFrame, features: list[str], drift: DataFrame | None = None) -> DataFrame:
     """Per sensor: FN and FP against TN by missing ratio, median and sample-variance SMD."""
-    long = to_long(cases.where("error_group <> 'TP'"), features, ["error_group"])
+    stored = cut_lineage(cases.where("error_group <> 'TP'").select("error_group", *features))
+    found = column_moments(stored, features, ["error_group"])
     aggs = []
     for g in ("FN", "FP", "TN"):
-        mine = F.when(F.col("error_group") == g, F.col("value"))
-        gone = F.when(F.col("error_group") == g, F.col("value").isNull().cast("int"))
-        aggs += [F.avg(gone).alias(f"{g}_missing"), F.count(mine).alias(f"{g}_n"),
-                 F.avg(mine).alias(f"{g}_mean"), F.var_samp(mine).alias(f"{g}_var")]
-    stats = long.groupBy("feature").agg(*aggs)
-    medians = exact_quantiles(
-        long.where("error_group in ('FN', 'TN')"), ["feature", "error_group"], "value", [0.5],
-        cases.count() if rows is None else rows, "q",
+        def mine(c, g=g):
+            return F.max(F.when(F.col("error_group") == g, c))
+
+        aggs += [mine(ratio(F.col("row_count") - F.col("seen_count"), F.col("row_count"))).alias(f"{g}_missing"),
+                 F.coalesce(mine(F.col("value_count")), F.lit(0)).alias(f"{g}_n"), mine(F.col("mean")).alias(f"{g}_mean"),
+                 mine(ratio(F.col("m2"), F.col("value_count") - 1)).alias(f"{g}_var")]
+    stats = found.groupBy("feature").agg(*aggs)
+    medians = column_quantiles(
+        stored.where("error_group in ('FN', 'TN')"), features, [0.5], ["error_group"], "q", stored=True,
     ).groupBy("feature").agg(
         F.max(F.when(F.col("error_group") == "FN", F.get("q", F.lit(0)))).alias("fn_median"),
         F.max(F.when(F.col("error_group") == "TN", F.get("q", F.lit(0)))).alias("tn_median"))

@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import ratio, ratio0
 from ..profile import ContractError, Profile
-from ..scale import exact_quantiles, join_on, running_sum
+from ..columns import exact_quantiles
+from ..scale import join_on, running_sum
 
 METRIC_COLUMNS = (
     "threshold", "support", "positive_support", "recall", "precision", "f1", "average_precision", "roc_auc",
@@ -109,9 +110,9 @@ def pr_curve(df: DataFrame, profile: Profile, score: str, keys: list[str], rows:
 
 
 def threshold_candidates(df: DataFrame, score: str, keys: list[str], default: float | None = 0.5,
-                         steps: int = 100, rows: int | None = None, above_max: bool = False) -> DataFrame:
+                         steps: int = 100, above_max: bool = False) -> DataFrame:
     """Sorted distinct candidates per key: score quantiles, the default, optionally one above the maximum."""
-    q = exact_quantiles(df, keys, score, [i / steps for i in range(steps + 1)], rows, "candidates")
+    q = exact_quantiles(df, keys, score, [i / steps for i in range(steps + 1)], "candidates")
     found = F.col("candidates")
     if default is not None:
         found = F.concat(found, F.array(F.lit(float(default))))
@@ -131,7 +132,7 @@ def threshold_table(df: DataFrame, profile: Profile, score: str, keys: list[str]
     """
     keys = list(keys or [])
     if candidates is None:
-        candidates = threshold_candidates(df, score, keys, default, rows=rows)
+        candidates = threshold_candidates(df, score, keys, default)
     groups = join_on(score_groups(df, profile, score, keys), candidates, keys)
     reached = F.size(F.filter("candidates", lambda c: c <= F.col("score")))
     held = groups.groupBy(*keys, reached.alias("slot")).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
@@ -212,14 +213,13 @@ def mean_scores(predictions: DataFrame, ids: list[str], score: str) -> DataFrame
     return predictions.groupBy(*ids).agg(F.avg(score).alias("oof_score"), F.count(score).alias("prediction_count"))
 
 
-def score_distribution(df: DataFrame, profile: Profile, score: str, role: str, threshold: float,
-                       rows: int | None = None) -> DataFrame:
+def score_distribution(df: DataFrame, profile: Profile, score: str, role: str, threshold: float) -> DataFrame:
     """Per (role, class): count, mean, p10, median, p90 and share at or above the threshold."""
     keys = [role, profile.label]
     stats = df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("count"), F.avg(score).alias("mean"),
         F.avg((F.col(score) >= threshold).cast("int")).alias("above_threshold_ratio"))
-    q = exact_quantiles(df, keys, score, [0.1, 0.5, 0.9], rows, "q")
+    q = exact_quantiles(df, keys, score, [0.1, 0.5, 0.9], "q")
     classes = F.array(F.lit(profile.negative), F.lit(profile.positive))
     grid = df.select(role).distinct().select(role, F.explode(classes).alias(profile.label))
     return grid.join(stats, keys, "left").join(q, keys, "left").select(

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.scalars import event_time, nan_to_null, ratio, to_long
+from ..columns import column_moments, column_values
+from ..functions.scalars import event_time, nan_to_null, ratio
 from ..profile import ContractError, Profile, validate_frame
+from ..scale import cut_lineage
 
 SUMMARY_RULE_REMAINING = "feature_count - high_missing_candidates - constant_candidates"
 
@@ -49,9 +52,8 @@ def rows_per_day(df: DataFrame, column: str, fmt: str | None = None) -> DataFram
 
 
 def missing_by_feature(df: DataFrame, features: list[str]) -> DataFrame:
-    return to_long(df, features).groupBy("feature").agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.count_if(F.col("value").isNull()).alias("missing_count"),
+    return column_moments(df, features).select(
+        "feature", "row_count", (F.col("row_count") - F.col("seen_count")).alias("missing_count"),
     ).withColumn("missing_ratio", ratio(F.col("missing_count"), F.col("row_count")))
 
 
@@ -76,18 +78,27 @@ def feature_profile(df: DataFrame, profile: Profile, exact_unique: bool = True)
     """
     features = profile.features(df.columns)
     numeric = [f for f in features if f not in profile.categorical]
-    # Adding zero makes -0.0 and 0.0 one value.
-    long = to_long(df, numeric).select("feature", (F.col("value") + F.lit(0.0)).cast("string").alias("value"))
-    if profile.categorical:
-        from ..functions.scalars import to_long_text
-        long = long.unionByName(to_long_text(df, list(profile.categorical)).select("feature", "value"))
-    unique = (F.count_distinct("value") if exact_unique else
-              F.when(F.min("value").isNull(), 0).when(F.min("value") == F.max("value"), 1).otherwise(2))
-    stats = long.groupBy("feature").agg(
-        F.count(F.lit(1)).alias("row_count"),
-        F.count_if(F.col("value").isNull()).alias("missing_count"),
-        unique.cast("bigint").alias("unique_count"),
-    )
+    text = [f for f in features if f in profile.categorical]
+    if exact_unique or text:
+        stats = _value_statistics(column_values(df, numeric if exact_unique else [], text))
+    if not exact_unique:
+        ends = column_moments(df, numeric).select(
+            "feature", "row_count", (F.col("row_count") - F.col("seen_count")).alias("missing_count"),
+            F.when(F.col("seen_count") == 0, 0).when(F.col("minimum") == F.col("maximum"), 1).otherwise(2).cast("bigint")
+            .alias("unique_count"))
+        stats = ends.unionByName(stats) if text else ends
+    return _removal(stats, profile)
+
+
+def _value_statistics(values: DataFrame) -> DataFrame:
+    """Rows, missing rows and distinct known values per feature of a table of value counts."""
+    gone = F.col("bits").isNull() & F.col("text").isNull()
+    return values.groupBy("feature").agg(
+        F.sum("n").alias("row_count"), F.coalesce(F.sum(F.when(gone, F.col("n"))), F.lit(0)).alias("missing_count"),
+        F.count_if(~gone).alias("unique_count"))
+
+
+def _removal(stats: DataFrame, profile: Profile) -> DataFrame:
     missing = ratio(F.col("missing_count"), F.col("row_count"))
     high = missing > F.lit(profile.missing_threshold)
     constant = ~high & F.lit(profile.drop_constant) & (F.col("unique_count") <= 1)
@@ -109,10 +120,36 @@ def feature_summary(profiled: DataFrame) -> DataFrame:
     )
 
 
+_ROW, _LABEL, _TIME = "__row", "__label", "__time"
+
+
+def _counted_values(df: DataFrame, profile: Profile) -> DataFrame:
+    """Value counts of rows, labels, times and features from one scan, written once.
+
+    A row is named by the SHA-256 of its values.  An unparsable time is empty text.
+    """
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))}
+    plain = nan_to_null(df).select(*[(F.col(c) + F.lit(0.0)).alias(c) if c in floats else F.col(c) for c in df.columns])
+    marks = {_ROW: F.sha2(F.to_json(F.struct(*plain.columns), {"ignoreNullFields": "false"}), 256),
+             _LABEL: F.col(profile.label).cast("string")}
+    if profile.timestamp:
+        parsed = event_time(plain, profile.timestamp, profile.timestamp_format).cast("string")
+        marks[_TIME] = F.when(F.col(profile.timestamp).isNotNull(), F.coalesce(parsed, F.lit("")))
+    features = profile.features(df.columns)
+    numeric = [f for f in features if f not in profile.categorical]
+    text = [f for f in features if f in profile.categorical]
+    marked = plain.select(*features, *[c.alias(n) for n, c in marks.items()])
+    return cut_lineage(column_values(marked, numeric, [*text, *marks]))
+
+
 def quality_log(df: DataFrame, profile: Profile) -> DataFrame:
-    """Whole-table log ``(category, item, value, rule, action)`` with values as text."""
+    """Whole-table log ``(category, item, value, rule, action)`` with values as text, from one scan."""
     validate_frame(df, profile)
-    profiled = feature_profile(df, profile)
+    values = _counted_values(df, profile)
+    profiled = cut_lineage(_removal(_value_statistics(values.where(~F.col("feature").isin(_ROW, _LABEL, _TIME))), profile))
+    whole = values.where(F.col("feature") == _ROW).agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicate_row_count"))
+    labels = values.where(F.col("feature") == _LABEL).select(F.col("text").alias("class"), F.col("n").alias("count"))
     rule_missing = f"missing_ratio > {profile.missing_threshold}"
     rule_constant = "unique_non_missing_count <= 1"
     label_rule = f"column={profile.label}"
@@ -124,16 +161,21 @@ def quality_log(df: DataFrame, profile: Profile) -> DataFrame:
                             ("category", "item", "value", "rule", "action"))])
 
     parts = [
-        rows(df.agg(F.count(F.lit(1)).alias("n")), "dataset", "row_count", F.col("n"), "all rows", "record"),
+        rows(whole, "dataset", "row_count", F.col("n"), "all rows", "record"),
         rows(df.sparkSession.range(1), "dataset", "column_count", F.lit(len(df.columns)),
              "all columns", "record"),
-        rows(duplicate_row_count(df), "dataset", "duplicate_row_count", F.col("duplicate_row_count"),
+        rows(whole, "dataset", "duplicate_row_count", F.col("duplicate_row_count"),
              "exact full-row duplicate", "review"),
-        rows(class_distribution(df, profile.label), "label_distribution", F.col("class"), F.col("count"),
+        rows(labels, "label_distribution", F.col("class"), F.col("count"),
              label_rule, "record"),
     ]
     if profile.timestamp:
-        times = timestamp_profile(df, profile.timestamp, profile.timestamp_format)
+        at = F.when(F.col("text") != "", F.col("text").cast("timestamp_ntz"))
+        times = values.where(F.col("feature") == _TIME).agg(
+            F.coalesce(F.sum(F.when(F.col("text").isNull(), F.col("n"))), F.lit(0)).alias("missing_count"),
+            F.coalesce(F.sum(F.when(F.col("text") == "", F.col("n"))), F.lit(0)).alias("parse_failure_count"),
+            F.coalesce(F.sum(F.when(F.col("text") != "", F.col("n") - 1)), F.lit(0)).alias("duplicate_count"),
+            F.min(at).alias("minimum"), F.max(at).alias("maximum"))
         parsed = f"format={profile.timestamp_format}"
         entries = F.array(*[
             F.struct(F.lit(i).alias("item"), F.col(c).cast("string").alias("value"),
@@ -186,9 +228,9 @@ def quality_filter_by_fold(members: DataFrame, profile: Profile, fold: str = "fo
     """
     numeric = [f for f in profile.features([c for c in members.columns if c != fold])
                if f not in profile.categorical]
-    stats = to_long(members, numeric, [fold]).groupBy(fold, "feature").agg(
-        F.avg(F.col("value").isNull().cast("int")).alias("missing_ratio"),
-        F.min("value").alias("low"), F.max("value").alias("high"))
+    stats = column_moments(members, numeric, [fold]).select(
+        fold, "feature", ratio(F.col("row_count") - F.col("seen_count"), F.col("row_count")).alias("missing_ratio"),
+        F.col("minimum").alias("low"), F.col("maximum").alias("high"))
     high = F.col("missing_ratio") > F.lit(profile.missing_threshold)
     constant = ~high & F.lit(profile.drop_constant) & (F.col("low").isNull() | (F.col("low") == F.col("high")))
     flagged = stats.select(fold, "feature", high.alias("h"), constant.alias("c"))

@@ -8,7 +8,7 @@ from ..functions.scalars import rounded
 from ..ml import anomaly, evaluation
 from ..ml.evaluation import SCORE
 from ..ml.inference import FrozenScorer, input_violations, score_gap
-from ..ml.models import Candidate, class_weight_table, fit, importances, pca_to_variance, poisson_bootstrap, weight_grid
+from ..ml.models import Candidate, class_weight_table, fit, bootstrap_copies, importances, pca_to_variance, stratified_bootstrap, weight_grid
 from ..ml.preprocess import FeaturePrep
 from ..operators import errors, metrics
 from ..operators.splits import fold_membership, random_split, time_blocks, time_split
@@ -207,12 +207,25 @@ def weight_and_depth_grid(spark, folder):
 @query("F9", f"""WITH {sql.B1} SELECT TRUE AS size_near_expected, COUNT(DISTINCT label) AS labels FROM b1""")
 def bootstrap_rows(spark, folder):
     frame = sensor_frame(spark, folder)
-    drawn = poisson_bootstrap(frame, IDS, 1, 42)
+    drawn = stratified_bootstrap(frame, "label", IDS, 1, 42)
     total = frame.agg(F.count(F.lit(1)).alias("n"))
     return drawn.agg(F.count(F.lit(1)).alias("k"), F.count_distinct("label").alias("labels")).crossJoin(total).select(
         (F.abs(F.col("k") / F.col("n") - 1) < 0.1).alias("size_near_expected"), "labels")
 
 
+@query("F9", f"""WITH {sql.B1}, rk AS (SELECT row_id, label, ROW_NUMBER() OVER (PARTITION BY label ORDER BY md5('42|' || row_id), row_id) - 1 AS place,
+ COUNT(*) OVER (PARTITION BY label) AS n FROM b1),
+dr AS (SELECT label, r AS repeat, CAST('0x' || substr(md5('42|' || r || '|' || label || '|' || place), 1, 15) AS BIGINT) % n AS place
+ FROM rk, (SELECT UNNEST(range(2)) AS r)),
+pk AS (SELECT label, repeat, place, COUNT(*) AS copies FROM dr GROUP BY label, repeat, place)
+SELECT row_id, label, CAST(repeat AS INTEGER) AS repeat, copies FROM pk JOIN rk USING (label, place)""")
+def bootstrap_draws(spark, folder):
+    """Which rows two repeats draw, and how often; each class draws its own size."""
+    frame = sensor_frame(spark, folder).select(*IDS, "label")
+    return bootstrap_copies(frame, "label", IDS, 0, 42).withColumn("repeat", F.lit(0)).unionByName(
+        bootstrap_copies(frame, "label", IDS, 1, 42).withColumn("repeat", F.lit(1))).select("row_id", "label", "repeat", "copies")
+
+
 @query("L16")
 def pca_reconstruction_scores(spark, folder):
     train, later = _parts(spark, folder)

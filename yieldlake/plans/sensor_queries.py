@@ -8,7 +8,7 @@ from ..functions.scalars import rounded
 from ..operators import distribution, drift, quality
 from ..operators.splits import fold_membership, time_blocks, time_split
 from ..profile import feature_frame, label_violations
-from ..scale import exact_quantiles
+from ..columns import column_quantiles
 from ..sources.tables import NUMERIC_PROFILE, SENSOR_PROFILE, SENSORS, score_frame, sensor_frame
 from . import sql
 from .registry import query
@@ -173,7 +173,7 @@ ps AS (SELECT feature, SUM((v - t) * LN(v / t)) AS psi FROM rt GROUP BY feature)
 def psi_by_feature(spark, folder):
     from ..functions.scalars import to_long
     frame = split_frame(spark, folder).where("role <> 'test'")
-    return rounded(drift.psi(to_long(frame, SENSORS, ["role"]), "role", "train", "validation"))
+    return rounded(drift.psi(frame, drift.quantile_edges(frame, SENSORS, "role", "train"), "role", "train", "validation"))
 
 
 _NUMERIC = f"""ns AS (SELECT feature,
@@ -271,7 +271,7 @@ def selected_sensor_drift(spark, folder):
 
 
 @query("R6", f"""WITH {sql.B1}, {sql.split()}, lm AS ({sql.long('sp', "role, strftime(ts, '%Y-%m') AS month, label",
-       ['sensor_0', 'sensor_2', 'sensor_5'])})
+       SENSORS)})
 SELECT role AS split, month, feature, COUNT(*) AS row_count, COUNT(value) AS observed_count,
 ROUND(COUNT(*) FILTER (value IS NULL) / CAST(COUNT(*) AS DOUBLE), 6) AS missing_ratio, ROUND(AVG(value), 6) AS mean,
 ROUND(quantile_cont(value, 0.5), 6) AS median, COUNT(*) FILTER (label = 1) AS failure_count,
@@ -279,7 +279,7 @@ ROUND(COUNT(*) FILTER (label = 1) / CAST(COUNT(*) AS DOUBLE), 6) AS failure_rati
 FROM lm WHERE role <> 'test' GROUP BY role, month, feature""")
 def monthly_sensor_statistics(spark, folder):
     frame = split_frame(spark, folder).where("role <> 'test'")
-    return rounded(drift.monthly_statistics(frame, SENSOR_PROFILE, "role", ["sensor_0", "sensor_2", "sensor_5"]))
+    return rounded(drift.monthly_statistics(frame, SENSOR_PROFILE, "role", SENSORS))
 
 
 @query("R7", f"""WITH {sql.B1}, {sql.split()} SELECT feature, role AS split, COUNT(*) AS row_count,
@@ -291,7 +291,7 @@ def sensor_detail(spark, folder):
     return rounded(drift.detail_summary(split_frame(spark, folder), SENSORS, "role"))
 
 
-@query("R8 T2", f"""WITH {sql.B1}, {sql.blocks('b1', 3)}, lb AS ({sql.long('bl', 'block, label', ['sensor_0', 'sensor_2'])}),
+@query("R8 T2", f"""WITH {sql.B1}, {sql.blocks('b1', 3)}, lb AS ({sql.long('bl', 'block, label')}),
 pp AS (SELECT CAST(block AS VARCHAR) AS period, * FROM lb UNION ALL SELECT 'all', * FROM lb)
 SELECT period, label AS "class", feature, COUNT(*) AS row_count, COUNT(value) AS observed_count,
 ROUND(COUNT(*) FILTER (value IS NULL) / CAST(COUNT(*) AS DOUBLE), 6) AS missing_ratio,
@@ -299,7 +299,7 @@ ROUND(quantile_cont(value, 0.5), 6) AS median, ROUND(quantile_cont(value, 0.1),
 ROUND(quantile_cont(value, 0.9), 6) AS p90 FROM pp GROUP BY period, label, feature""")
 def class_period_distribution(spark, folder):
     blocked = time_blocks(sensor_frame(spark, folder), NUMERIC_PROFILE, 3)
-    return rounded(distribution.class_period_distribution(blocked, NUMERIC_PROFILE, ["sensor_0", "sensor_2"]))
+    return rounded(distribution.class_period_distribution(blocked, NUMERIC_PROFILE, SENSORS))
 
 
 @query("R9", f"""WITH {sql.B2}, c AS (SELECT label, score, COUNT(*) AS n FROM b2 GROUP BY label, score)
@@ -369,7 +369,6 @@ def correlation_by_class(spark, folder):
 @query("R1 R7", f"""WITH {sql.B1} SELECT feature, ROUND(quantile_cont(value, 0.05), 6) AS p05,
 ROUND(quantile_cont(value, 0.95), 6) AS p95 FROM ({sql.long('b1', 'row_id')}) GROUP BY feature""")
 def exact_sensor_quantiles(spark, folder):
-    from ..functions.scalars import to_long
-    q = exact_quantiles(to_long(sensor_frame(spark, folder), SENSORS), ["feature"], "value", [0.05, 0.95])
+    q = column_quantiles(sensor_frame(spark, folder), SENSORS, [0.05, 0.95])
     return rounded(q.select("feature", F.get("quantiles", F.lit(0)).alias("p05"),
                             F.get("quantiles", F.lit(1)).alias("p95")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import dies
@@ -306,6 +307,32 @@ def assignment_candidate_totals(spark, folder):
     return placed.groupBy("candidate").agg(F.count_distinct("gid").alias("groups"), F.sum(size).alias("samples"))
 
 
+@query("T15", f"""WITH RECURSIVE {_SUPPORT}, ct AS (SELECT class_index, SUM(n) AS total FROM gc GROUP BY class_index),
+mx AS (SELECT gid, SUM(n) AS size, arg_min(class_index, (total, class_index)) AS rare FROM gc JOIN ct USING (class_index) GROUP BY gid),
+cd AS (SELECT *, md5('42|' || candidate || '|' || gid) AS h FROM mx, (SELECT UNNEST(range(32)) AS candidate)),
+pl AS (SELECT *, (SUM(size) OVER (PARTITION BY candidate, rare ORDER BY h, gid) - size / 2.0::DOUBLE) / SUM(size) OVER (PARTITION BY candidate, rare) AS middle FROM cd)
+SELECT CAST(candidate AS INTEGER) AS candidate, gid, CASE WHEN middle < 0.7::DOUBLE THEN 0 WHEN middle < 0.7::DOUBLE + 0.15::DOUBLE THEN 1 ELSE 2 END AS slot FROM pl""")
+def assignment_bands(spark, folder):
+    """The split that each candidate's bands give every labeled group, before seeds and exchanges."""
+    return groups.assignment_bands(_grouped(spark, folder)[2], groups.GroupSplitConfig()).select("candidate", "gid", "slot")
+
+
+@query("T15 T20", f"""WITH RECURSIVE {_SUPPORT} SELECT gid, CAST(SUM(n) AS BIGINT) AS samples, COUNT(*) AS classes, 1 AS splits,
+9 AS classes_in_split, TRUE AS no_worse_than_seeded FROM gc GROUP BY gid""")
+def improved_assignment(spark, folder):
+    """Every labeled group with its one split, the classes that split holds, and the objective after exchanges."""
+    counts = _grouped(spark, folder)[2]
+    found = groups.improve_assignment(counts)
+    ratios = np.array(groups.GroupSplitConfig().ratios)
+    better = bool(groups.split_objective(found.final, ratios) <= groups.split_objective(found.seeded, ratios))
+    placed = counts.join(found.groups, "gid")
+    held = placed.groupBy("split").agg(F.count_distinct("class_index").cast("int").alias("classes_in_split"))
+    return placed.groupBy("gid").agg(
+        F.sum("n").alias("samples"), F.count_distinct("class_index").alias("classes"), F.count_distinct("split").cast("int").alias("splits"),
+        F.max("split").alias("split")).join(held, "split").select(
+        "gid", "samples", "classes", "splits", "classes_in_split", F.lit(better).alias("no_worse_than_seeded"))
+
+
 def _split_rows(spark, folder, with_map=True):
     """The split without maps, which join by sample at the end where they are wanted."""
     whole = manifest(spark, folder)

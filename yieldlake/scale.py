@@ -1,8 +1,7 @@
 """Building blocks that keep ordered and keyed work spread over the cluster.
 
-Ordered results (running totals, exact quantiles) have a plain form, used when a
-count proves that the input fits one task, and a distributed form for anything
-larger.  Both give the same rows.
+Running totals have a plain form, used when a count proves that the input fits one
+task, and a distributed form for anything larger.  Both give the same rows.
 """
 
 from __future__ import annotations
@@ -166,39 +165,6 @@ def running_sum(
         *[(F.col(f"__l_{m}") + F.col(f"__o_{m}")).alias(f"cum_{m}") for m in measures])
 
 
-def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probs: Sequence[float],
-    rows: int | None = None,
-    name: str = "quantiles",
-) -> DataFrame:
-    """Exact linearly interpolated quantiles per key as an array; null without values."""
-    keys = list(keys)
-    probs = [float(p) for p in probs]
-    if fits_one_task(df, rows):
-        return df.groupBy(*keys).agg(F.percentile(F.col(value), F.array(*map(F.lit, probs))).alias(name))
-    counts = df.groupBy(*keys, value).agg(F.count(F.col(value)).alias("__n"))
-    # The distinct values of one key may outgrow a task, so ranks come from the sliced total.
-    ranked = running_sum(counts, [F.col(value).asc_nulls_first()], ["__n"], keys,
-                         rows=one_task_rows(df.sparkSession) + 1)
-    totals = counts.groupBy(*keys).agg(F.sum("__n").alias("__total"))
-    ranked = join_on(ranked, totals, keys)
-    edges = []
-    for i, p in enumerate(probs):
-        position = (F.col("__total") - 1) * F.lit(p)
-        for side, rank in (("lo", F.floor(position)), ("hi", F.ceil(position))):
-            edges.append(F.min(F.when(F.col("cum___n") > rank, F.col(value))).alias(f"__{side}{i}"))
-    found = ranked.groupBy(*keys).agg(F.max("__total").alias("__total"), *edges)
-    points = []
-    for i, p in enumerate(probs):
-        position = (F.col("__total") - 1) * F.lit(p)
-        share = position - F.floor(position)
-        points.append(F.col(f"__lo{i}") * (1 - share) + F.col(f"__hi{i}") * share)
-    return found.select(*keys, F.when(F.col("__total") > 0, F.array(*points)).alias(name))
-
-
 def hot_keys(counts: DataFrame, count: str) -> DataFrame:
     """Rows of a per-key count table whose key holds more than 1/1000 of everything (< 1000 rows)."""
     total = counts.agg(F.sum(count).alias("__all"))

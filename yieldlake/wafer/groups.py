@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,6 +27,8 @@ class GroupSplitConfig:
     candidates: int = 32
     max_group_ratio: float = 0.2
     rare_class_warning: int = 10
+    exchange_rounds: int = 20
+    exchange_offers: int = 48  # groups offered for each pair of splits in a round
 
 
 def map_hash_counts(manifest: DataFrame) -> DataFrame:
@@ -166,28 +169,185 @@ def _matrix(counts: DataFrame) -> DataFrame:
         F.sum("n").alias("size"), F.min_by("class_index", F.struct("total", "class_index")).alias("rare"), *cells)
 
 
-def assignment_candidates(counts: DataFrame, config: GroupSplitConfig) -> DataFrame:
-    """Every candidate's split per group: ``(candidate, gid, split, c0..c8)``.
+def assignment_bands(counts: DataFrame, config: GroupSplitConfig) -> DataFrame:
+    """Every candidate's split per group by bands of cumulative size: ``(candidate, gid, slot, c0..c8)``.
 
-    Within its rarest class a group's place is a seeded hash; the first three groups
-    give each split one, in an order that turns with the candidate, and the others
-    fall into bands of cumulative size.
+    Within its rarest class a group's place is a seeded hash, and its middle on the way
+    through the rows of these groups falls into the band of a split.
     """
     groups = cut_lineage(_matrix(counts)).withColumn("candidate", F.explode(F.sequence(F.lit(0), F.lit(config.candidates - 1))))
     ordered = groups.withColumn("h", F.md5(F.concat_ws(
         "|", F.lit(str(config.seed)), F.col("candidate").cast("string"), F.col("gid").cast("string"))))
-    ordered = ordered.withColumn("one", F.lit(1).cast("bigint"))
-    placed = running_sum(ordered, [F.col("h"), F.col("gid")], ["one", "size"], ["candidate", "rare"])
+    placed = running_sum(ordered, [F.col("h"), F.col("gid")], ["size"], ["candidate", "rare"])
     totals = ordered.groupBy("candidate", "rare").agg(F.sum("size").alias("class_size"))
-    placed = placed.join(totals, ["candidate", "rare"])
+    placed = placed.join(F.broadcast(totals), ["candidate", "rare"])  # candidates x classes rows
     middle = (F.col("cum_size") - F.col("size") / 2) / F.col("class_size")
     a, b, _ = config.ratios
-    band = F.when(middle < a, 0).when(middle < a + b, 1).otherwise(2)
-    turn = F.pmod(F.xxhash64("candidate", "rare"), F.lit(3))
-    slot = F.when(F.col("cum_one") <= 3, F.pmod(F.col("cum_one") - 1 + turn, F.lit(3))).otherwise(band)
+    slot = F.when(middle < a, 0).when(middle < a + b, 1).otherwise(2)
     return placed.select("candidate", "gid", slot.cast("int").alias("slot"), *[f"c{c}" for c in range(CLASSES)])
 
 
+def coverage_seeds(counts: DataFrame) -> dict[int, int]:
+    """Groups that give every split every class, as ``{gid: slot}``; an error when no assignment can.
+
+    Each class offers its 27 smallest groups (three for each class are enough: what the other
+    classes may take of them still leaves three), so at most 243 groups reach the driver.
+    """
+    offered = Window.partitionBy("class_index").orderBy("size", "gid")
+    sized = counts.join(counts.groupBy("gid").agg(F.sum("n").alias("size")), "gid")
+    core = sized.where("n > 0").withColumn("place", F.row_number().over(offered)).where(
+        F.col("place") <= len(SPLITS) * CLASSES).select("gid").distinct()
+    rows = sized.join(F.broadcast(core), "gid").where("n > 0").groupBy("gid", "size").agg(
+        F.expr("sum(shiftleft(1L, cast(class_index as int)))").alias("mask")).orderBy("size", "gid").collect()
+    found = cover([(r["gid"], r["mask"]) for r in rows])
+    if found is None:
+        raise ContractError("NO_FEASIBLE_SPLIT_CANDIDATE")
+    return found
+
+
+def cover(groups: list[tuple[int, int]]) -> dict[int, int] | None:
+    """Assign some groups to three splits so that each split meets all classes; None when impossible.
+
+    ``groups`` are ``(gid, bit mask of classes)`` in order of preference.  Groups of equal
+    masks stand for each other, the scarcest class is served first, and states that failed
+    are not entered again: the search is exhaustive.
+    """
+    pools: dict[int, list[int]] = {}
+    for gid, mask in groups:
+        pools.setdefault(mask, []).append(gid)
+    masks = list(pools)
+    whole = (1 << CLASSES) - 1
+    failed: set[tuple] = set()
+
+    def search(left: tuple[int, ...], covered: tuple[int, ...]) -> list[tuple[int, int]] | None:
+        if all(c == whole for c in covered):
+            return []
+        state = (left, tuple(sorted(covered)))
+        if state in failed:
+            return None
+        scarce = None
+        for k in range(CLASSES):
+            needed = sum(not c >> k & 1 for c in covered)
+            if needed:
+                spare = sum(n for n, m in zip(left, masks) if m >> k & 1) - needed
+                if spare < 0:
+                    failed.add(state)
+                    return None
+                if scarce is None or spare < scarce[0]:
+                    scarce = (spare, k)
+        k = scarce[1]
+        slot = next(s for s in range(len(covered)) if not covered[s] >> k & 1)
+        options = [i for i, (n, m) in enumerate(zip(left, masks)) if n and m >> k & 1]
+        for i in sorted(options, key=lambda i: -(masks[i] & ~covered[slot]).bit_count()):
+            after = search(tuple(n - (j == i) for j, n in enumerate(left)),
+                           tuple(c | masks[i] if s == slot else c for s, c in enumerate(covered)))
+            if after is not None:
+                return [(i, slot), *after]
+        failed.add(state)
+        return None
+
+    found = search(tuple(len(pools[m]) for m in masks), (0,) * len(SPLITS))
+    if found is None:
+        return None
+    taken = {m: iter(pools[m]) for m in masks}
+    return {next(taken[masks[i]]): slot for i, slot in found}
+
+
+def _with_slots(assigned: DataFrame, slots: dict[int, int]) -> DataFrame:
+    """Replace the slots of the listed groups; the list is bounded by its makers."""
+    if not slots:
+        return assigned
+    new = assigned.sparkSession.createDataFrame(sorted(slots.items()), "gid long, __slot int").withColumn(
+        "gid", F.col("gid").cast(assigned.schema["gid"].dataType))
+    return assigned.join(F.broadcast(new), "gid", "left").withColumn("slot", F.coalesce("__slot", "slot")).select(*assigned.columns)
+
+
+def assignment_candidates(counts: DataFrame, config: GroupSplitConfig) -> DataFrame:
+    """All candidates with the groups that give every split every class: ``(candidate, gid, slot, c0..c8)``."""
+    return _with_slots(assignment_bands(counts, config), coverage_seeds(counts))
+
+
+def split_objective(matrix: np.ndarray, ratios: np.ndarray) -> np.ndarray:
+    """Squared share errors of rows plus their mean over classes, of one or many split x class tables of counts."""
+    sizes = matrix.sum(axis=-1)
+    of_rows = ((sizes / sizes.sum(axis=-1, keepdims=True) - ratios) ** 2).sum(axis=-1)
+    of_classes = ((matrix / matrix.sum(axis=-2, keepdims=True) - ratios[:, None]) ** 2).sum(axis=(-1, -2))
+    return of_rows + of_classes / CLASSES
+
+
+def _moved(matrix: np.ndarray, change: np.ndarray, source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Tables after each row of ``change`` went from its source to its target split."""
+    tables = np.repeat(matrix[None].astype(np.int64), len(change), axis=0)
+    at = np.arange(len(change))
+    tables[at, source] -= change
+    tables[at, target] += change
+    return tables
+
+
+def _best_moves(assigned: DataFrame, matrix: np.ndarray, config: GroupSplitConfig) -> list:
+    """For every pair of splits the groups whose move changes the objective best, few enough for the driver."""
+    ratios, kept = np.array(config.ratios), config.exchange_offers
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            gid, slot = batch.column(0), batch.column(1).to_numpy()
+            counts = np.stack([batch.column(i + 2).to_numpy() for i in range(CLASSES)], axis=1)
+            for source in range(len(SPLITS)):
+                mine = np.flatnonzero(slot == source)
+                for target in range(len(SPLITS)):
+                    if source == target or not len(mine):
+                        continue
+                    after = split_objective(_moved(matrix, counts[mine], np.full(len(mine), source), np.full(len(mine), target)), ratios)
+                    first = np.lexsort((gid.to_numpy()[mine], after))[:kept]
+                    rows = pa.array(mine[first])
+                    yield pa.RecordBatch.from_arrays(
+                        [gid.take(rows), pa.array(np.full(len(first), source, dtype=np.int32)),
+                         pa.array(np.full(len(first), target, dtype=np.int32)), pa.array(after[first]),
+                         *[batch.column(i + 2).take(rows) for i in range(CLASSES)]],
+                        ["gid", "source", "target", "after", *[f"c{c}" for c in range(CLASSES)]])
+
+    columns = ", ".join(f"c{c} bigint" for c in range(CLASSES))
+    found = assigned.select(F.col("gid").cast("bigint").alias("gid"), "slot", *[f"c{c}" for c in range(CLASSES)]).mapInArrow(
+        run, f"gid bigint, source int, target int, after double, {columns}")
+    best = Window.partitionBy("source", "target").orderBy("after", "gid")
+    return found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= kept).orderBy(
+        "source", "target", "place").collect()
+
+
+def _exchange(offers: list, matrix: np.ndarray, config: GroupSplitConfig) -> tuple[dict[int, int], np.ndarray]:
+    """Apply the best moves and swaps of offered groups, one after the other, while the objective falls.
+
+    A step that would take a class away from a split is not made.
+    """
+    ratios = np.array(config.ratios)
+    gid = np.array([r["gid"] for r in offers], dtype=np.int64)
+    source = np.array([r["source"] for r in offers], dtype=np.int64)
+    target = np.array([r["target"] for r in offers], dtype=np.int64)
+    counts = np.array([[r[f"c{c}"] for c in range(CLASSES)] for r in offers], dtype=np.int64).reshape(-1, CLASSES)
+    # Two groups that change places are one step; a single move pairs with nothing.
+    first, second = np.nonzero((source[:, None] == target[None]) & (target[:, None] == source[None]) & (source[:, None] < target[:, None]))
+    first, second = np.concatenate([np.arange(len(gid)), first]), np.concatenate([np.full(len(gid), -1), second])
+    change = counts[first] - np.where(second[:, None] >= 0, counts[second], 0)
+    done: dict[int, int] = {}
+    current = float(split_objective(matrix, ratios))
+    open_ = np.ones(len(first), dtype=bool)
+    while open_.any():
+        at = np.flatnonzero(open_)
+        tables = _moved(matrix, change[at], source[first[at]], target[first[at]])
+        after = np.where((tables > 0).all(axis=(1, 2)), split_objective(tables, ratios), np.inf)
+        best = int(np.argmin(after))
+        if not after[best] < current - 1e-12:
+            break
+        matrix, current, step = tables[best], float(after[best]), at[best]
+        for i in (first[step], second[step]):
+            if i >= 0:
+                done[int(gid[i])] = int(target[i])
+                open_ &= (gid[first] != gid[i]) & ((second < 0) | (gid[second] != gid[i]))
+    return done, matrix
+
+
 def candidate_scores(assigned: DataFrame, config: GroupSplitConfig) -> DataFrame:
     """Objective and class coverage per candidate: squared share errors of rows plus the class mean."""
     sums = assigned.groupBy("candidate", "slot").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(CLASSES)])
@@ -211,24 +371,50 @@ def candidate_scores(assigned: DataFrame, config: GroupSplitConfig) -> DataFrame
         (F.min("covered") == 1).alias("all_classes_present"))
 
 
-def choose_assignment(counts: DataFrame, config: GroupSplitConfig | None = None) -> DataFrame:
-    """``(gid, split)`` of the candidate with the lowest objective among those covering every class.
+@dataclass(frozen=True)
+class Assignment:
+    """``groups`` holds ``(gid, split)``; the tables count rows per split and class."""
+
+    groups: DataFrame
+    candidate: int
+    seeded: np.ndarray
+    final: np.ndarray
+
 
-    All candidates are scored in one job; no further ones are tried when none qualifies.
+def improve_assignment(counts: DataFrame, config: GroupSplitConfig | None = None) -> Assignment:
+    """The best candidate that covers every class, after rounds of moves and swaps.
+
+    Every candidate holds the coverage seeds, so one is found whenever any assignment covers
+    all classes.  A round scores every group's move in parallel; of the best offers for each
+    pair of splits the driver applies those that lower the objective.  No step breaks
+    coverage, and the rounds end when no offer helps.
     """
     config = config or GroupSplitConfig()
     counts = cut_lineage(counts)
     support = class_group_support(counts).agg(F.min("groups").alias("g"), F.min("samples").alias("s")).first()
     if support.g < 3 or support.s <= 0:
         raise ContractError("INSUFFICIENT_CLASS_GROUPS")
-    assigned = cut_lineage(assignment_candidates(counts, config))
-    best = candidate_scores(assigned, config).where("all_classes_present").agg(
-        F.min(F.struct("objective", "candidate")).alias("b")).first().b
-    if best is None:
-        raise ContractError("NO_FEASIBLE_SPLIT_CANDIDATE")
+    candidates = cut_lineage(assignment_candidates(counts, config))
+    best = candidate_scores(candidates, config).where("all_classes_present").agg(
+        F.min_by("candidate", F.struct("objective", "candidate")).alias("c")).first().c
+    assigned = cut_lineage(candidates.where(F.col("candidate") == best).drop("candidate"))
+    matrix = np.zeros((len(SPLITS), CLASSES), dtype=np.int64)
+    for r in assigned.groupBy("slot").agg(*[F.sum(f"c{c}").alias(f"c{c}") for c in range(CLASSES)]).collect():
+        matrix[r["slot"]] = [r[f"c{c}"] for c in range(CLASSES)]
+    seeded, slots = matrix, {}
+    for _ in range(config.exchange_rounds):
+        moved, matrix = _exchange(_best_moves(_with_slots(assigned, slots), matrix, config), matrix, config)
+        if not moved:
+            break
+        slots |= moved
     names = F.array(*map(F.lit, SPLITS))
-    return assigned.where(F.col("candidate") == best.candidate).select(
-        "gid", F.element_at(names, F.col("slot") + 1).alias("split"))
+    groups = _with_slots(assigned, slots).select("gid", F.element_at(names, F.col("slot") + 1).alias("split"))
+    return Assignment(groups, best, seeded, matrix)
+
+
+def choose_assignment(counts: DataFrame, config: GroupSplitConfig | None = None) -> DataFrame:
+    """``(gid, split)`` as ``improve_assignment`` finds it."""
+    return improve_assignment(counts, config).groups
 
 
 def assignment_overlap(active: DataFrame, groups: DataFrame, assignment: DataFrame) -> DataFrame:
