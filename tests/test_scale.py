@@ -1,10 +1,13 @@
+import random
+
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from yieldlake.profile import Profile
 from yieldlake.operators import distribution, metrics, splits
 from yieldlake.columns import exact_quantiles
-from yieldlake.scale import apply_cuts, hot_keys, lookup_join, quota_cuts, running_sum
+from yieldlake.scale import apply_cuts, as_of_join, hot_keys, lookup_join, quota_cuts, running_sum
 
 
 def _values(spark):
@@ -95,3 +98,28 @@ def test_time_folds_agree_in_both_forms(spark, spread):
         F.when(F.col("id") % 5 == 0, 1).otherwise(-1).alias("label"), "id")
     blocks = {r.block: r.n for r in splits.time_blocks(df, profile, 3).groupBy("block").agg(F.count("*").alias("n")).collect()}
     assert blocks == {0: 10, 1: 10, 2: 10, 3: 10}
+
+
+@pytest.mark.parametrize("parts", ["2", "9"])
+def test_as_of_join_finds_the_state_in_force(spark, parts):
+    draw = random.Random(8)
+    states = [(draw.choice("hc"), draw.randint(0, 300), draw.random()) for _ in range(60)] + [("h", 50, 0.1), ("h", 50, 0.9), (None, 5, 0.5), ("c", None, 0.5)]
+    # Two thirds of the rows have one key, many of them one time.
+    rows = [(i, draw.choice("hhhhc"), draw.choice([50, 120, draw.randint(-5, 320)])) for i in range(900)]
+    rows += [(900, None, 10), (901, "h", None), (902, "nowhere", 10), (0, "h", 50)]
+    df = spark.createDataFrame(rows, "id int, k string, t int").repartition(3)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    try:
+        got = as_of_join(df, spark.createDataFrame(states, "k string, since int, threshold double"), ["k"], "t", "since", ["threshold"]).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+    def in_force(k, t):
+        known = [(s, x) for key, s, x in states if k is not None and key == k and s is not None and t is not None and s <= t]
+        return max(known, default=(None, None))
+
+    assert sorted(map(repr, ((r.id, r.k, r.t, r.since, r.threshold) for r in got))) == sorted(
+        map(repr, ((i, k, t, *in_force(k, t)) for i, k, t in rows)))
+    assert as_of_join(df, spark.createDataFrame([], "k string, since int, threshold double"), ["k"], "t", "since", ["threshold"]).where(
+        "since is null").count() == len(rows)

@@ -83,7 +83,9 @@ def test_bridge_lot_joins_two_lots(spark):
     assert found == {"A": 0, "B": 0, "bridge": 0, "C": 1, "D": 2}
 
 
-def test_long_chain_and_hub_converge_in_both_forms(spark, spread):
+@pytest.mark.parametrize("edges", [500_000, 4])
+def test_long_chain_and_hub_converge_in_both_forms(spark, spread, monkeypatch, edges):
+    monkeypatch.setattr(groups, "CONTRACTED_EDGES", edges)
     chain = [(f"L{i:03d}", h, 0) for i in range(40) for h in (i, i + 1)]
     hub = [(f"M{i:02d}", 900, 1) for i in range(30)]
     found = {r.lot_id: r.gid for r in groups.lot_groups(graph(spark, chain + hub)).collect()}

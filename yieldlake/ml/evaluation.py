@@ -14,7 +14,7 @@ from ..operators import leakage, metrics, policy
 from ..operators.splits import fold_membership, fold_periods, recent_rows, stratified_homes, time_blocks
 from ..profile import ContractError, Evaluation, Profile
 from ..scale import cut_lineage
-from .models import Candidate, Fitted, fit, run_all
+from .models import Candidate, Fitted, averaged_gains, fit, prep_statistics, run_all, weighted_gains
 
 SCORE = "positive_score"
 
@@ -82,24 +82,36 @@ def score_folds(members: FoldRows, profile: Profile, candidates: list[Candidate]
                 fold: str, folds: list[int], keep: list[str] | None = None, role: str = "oof") -> Scored:
     """Fit each candidate on every fold's fit rows and score its evaluation rows.
 
-    The folds of all candidates run as concurrent jobs; predictions are written once.
+    The folds of all candidates run as concurrent jobs and share the statistics of their fit
+    rows; predictions are written once.
     """
     spark = members.rows.sparkSession
     columns = [*ids, profile.label, *(keep or [])]
 
     def job(c: Candidate, f: int):
-        model = fit(members.rows.where(members.fit(f)), profile, c, features, ids)
+        model = fit(members.rows.where(members.fit(f)), profile, c, features, ids, known[f])
         scored = model.score(members.rows.where(members.evaluation(f))).select(*columns, SCORE)
         tags = {"model_name": c.name, fold: f}
         return (tagged(scored, **tags), fit_record(model, spark, **tags, fit_role=role),
                 selection_rows(model, spark, **tags, fit_role=role, fit_id=f"{c.name}:{role}:{f}"))
 
+    known = dict(zip(folds, run_all([lambda f=f: prep_statistics(members.rows.where(members.fit(f)), profile, features) for f in folds])))
     done = run_all([lambda c=c, f=f: job(c, f) for c in candidates for f in folds])
     chosen = [d[2] for d in done if d[2] is not None]
     return Scored(cut_lineage(union_all([d[0] for d in done])), union_all([d[1] for d in done]),
                   union_all(chosen) if chosen else None)
 
 
+def fold_gains(members: FoldRows, profile: Profile, c: Candidate, features: list[str], folds: list[int]) -> tuple[DataFrame, DataFrame]:
+    """Class-weighted split gains ``(fold, feature, gain)`` of every fold's fit rows, and their average ``(feature, share, rank)``."""
+    spark = members.rows.sparkSession
+    runs = run_all([lambda f=f: weighted_gains(members.rows.where(members.fit(f)), profile, c, features) for f in folds])
+    rows = [(f, n, v) for f, run in zip(folds, runs) for n, v in run]
+    mean = [(n, v, i) for i, (n, v) in enumerate(averaged_gains(runs, features), 1)]
+    return (spark.createDataFrame(rows, "fold int, feature string, gain double"),
+            spark.createDataFrame(mean, "feature string, share double, rank int"))
+
+
 def compare_candidates(df: DataFrame, profile: Profile, candidates: list[Candidate], features: list[str],
                        ids: list[str], settings: Evaluation) -> dict[str, DataFrame]:
     """Repeated-CV comparison: metrics per fold, mean and population deviation per model."""

@@ -9,13 +9,13 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..profile import ContractError, Profile
-from ..scale import cut_lineage, seeded_hash
-from .preprocess import FeaturePrep, FeaturePrepModel
+from ..scale import cut_lineage, remove_path, scratch_path, seeded_hash
+from .preprocess import FeaturePrep, FeaturePrepModel, PrepStatistics
 
 # Leaf sizes and depth variants of the candidate families.
 LEAF_VARIANTS = {"random_forest_leaf3": 3, "random_forest_leaf5": 5}
@@ -30,7 +30,7 @@ class Candidate:
     classifier: str = "logistic_regression_l1"
     weight_mode: str = "none"  # none, sqrt_ratio, ratio, balanced
     missing_mode: str = "median"  # median, median_indicator
-    selector: str | None = None  # forest, gain, l1, stable_forest, stable_gain, pca, fixed
+    selector: str | None = None  # forest, gain, weighted_gain, l1, stable_forest, stable_gain, pca, fixed
     top_k: int | None = None
     fixed: tuple[str, ...] = ()
     trees: int = 20
@@ -150,6 +150,43 @@ def _selector_model(c: Candidate, kind: str, prepared: DataFrame, total_weight:
     return LogisticRegression(maxIter=c.max_iter, elasticNetParam=1.0, regParam=1.0 / total_weight, **common).fit(prepared)
 
 
+def split_gains(model, names: list[str]) -> list[tuple[str, float]]:
+    """Summed gain of each feature of a boosted model's splits, largest first; features without a split are left out.
+
+    A node's gain is its fall in weighted squared error: Spark's gain per unit of weight times
+    the weight of the node.  Nodes are read from the saved model, one row per feature comes back.
+    """
+    spark = SparkSession.active()
+    path = scratch_path(spark)
+    model.write().save(path)
+    nodes = spark.read.parquet(f"{path}/data").select("nodeData.*").where("leftChild >= 0")
+    found = nodes.groupBy(F.col("split.featureIndex").alias("i")).agg(
+        F.sum(F.col("gain") * F.get("impurityStats", F.lit(0))).alias("gain")).collect()
+    remove_path(spark, path)
+    return [(names[r["i"]], float(r["gain"])) for r in sorted(found, key=lambda r: (-r["gain"], r["i"]))]
+
+
+def weighted_gains(df: DataFrame, profile: Profile, c: Candidate, features: list[str],
+                   known: PrepStatistics | None = None) -> list[tuple[str, float]]:
+    """Split gains of a boosted model on these rows, with failures weighted by the class ratio of the same rows."""
+    weights = class_weight(df, profile, "ratio")
+    numeric = [f for f in features if f not in profile.categorical]
+    prep = FeaturePrep(features=numeric, missingThreshold=profile.missing_threshold, dropConstant=profile.drop_constant).build(
+        known or prep_statistics(df, profile, numeric))
+    model = _selector_model(c, "gain", prep.transform(with_target(df, profile, weights)), weights["total"])
+    return split_gains(model, prep.slot_names())
+
+
+def averaged_gains(runs: list[list[tuple[str, float]]], features: list[str]) -> list[tuple[str, float]]:
+    """Mean share of a run's whole gain per feature, largest first; a feature without a split counts as 0.
+
+    Shares, not sums: the folds of a time split hold different numbers of rows.
+    """
+    totals = [sum(v for _, v in run) for run in runs]
+    means = {f: sum(dict(run).get(f, 0.0) / t for run, t in zip(runs, totals) if t > 0) / len(runs) for f in features}
+    return sorted(means.items(), key=lambda x: (-x[1], features.index(x[0])))
+
+
 def bootstrap_copies(df: DataFrame, label: str, ids: list[str], repeat: int, seed: int) -> DataFrame:
     """``df`` with ``copies``: how often each row is drawn when every class draws its own size with replacement.
 
@@ -209,15 +246,22 @@ def stable_selection(df: DataFrame, profile: Profile, c: Candidate, features: li
     return [{**t, "selection_rank": i, "feature_space": "raw_sensor"} for i, t in enumerate(table[:c.top_k], 1)]
 
 
-def fit(df: DataFrame, profile: Profile, c: Candidate, features: list[str], ids: list[str] | None = None) -> Fitted:
-    """Fit every stage on these rows only."""
+def prep_statistics(df: DataFrame, profile: Profile, features: list[str]) -> PrepStatistics:
+    """Statistics of fit rows that the preprocessing of all candidates shares."""
+    return FeaturePrep(features=[f for f in features if f not in profile.categorical],
+                       categorical=[f for f in features if f in profile.categorical]).statistics(df)
+
+
+def fit(df: DataFrame, profile: Profile, c: Candidate, features: list[str], ids: list[str] | None = None,
+        known: PrepStatistics | None = None) -> Fitted:
+    """Fit every stage on these rows only; ``known`` are their statistics where they were made before."""
     weights = class_weight(df, profile, c.weight_mode)
     linear = c.classifier.startswith("logistic") or c.selector == "pca"
     numeric = [f for f in features if f not in profile.categorical]
     prep = FeaturePrep(
         features=numeric, missingThreshold=profile.missing_threshold, dropConstant=profile.drop_constant, scale=linear,
         indicators=c.missing_mode == "median_indicator",
-        categorical=[f for f in features if f in profile.categorical]).fit(df)
+        categorical=[f for f in features if f in profile.categorical]).build(known or prep_statistics(df, profile, features))
     target = with_target(df, profile, weights)
     selected: list[dict] = []
     stages: list = []
@@ -238,6 +282,13 @@ def fit(df: DataFrame, profile: Profile, c: Candidate, features: list[str], ids:
         else:
             prep._set(outputCol="all_features_vector")
             stages.append(VectorSlicer(inputCol="all_features_vector", outputCol="features_vector", indices=slots))
+    elif c.selector == "weighted_gain":
+        ranked = weighted_gains(df, profile, c, numeric, known)[:c.top_k]
+        selected = [{"feature": n, "selection_rank": i, "selection_importance": v, "feature_space": "raw_sensor"}
+                    for i, (n, v) in enumerate(ranked, 1)]
+        if not selected:
+            raise ContractError("the selector keeps no feature")
+        prep = prep.keep([f for f in prep.get("features") if f in {n for n, _ in ranked}])
     elif c.selector in ("stable_forest", "stable_gain"):
         selected = stable_selection(df, profile, c, numeric, ids or [])
         prep = prep.keep([f for f in prep.get("features") if f in {s["feature"] for s in selected}])

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.param.shared import HasOutputCol, Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..columns import column_moments, column_quantiles
@@ -33,6 +34,16 @@ class _PrepParams(HasOutputCol):
     categorical = Param(Params._dummy(), "categorical", "text inputs to encode", TypeConverters.toListString)
 
 
+@dataclass(frozen=True)
+class PrepStatistics:
+    """Column statistics, medians and categories of the rows of one fit."""
+
+    columns: dict[str, Row]
+    medians: dict[str, float]
+    modes: list[str]
+    levels: list[str]
+
+
 class FeaturePrep(Estimator, _PrepParams, DefaultParamsReadable, DefaultParamsWritable):
     """Quality filter, exact-median imputation, optional scaling, missing flags and one-hot encoding.
 
@@ -48,23 +59,32 @@ class FeaturePrep(Estimator, _PrepParams, DefaultParamsReadable, DefaultParamsWr
                          outputCol="features_vector")
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
-    def _fit(self, dataset: DataFrame) -> FeaturePrepModel:
+    def statistics(self, dataset: DataFrame) -> PrepStatistics:
+        """What fitting needs to know of the rows; it serves every scaling and missing mode."""
         names = self.getOrDefault("features")
         stored = cut_lineage(dataset.select(*names))
-        stats = {r.feature: r for r in column_moments(stored, names).select(
+        columns = {r.feature: r for r in column_moments(stored, names).select(
             "feature", F.col("row_count").alias("n"), F.col("seen_count").alias("seen"), "mean",
             ratio(F.col("m2"), F.col("value_count")).alias("var"), F.col("minimum").alias("low"),
             F.col("maximum").alias("high")).collect()}
-        if not stats:
+        if not columns:
             raise ContractError("no rows to fit on")
+        medians = {r.feature: (r.q[0] if r.q else 0.0) for r in column_quantiles(
+            stored, names, [0.5], name="q", stored=True).collect()}
+        return PrepStatistics(columns, medians, *self._fit_categories(dataset))
+
+    def _fit(self, dataset: DataFrame) -> FeaturePrepModel:
+        return self.build(self.statistics(dataset))
+
+    def build(self, known: PrepStatistics) -> FeaturePrepModel:
+        """The model that fitting the rows of ``known`` gives."""
+        names, stats, medians = self.getOrDefault("features"), known.columns, known.medians
         threshold, drop = self.getOrDefault("missingThreshold"), self.getOrDefault("dropConstant")
         high = [f for f in names if (stats[f].n - stats[f].seen) / stats[f].n > threshold]
         constant = [f for f in names if f not in high and drop and (stats[f].seen == 0 or stats[f].low == stats[f].high)]
         kept = [f for f in names if f not in high and f not in constant]
         if not kept:
             raise ContractError("the quality filter leaves no feature")
-        medians = {r.feature: (r.q[0] if r.q else 0.0) for r in column_quantiles(
-            stored, kept, [0.5], name="q", stored=True).collect()}
         centres, spreads = [], []
         for f in kept:
             s, m = stats[f], medians[f]
@@ -77,7 +97,7 @@ class FeaturePrep(Estimator, _PrepParams, DefaultParamsReadable, DefaultParamsWr
             spreads.append(float(spread) if spread > 0 else 1.0)
         use_scale = self.getOrDefault("scale")
         flagged = [f for f in kept if stats[f].seen < stats[f].n] if self.getOrDefault("indicators") else []
-        modes, levels = self._fit_categories(dataset)
+        modes, levels = known.modes, known.levels
         model = FeaturePrepModel()
         model._set(
             features=kept, medians=[float(medians[f]) for f in kept],

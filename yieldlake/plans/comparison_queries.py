@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,6 +13,7 @@ from ..ml.evaluation import SCORE
 from ..ml.inference import FrozenScorer, score_gap
 from ..ml.models import Candidate, fit, importances, pca_to_variance, run_all, top_k_candidates
 from ..ml.preprocess import FeaturePrep
+from ..operators import metrics
 from ..operators.splits import time_blocks, time_split
 from ..operators.stability import fold_rank_table
 from ..scale import cut_lineage, scratch_path
@@ -104,15 +107,15 @@ def two_sensor_components(spark, folder):
 @query("L9 L2 Q12", f"""WITH {sql.B1}, {sql.blocks('b1', 3)}, f AS (SELECT UNNEST([1, 2, 3]) AS fold),
 c AS (SELECT fold, COUNT(*) AS fit_rows, COUNT(*) FILTER (label = -1) / CAST(COUNT(*) FILTER (label = 1) AS DOUBLE) AS r
 FROM bl, f WHERE block < fold GROUP BY fold)
-SELECT 'plain' AS model_name, fold, fit_rows, CAST(1 AS DOUBLE) AS positive_weight, 2::BIGINT AS model_input_count FROM c
-UNION ALL SELECT 'weighted', fold, fit_rows, ROUND(r, 6), 2 FROM c""")
+SELECT 'plain' AS model_name, fold, fit_rows, CAST(1 AS DOUBLE) AS positive_weight, 4::BIGINT AS model_input_count FROM c
+UNION ALL SELECT 'weighted', fold, fit_rows, ROUND(r, 6), 4 FROM c""")
 def time_fold_fit_records(spark, folder):
     """What each fit of each time fold received: its rows, its positive weight and its inputs."""
     blocked = cut_lineage(time_blocks(sensor_frame(spark, folder), NUMERIC_PROFILE, 3))
     candidates = [Candidate("plain", "logistic_regression", max_iter=5),
                   Candidate("weighted", "logistic_regression", weight_mode="ratio", max_iter=5)]
     done = evaluation.score_folds(evaluation.time_fold_rows(blocked), NUMERIC_PROFILE, candidates,
-                                  ["sensor_0", "sensor_1"], IDS, "fold", [1, 2, 3])
+                                  SENSORS, IDS, "fold", [1, 2, 3])
     return rounded(done.fits.select("model_name", F.col("fold").cast("int").alias("fold"), "fit_rows", "positive_weight", "model_input_count"))
 
 
@@ -150,3 +153,42 @@ def fitted_fold_ranks(spark, folder):
     rows = [r for found in run_all([lambda f=f: ranks(f) for f in (1, 2, 3)]) for r in found]
     records = spark.createDataFrame(rows, "fold int, feature string, importance_rank int, importance double, in_topk boolean")
     return fold_rank_table(records, [1, 2, 3])
+
+
+_STUMPS = f"""{sql.B1}, {sql.blocks('b1', 3)}, fr AS (SELECT fold, label, sensor_5 FROM bl, (SELECT UNNEST([1, 2, 3]) AS fold) WHERE block < fold),
+md AS (SELECT fold, quantile_cont(sensor_5, 0.5) AS med, COUNT(*) FILTER (label = -1) / CAST(COUNT(*) FILTER (label = 1) AS DOUBLE) AS r
+ FROM fr GROUP BY fold),
+vw AS (SELECT fold, COALESCE(sensor_5, med) AS x, SUM(CASE WHEN label = 1 THEN r ELSE 1 END) AS w,
+ SUM(CASE WHEN label = 1 THEN r ELSE -1 END) AS s FROM fr JOIN md USING (fold) GROUP BY ALL),
+cu AS (SELECT fold, SUM(w) OVER l AS wl, SUM(s) OVER l AS sl, SUM(w) OVER (PARTITION BY fold) AS wa, SUM(s) OVER (PARTITION BY fold) AS sa
+ FROM vw WINDOW l AS (PARTITION BY fold ORDER BY x)),
+gn AS (SELECT fold, MAX(sl * sl / wl + (sa - sl) * (sa - sl) / (wa - wl) - sa * sa / wa) AS gain FROM cu WHERE wl < wa - 0.5::DOUBLE GROUP BY fold)"""
+
+
+@query("F17 L27", f"""WITH {_STUMPS} SELECT CAST(fold AS INTEGER) AS fold, 'sensor_5' AS feature, ROUND(gain, 4) AS gain FROM gn""")
+def stump_gain_by_time_fold(spark, folder):
+    """The class-weighted gain of one split on each time fold's fit rows: the best of all splits of a sensor of 25 values."""
+    profile = replace(NUMERIC_PROFILE, missing_threshold=0.9)
+    blocked = cut_lineage(time_blocks(sensor_frame(spark, folder), profile, 3))
+    stump = Candidate("stump", "boosted_trees", trees=1, selector_depth=1)
+    return rounded(evaluation.fold_gains(evaluation.time_fold_rows(blocked), profile, stump, ["sensor_5"], [1, 2, 3])[0], 4)
+
+
+@query("F17 L27")
+def gain_average_over_time_folds(spark, folder):
+    """Share of the class-weighted gain that each sensor brings, averaged over the time folds."""
+    blocked = cut_lineage(time_blocks(sensor_frame(spark, folder), NUMERIC_PROFILE, 3))
+    return rounded(evaluation.fold_gains(evaluation.time_fold_rows(blocked), NUMERIC_PROFILE, Candidate("gain", "boosted_trees", trees=10),
+                                         SENSORS, [1, 2, 3])[1])
+
+
+@query("L27 L11")
+def three_candidates_over_time(spark, folder):
+    """All sensors, stable ones and those of weighted gain under one weighted final classifier, over the time folds."""
+    blocked = cut_lineage(time_blocks(sensor_frame(spark, folder), NUMERIC_PROFILE, 3))
+    final = Candidate("all_sensors", "boosted_trees", weight_mode="ratio", trees=10)
+    candidates = [final, replace(final, name="stable_top_2", selector="stable_forest", top_k=2, repeats=3),
+                  replace(final, name="weighted_gain_top_2", selector="weighted_gain", top_k=2)]
+    done = evaluation.score_folds(evaluation.time_fold_rows(blocked), NUMERIC_PROFILE, candidates, SENSORS, IDS, "fold", [1, 2, 3])
+    per_fold = metrics.binary_metrics(done.predictions, NUMERIC_PROFILE, evaluation.SCORE, 0.5, ["model_name", "fold"])
+    return rounded(per_fold.select("model_name", "fold", "support", "average_precision", "roc_auc"))

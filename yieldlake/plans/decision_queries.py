@@ -8,6 +8,7 @@ from ..functions.scalars import rounded
 from ..operators import drift, errors, leakage, metrics, policy, stability
 from ..operators.splits import fold_membership, time_blocks, time_split
 from ..profile import ReductionPolicy, ThresholdPolicy
+from ..scale import as_of_join
 from ..sources.tables import NUMERIC_PROFILE, SENSORS, event_results, score_frame, table
 from . import sql
 from .registry import query
@@ -385,8 +386,8 @@ def selection_frequency(spark, folder):
 
 def _records(spark, folder):
     e = table(spark, folder, "events")
-    per = e.groupBy((F.col("user_id") % 40).alias("k"), (F.col("event_id") % 3 + 1).cast("int").alias("fold")).agg(
-        F.sum("value").alias("importance")).where("(k + fold) % 6 <> 0")
+    per = e.groupBy(F.col("user_id").alias("k"), (F.col("event_id") % 3 + 1).cast("int").alias("fold")).agg(
+        F.round(F.sum("value"), 4).alias("importance"))  # users without events of a fold leave gaps
     rows = per.select(F.concat(F.lit("sensor_"), F.col("k").cast("string")).alias("feature"), "fold", "importance")
     flagged = stability.top_k_flags(rows, 10)
     from pyspark.sql.window import Window
@@ -394,10 +395,10 @@ def _records(spark, folder):
     return flagged.withColumn("importance_rank", F.rank().over(order))
 
 
-_RECORDS = """p AS (SELECT user_id % 40 AS k, CAST(event_id % 3 + 1 AS INTEGER) AS fold, SUM(value) AS importance FROM events
+_RECORDS = """p AS (SELECT user_id AS k, CAST(event_id % 3 + 1 AS INTEGER) AS fold, ROUND(SUM(value), 4) AS importance FROM events
  GROUP BY 1, 2),
 r AS (SELECT 'sensor_' || k AS feature, fold, RANK() OVER (PARTITION BY fold ORDER BY importance DESC) AS rk,
- ROW_NUMBER() OVER (PARTITION BY fold ORDER BY importance DESC, 'sensor_' || k) <= 10 AS top FROM p WHERE (k + fold) % 6 <> 0)"""
+ ROW_NUMBER() OVER (PARTITION BY fold ORDER BY importance DESC, 'sensor_' || k) <= 10 AS top FROM p)"""
 
 
 @query("F11 L32", f"""WITH {_RECORDS} SELECT feature, MAX(rk) FILTER (fold = 1)::INTEGER AS fold_1_rank,
@@ -429,15 +430,13 @@ def selection_overlap(spark, folder):
 
 
 def _windows(spark, folder):
-    e = table(spark, folder, "events").where("user_id % 4 <> event_id % 3")
-    return e.select(F.col("event_type").alias("model_name"), (F.col("user_id") % 3).alias("outer_fold"),
+    return table(spark, folder, "events").select(F.col("event_type").alias("model_name"), (F.col("user_id") % 3).alias("outer_fold"),
                     (F.col("event_id") % 3 * 30).cast("int").alias("window_days"),
-                    F.concat(F.lit("sensor_"), (F.col("event_id") % 61 % (F.col("event_id") % 3 + 31)).cast("string"))
-                    .alias("feature")).distinct()
+                    F.concat(F.lit("sensor_"), F.col("user_id").cast("string")).alias("feature")).distinct()
 
 
 _WINDOWS = """w AS (SELECT DISTINCT event_type AS model_name, user_id % 3 AS outer_fold, CAST(event_id % 3 * 30 AS INTEGER) AS window_days,
- 'sensor_' || (event_id % 61 % (event_id % 3 + 31)) AS feature FROM events WHERE user_id % 4 <> event_id % 3),
+ 'sensor_' || user_id AS feature FROM events),
 b AS (SELECT * FROM w WHERE window_days = 0), k AS (SELECT DISTINCT model_name, outer_fold, window_days FROM w WHERE window_days <> 0),
 l AS (SELECT k.*, b.feature FROM k JOIN b ON b.model_name = k.model_name AND b.outer_fold = k.outer_fold),
 c AS (SELECT COALESCE(l.model_name, r.model_name) AS model_name, COALESCE(l.outer_fold, r.outer_fold) AS outer_fold,
@@ -553,3 +552,17 @@ def time_fold_summary(spark, folder):
     out = metrics.fold_summary(per_fold.withColumn("all", F.lit(1)), ["all"])
     return out.select(F.round("ap_mean", 4).alias("ap_mean"), "true_positive",
                       F.round("pooled_recall", 6).alias("pooled_recall"))
+
+
+@query("L13 M12 M15", f"""WITH {sql.B2}, st AS (SELECT machine, CAST(date_trunc('month', ts) + INTERVAL 1 MONTH AS DATE) AS since,
+ ROUND(AVG(score), 6) AS threshold FROM b2 GROUP BY ALL)
+SELECT row_id, strftime(since, '%Y-%m') AS since, threshold, score >= threshold AS alarm
+FROM b2 ASOF LEFT JOIN st ON b2.machine = st.machine AND b2.ts >= st.since""")
+def threshold_in_force(spark, folder):
+    """Each row with its machine's threshold in force: chosen on a month's rows, valid from the next month on."""
+    frame = score_frame(spark, folder)
+    states = frame.groupBy("machine", F.add_months(F.trunc("ts", "month"), 1).alias("since")).agg(
+        F.round(F.avg("score"), 6).alias("threshold"))
+    found = as_of_join(frame.select("row_id", "machine", "ts", "score"), states, ["machine"], "ts", "since", ["threshold"])
+    return found.select("row_id", F.date_format("since", "yyyy-MM").alias("since"), "threshold",
+                        (F.col("score") >= F.col("threshold")).alias("alarm"))

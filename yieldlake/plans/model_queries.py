@@ -254,7 +254,7 @@ WHERE role = 'validation'""")
 def frozen_scoring(spark, folder):
     """Decision and label follow from score and threshold for every later row."""
     train, later = _parts(spark, folder)
-    model = fit(train, NUMERIC_PROFILE, FAST, _KEPT[:3])
+    model = fit(train, NUMERIC_PROFILE, FAST, _KEPT)
     scorer = FrozenScorer.from_fit(model, NUMERIC_PROFILE, 0.5, 20).retarget(0.07)
     out = scorer.score(later.select("row_id", *scorer.sensors), IDS)
     flagged = F.col("positive_score") >= 0.07
@@ -267,7 +267,7 @@ CAST(0 AS DOUBLE) AS largest_gap, CAST(0 AS BIGINT) AS different_labels FROM sp
 def frozen_scoring_parity(spark, folder):
     """Scores of reordered columns and other partitions equal the first ones."""
     train, later = _parts(spark, folder)
-    scorer = FrozenScorer.from_fit(fit(train, NUMERIC_PROFILE, FAST, _KEPT[:3]), NUMERIC_PROFILE, 0.07, 20)
+    scorer = FrozenScorer.from_fit(fit(train, NUMERIC_PROFILE, FAST, _KEPT), NUMERIC_PROFILE, 0.07, 20)
     first = scorer.score(later.select("row_id", *scorer.sensors), IDS)
     again = scorer.score(later.repartition(3).select(*reversed(scorer.sensors), "row_id"), IDS)
     return rounded(score_gap(first, again, IDS))

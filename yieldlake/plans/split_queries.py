@@ -70,13 +70,14 @@ def temporal_fold_group_overlap(spark, folder):
     return splits.fold_key_overlap(splits.fold_membership(blocked, 3), ["grp"])
 
 
-@query("T3", f"""WITH {sql.B1}, late AS (SELECT * FROM b1 WHERE ts >= TIMESTAMP '1998-01-01'),
-rk AS (SELECT ts, ROW_NUMBER() OVER (ORDER BY ts) AS r, COUNT(*) OVER () AS m FROM (SELECT DISTINCT ts FROM late)),
+@query("T3", f"""WITH {sql.B1}, {sql.blocks('b1', 3)}, late AS (SELECT row_id, ts FROM bl WHERE block = 3),
+lr AS (SELECT ts, ROW_NUMBER() OVER (ORDER BY ts) AS r, COUNT(*) OVER () AS m FROM (SELECT DISTINCT ts FROM late)),
 bk AS (SELECT ts, CASE WHEN r <= (m % 3) * (m // 3 + 1) THEN (r - 1) // (m // 3 + 1) + 1
-  ELSE (m % 3) + (r - 1 - (m % 3) * (m // 3 + 1)) // (m // 3) + 1 END AS block FROM rk)
+  ELSE (m % 3) + (r - 1 - (m % 3) * (m // 3 + 1)) // (m // 3) + 1 END AS block FROM lr)
 SELECT row_id, CAST(block AS BIGINT) AS block FROM late JOIN bk USING (ts)""")
 def post_selection_blocks(spark, folder):
-    late = sensor_frame(spark, folder).where("ts >= timestamp_ntz'1998-01-01'")
+    """Blocks of the rows after the selection blocks of the same frame."""
+    late = splits.time_blocks(sensor_frame(spark, folder), NUMERIC_PROFILE, 3).where("block = 3").drop("block")
     return splits.later_blocks(late, NUMERIC_PROFILE, 3).select("row_id", F.col("block").cast("bigint").alias("block"))
 
 

@@ -74,6 +74,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_path(spark: SparkSession, name: str) -> None:
+    """Delete a scratch location."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of frames that nothing refers to any more.
 
@@ -110,8 +116,7 @@ def scratch_scope(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFra
     finally:
         _SCOPE.reset(token)
         for name in held:
-            path = spark._jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            remove_path(spark, name)
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -165,6 +170,43 @@ def running_sum(
         *[(F.col(f"__l_{m}") + F.col(f"__o_{m}")).alias(f"cum_{m}") for m in measures])
 
 
+def as_of_join(rows: DataFrame, states: DataFrame, keys: Sequence[str], at: str, since: str,
+               values: Sequence[str]) -> DataFrame:
+    """``rows`` plus ``since`` and ``values`` of the state in force: of the same ``keys``, the latest with ``since <= at``.
+
+    Of states that share keys and time, the one with the largest values counts.  Rows with a
+    null key or time, and rows before the first state, get nulls; no row is lost or repeated.
+    Rows and states are ordered together over range-partitioned slices, and each slice is
+    handed the last state of the slices before it: one key may fill many tasks.
+    """
+    keys = list(keys)
+    spark = rows.sparkSession
+    slices = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    state = F.struct(F.col(since), *[F.col(v) for v in values])
+    known = F.lit(True)
+    for k in keys:
+        known = known & F.col(k).isNotNull()
+    kept = states.where(known & F.col(since).isNotNull()).select(
+        *keys, F.col(since).alias("__at"), F.lit(0).alias("__kind"), state.alias("__state"))
+    empty = F.lit(None).cast(kept.schema["__state"].dataType)
+    mine = rows.select(*keys, F.col(at).alias("__at"), F.lit(1).alias("__kind"), empty.alias("__state"),
+                       F.struct(*rows.columns).alias("__row"))
+    both = mine.unionByName(kept, allowMissingColumns=True)
+    # The hash spreads rows of one key and time; states come before them.
+    order = ["__at", "__kind", "__state"]
+    sliced = cut_lineage(both.repartitionByRange(slices, *keys, *order, F.xxhash64("__row")).withColumn("__slice", F.spark_partition_id()))
+    inside = Window.partitionBy(*keys, "__slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = sliced.withColumn("__found", F.last("__state", ignorenulls=True).over(inside)).where("__kind = 1")
+    # One row for each key of a slice.
+    before = Window.partitionBy(*keys).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = cut_lineage(sliced.where(known).groupBy(*keys, "__slice").agg(
+        F.max("__state").alias("__last")).select(
+        *keys, "__slice", F.last("__last", ignorenulls=True).over(before).alias("__carried")).where("__carried is not null"))
+    found = F.when(known & F.col("__at").isNotNull(), F.coalesce("__found", "__carried"))
+    joined = local.join(carried, [*keys, "__slice"], "left").withColumn("__found", found)
+    return joined.select("__row.*", *[F.col(f"__found.{c}").alias(c) for c in (since, *values)])
+
+
 def hot_keys(counts: DataFrame, count: str) -> DataFrame:
     """Rows of a per-key count table whose key holds more than 1/1000 of everything (< 1000 rows)."""
     total = counts.agg(F.sum(count).alias("__all"))

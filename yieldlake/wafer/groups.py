@@ -16,6 +16,7 @@ from ..scale import cut_lineage, lookup_join, running_sum, scratch_scope
 
 SPLITS = ("train", "validation", "test")
 CLASSES = len(CLASS_NAMES)
+CONTRACTED_EDGES = 500_000  # edges that one task may join
 
 
 @dataclass(frozen=True)
@@ -72,12 +73,51 @@ def _small_star(edges: DataFrame, size: int) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _contracted(edges: DataFrame, held: int) -> DataFrame:
+    """The edges with each task's own components replaced by stars around their smallest members.
+
+    A task joins about ``held`` nodes at a time by union-find, so edges between tasks alone
+    are left to the rounds.
+    """
+    kind = edges.schema["u"].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        parent: dict = {}
+
+        def root(x):
+            while (up := parent.get(x, x)) != x:
+                parent[x] = x = parent.get(up, up)
+            return x
+
+        def stars(types):
+            found = [(x, r) for x in list(parent) if (r := root(x)) != x]
+            return pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(types)], ["u", "v"])
+
+        types = None
+        for batch in batches:
+            types = [c.type for c in batch.columns]
+            for u, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                a, b = root(u), root(v)
+                if a != b:
+                    parent[max(a, b)] = min(a, b)
+            if len(parent) >= held:
+                yield stars(types)
+                parent = {}
+        if parent:
+            yield stars(types)
+
+    return edges.mapInArrow(run, f"u {kind}, v {kind}").distinct()
+
+
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Smallest member of each node's component as ``(u, v)`` rows, for nodes other than that member.
 
-    Alternating large-star and small-star steps shrink the graph to stars in a number
-    of rounds that grows with the logarithm of its size.  No neighbour list is ever
-    collected; each round is written to the checkpoint folder.
+    Each round contracts the edges within tasks and then, over all tasks, by a large-star and
+    a small-star step; the number of rounds grows with the logarithm of the graph at most.
+    Once a task may hold all edges that are left, its contraction is the result.  No neighbour
+    list is ever collected; each round is written to the checkpoint folder.
     """
     def state_of(table: DataFrame):
         return table.agg(F.count(F.lit(1)).alias("n"),
@@ -89,8 +129,11 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         for _ in range(max_rounds):
             if not mark.n:
                 return keep(current)
-            # Neither step adds edges, so the edge count bounds its tables of nodes.
-            current = cut_lineage(_small_star(_large_star(current, mark.n), mark.n))
+            if mark.n <= CONTRACTED_EDGES:
+                return keep(_contracted(current.coalesce(1), 2 * CONTRACTED_EDGES))
+            # No step adds edges, so the edge count bounds its tables of nodes.
+            local = cut_lineage(_contracted(current, CONTRACTED_EDGES))
+            current = cut_lineage(_small_star(_large_star(local, mark.n), mark.n))
             state = state_of(current)
             if state == mark:
                 return keep(current)
