@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from yieldlake.ml import anomaly, evaluation
+from yieldlake.ml import anomaly, evaluation, models
 from yieldlake.ml.inference import FrozenScorer, require_parity
 from yieldlake.ml.models import Candidate, fit
 from yieldlake.ml.preprocess import FeaturePrep
@@ -209,3 +209,26 @@ def test_stored_scorers_use_every_sensor(spark, monkeypatch, module, name):
     monkeypatch.setattr(plans, "fit", lambda *args: used.append(list(args[3])) or fit(*args))
     assert getattr(plans, name)(spark, "/root/testdata/sf0.001").count() > 0
     assert used == [[f"sensor_{i}" for i in range(6)]]
+
+
+def test_split_gains_equal_the_best_split_by_hand(spark):
+    rows = [(i, float(i % 6), float(i % 4), 1 if i % 6 > 3 and i % 5 else -1) for i in range(240)]
+    df = spark.createDataFrame(rows, "row_id int, a double, b double, label int")
+    profile = Profile("g", label="label", negative=-1, positive=1, excluded=("row_id",))
+    got = dict(models.weighted_gains(df, profile, models.Candidate("stump", "boosted_trees", trees=1, selector_depth=1), ["a", "b"]))
+    positive = sum(y == 1 for *_, y in rows)
+    weight = {1: (len(rows) - positive) / positive, -1: 1.0}
+
+    def error(part):
+        w = sum(weight[r[3]] for r in part)
+        return sum(weight[r[3]] for r in part) - (sum(weight[r[3]] * r[3] for r in part) ** 2 / w if w else 0.0)
+
+    best = {c: max(error(rows) - error([r for r in rows if r[c] <= cut]) - error([r for r in rows if r[c] > cut])
+                   for cut in sorted({r[c] for r in rows})[:-1]) for c in (1, 2)}
+    assert list(got) == ["a"] and best[1] > best[2]
+    assert got["a"] == pytest.approx(best[1], rel=1e-9)
+
+
+def test_averaged_gains_count_folds_alike():
+    runs = [[("a", 30.0), ("b", 10.0)], [("b", 1.0)], []]
+    assert models.averaged_gains(runs, ["a", "b", "c"]) == [("b", pytest.approx((0.25 + 1.0) / 3)), ("a", pytest.approx(0.25)), ("c", 0.0)]

@@ -104,11 +104,15 @@ def two_sensor_components(spark, folder):
         [(i, float(v)) for i, v in enumerate(model.explainedVariance.toArray(), 1)], "component int, share double"))
 
 
+_KEPT_INPUTS = " + ".join(
+    f"CAST(AVG(CAST({c} IS NULL AS INTEGER)) <= 0.5 AND MIN({c}) < MAX({c}) AS BIGINT)" for c in SENSORS)
+
+
 @query("L9 L2 Q12", f"""WITH {sql.B1}, {sql.blocks('b1', 3)}, f AS (SELECT UNNEST([1, 2, 3]) AS fold),
-c AS (SELECT fold, COUNT(*) AS fit_rows, COUNT(*) FILTER (label = -1) / CAST(COUNT(*) FILTER (label = 1) AS DOUBLE) AS r
-FROM bl, f WHERE block < fold GROUP BY fold)
-SELECT 'plain' AS model_name, fold, fit_rows, CAST(1 AS DOUBLE) AS positive_weight, 4::BIGINT AS model_input_count FROM c
-UNION ALL SELECT 'weighted', fold, fit_rows, ROUND(r, 6), 4 FROM c""")
+c AS (SELECT fold, COUNT(*) AS fit_rows, COUNT(*) FILTER (label = -1) / CAST(COUNT(*) FILTER (label = 1) AS DOUBLE) AS r,
+{_KEPT_INPUTS} AS k FROM bl, f WHERE block < fold GROUP BY fold)
+SELECT 'plain' AS model_name, fold, fit_rows, CAST(1 AS DOUBLE) AS positive_weight, k AS model_input_count FROM c
+UNION ALL SELECT 'weighted', fold, fit_rows, ROUND(r, 6), k FROM c""")
 def time_fold_fit_records(spark, folder):
     """What each fit of each time fold received: its rows, its positive weight and its inputs."""
     blocked = cut_lineage(time_blocks(sensor_frame(spark, folder), NUMERIC_PROFILE, 3))
