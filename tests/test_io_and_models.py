@@ -75,7 +75,9 @@ def test_split_sink_writes_after_checks(spark, frame, tmp_path):
     leaky = tagged.where("strategy = 'time'").withColumn("ts", F.lit("2021-01-01").cast("timestamp_ntz"))
     with pytest.raises(ContractError):
         sinks.write_splits(leaky, PROFILE, str(tmp_path / "leaky"))
-    assert not (tmp_path / "leaky").exists()
+    with pytest.raises(FileExistsError):
+        sinks.write_splits(tagged, PROFILE, str(tmp_path / "splits"))
+    assert [p.name for p in tmp_path.iterdir()] == ["splits"]  # what failed left nothing
 
 
 def test_preprocessing_learns_from_fit_rows_only(spark, frame):

@@ -136,3 +136,10 @@ def test_input_table_is_gated_and_written(spark, tmp_path):
     assert first.pop("rows") == 27 and not any(first.values())
     with pytest.raises(ContractError):
         resize.write_input_table(split, report.where("split = 'train'"), str(tmp_path / "other"), (4, 4))
+    with pytest.raises(FileExistsError):
+        resize.write_input_table(split, report, path, (4, 4))
+    # A row that breaks the contract is seen by the job that writes it: nothing is published or left.
+    broken = split.withColumn("class_index", F.when(F.col("source_row_position") == 5, 11).otherwise(F.col("class_index")))
+    with pytest.raises(ContractError, match="wrong_class"):
+        resize.write_input_table(broken, report, str(tmp_path / "broken"), (4, 4))
+    assert [p.name for p in tmp_path.iterdir()] == ["table"]

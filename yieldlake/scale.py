@@ -80,6 +80,25 @@ def remove_path(spark: SparkSession, name: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def published(spark: SparkSession, path: str) -> Iterator[str]:
+    """A staging folder beside ``path`` that is renamed to it when the block ends, and removed when the block raises.
+
+    What the block checks in the folder is what is published; an existing ``path`` is refused.
+    """
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    staging = f"{path}.staging-{uuid.uuid4().hex}"
+    if files.exists(place):
+        raise FileExistsError(f"{path} exists already")
+    try:
+        yield staging
+        if files.exists(place) or not files.rename(spark._jvm.org.apache.hadoop.fs.Path(staging), place):
+            raise FileExistsError(f"{path} was written meanwhile")
+    finally:
+        remove_path(spark, staging)
+
+
 def release_shuffles(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of frames that nothing refers to any more.
 

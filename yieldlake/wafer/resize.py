@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -10,6 +10,7 @@ from ..functions import dies
 from ..functions.dies import CLASS_NAMES
 from ..functions.scalars import ratio
 from ..profile import ContractError
+from ..scale import published
 from .groups import SPLITS
 
 # Rows per file of the input table and the target size.
@@ -104,36 +105,48 @@ def class_weights(split_rows: DataFrame) -> DataFrame:
                        ratio(total, F.lit(len(CLASS_NAMES)) * F.col("n")).alias("weight"))
 
 
+def _row_breaches(target: tuple[int, int]) -> dict[str, Column]:
+    """What may be wrong with one row of the input table."""
+    cells = F.col("map")
+    flat = F.flatten(cells)
+    shape = (F.size(cells) == target[0]) & (F.size(flat) == target[0] * target[1])
+    values = F.size(F.array_except(F.array_distinct(flat), F.array(*[F.lit(v).cast("tinyint") for v in (0, 1, 2)]))) == 0
+    whole = dies.failed_count(cells) <= dies.valid_count(cells)
+    known = F.col("class_index").between(0, len(CLASS_NAMES) - 1)
+    return {"wrong_shape": ~F.coalesce(shape, F.lit(False)), "wrong_values": ~F.coalesce(values, F.lit(False)),
+            "defect_outside_valid": ~F.coalesce(whole, F.lit(False)), "wrong_class": ~F.coalesce(known, F.lit(False)),
+            "wrong_split": ~F.coalesce(F.col("split").isin(*SPLITS), F.lit(False))}
+
+
 def write_input_table(split_rows: DataFrame, report: DataFrame, path: str, target: tuple[int, int] = TARGET) -> None:
-    """Write the gated input table by split; refuses an existing path and any lost region.
+    """Write the gated input table by split; refuses an existing path, any lost region and any broken row.
 
-    Rows are spread within each split by sample hash, so a split with most rows still
-    writes from many tasks.
+    Rows are counted and judged in the job that writes them to a staging folder, which is
+    published when all hold.  They are spread within each split by sample hash, so a split
+    with most rows still writes from many tasks.
     """
     if not check_gate(report, split_rows).isEmpty():
         raise ContractError("the resize check does not cover the split or lost a region")
+    spark = split_rows.sparkSession
     salt = F.pmod(F.xxhash64("sample_id"), F.lit(1024))
-    (input_table(split_rows, target).repartition("split", salt)
-     .write.mode("errorifexists").option("maxRecordsPerFile", MAX_RECORDS_PER_FILE)
-     .partitionBy("split").parquet(path))
+    seen = Observation()
+    table = input_table(split_rows, target)
+    with published(spark, path) as staging:
+        (table.observe(seen, F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in _row_breaches(target).items()])
+         .repartition("split", salt).write.option("maxRecordsPerFile", MAX_RECORDS_PER_FILE).partitionBy("split").parquet(staging))
+        broken = {n: v for n, v in seen.get.items() if n != "rows" and v}
+        ids = spark.read.schema(table.schema).parquet(staging).agg(
+            F.count(F.lit(1)).alias("rows"), F.count_distinct("sample_id").alias("ids")).first()
+        if broken or ids.rows != seen.get["rows"] or ids.ids != ids.rows:
+            raise ContractError(f"the input table breaks its contract: {broken}, {ids.rows} rows, {ids.ids} samples")
 
 
 def input_violations(table: DataFrame, target: tuple[int, int] = TARGET) -> DataFrame:
     """One row of contract breaches over the whole input table; all zero when it is usable."""
-    cells = F.col("map")
-    flat = F.flatten(cells)
-    shape = (F.size(cells) == target[0]) & (F.size(flat) == target[0] * target[1])
-    values = F.size(F.array_except(F.array_distinct(flat), F.array(*[F.lit(v).cast("tinyint") for v in (0, 1, 2)]))) == 0
-    per_id = table.select("sample_id", "split", "class_index", shape.alias("s"), values.alias("v"),
-                          (dies.failed_count(cells) <= dies.valid_count(cells)).alias("d")).groupBy("sample_id").agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(~F.coalesce("s", F.lit(False))).alias("s"),
-        F.count_if(~F.coalesce("v", F.lit(False))).alias("v"), F.count_if(~F.coalesce("d", F.lit(False))).alias("d"),
-        F.count_if(F.col("class_index").isNull() | ~F.col("class_index").between(0, len(CLASS_NAMES) - 1)).alias("c"),
-        F.count_if(~F.col("split").isin(*SPLITS)).alias("p"))
-    return per_id.agg(
-        F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("repeated_ids"), F.sum("s").alias("wrong_shape"),
-        F.sum("v").alias("wrong_values"), F.sum("d").alias("defect_outside_valid"), F.sum("c").alias("wrong_class"),
-        F.sum("p").alias("wrong_split"))
+    checks = _row_breaches(target)
+    per_id = table.select("sample_id", *[c.alias(n) for n, c in checks.items()]).groupBy("sample_id").agg(
+        F.count(F.lit(1)).alias("n"), *[F.count_if(n).alias(n) for n in checks])
+    return per_id.agg(F.sum("n").alias("rows"), F.sum(F.col("n") - 1).alias("repeated_ids"), *[F.sum(n).alias(n) for n in checks])
 
 
 def as_channels(table: DataFrame) -> DataFrame:
