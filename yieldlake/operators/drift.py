@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..columns import column_bins, column_moments, column_quantiles
-from ..functions.scalars import event_time, ratio, to_long_text
+from ..columns import column_bins, column_moments, column_quantiles, exact_quantiles
+from ..functions.scalars import event_time, finite, ratio, to_long_text
 from ..profile import ContractError, Profile
 from ..scale import cut_lineage
 
@@ -41,13 +41,26 @@ def psi_from_counts(counts: DataFrame, edges: DataFrame, keys: list[str], side:
     return filled.groupBy(*keys).agg(F.sum((v - t) * F.ln(v / t)).alias("population_stability_index"))
 
 
+def psi(long: DataFrame, side: str, train: str, later: str, bins: int = 10) -> DataFrame:
+    """PSI per feature of long rows ``(feature, value, side)``; features without 3 edges are absent."""
+    seen = long.where(finite(F.col("value")).isNotNull())
+    probs = [i / bins for i in range(bins + 1)]
+    edges = cut_lineage(exact_quantiles(seen.where(F.col(side) == train), ["feature"], "value", probs, "edges").select(
+        "feature", F.array_distinct("edges").alias("edges")).where(F.size("edges") >= 3))
+    inner = F.filter(F.slice("edges", 2, F.size("edges") - 2), lambda e: e <= F.col("value"))
+    # One row per feature of the schema: its size is bounded by the number of columns.
+    counts = seen.join(F.broadcast(edges), "feature").withColumn("bin", F.size(inner)).groupBy("feature", "bin", side).agg(
+        F.count(F.lit(1)).alias("n"))
+    return psi_from_counts(counts, edges, ["feature"], side, train, later)
+
+
 def quantile_edges(df: DataFrame, features: list[str], side: str, train: str, bins: int = 10) -> DataFrame:
     """``feature, edges``: the quantiles of the finite training values that bound equally filled bins."""
     probs = [i / bins for i in range(bins + 1)]
     return column_quantiles(df.where(F.col(side) == train), features, probs, name="edges", finite=True)
 
 
-def psi(df: DataFrame, edges: DataFrame, side: str, train: str, later: str) -> DataFrame:
+def column_psi(df: DataFrame, edges: DataFrame, side: str, train: str, later: str) -> DataFrame:
     """PSI per feature between the given bin edges; features with fewer than 3 distinct edges are absent.
 
     ``edges`` has one row per feature of the schema, so its size is bounded by the number of
@@ -81,7 +94,7 @@ def numeric_drift(df: DataFrame, features: list[str], side: str, train: str = "t
     edges = wide.select("feature", F.slice("train_q", 1, bins + 1).alias("edges"))
     pooled = F.sqrt((F.pow("train_std", 2) + F.pow("validation_std", 2)) / 2)
     return (
-        wide.join(psi(stored, edges, side, train, later), "feature", "left")
+        wide.join(column_psi(stored, edges, side, train, later), "feature", "left")
         .select(
             "feature", F.lit("numeric").alias("feature_type"),
             "train_missing_ratio", "validation_missing_ratio",

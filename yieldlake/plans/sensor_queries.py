@@ -171,9 +171,8 @@ ps AS (SELECT feature, SUM((v - t) * LN(v / t)) AS psi FROM rt GROUP BY feature)
 
 @query("R1", f"""WITH {sql.B1}, {sql.split()}, {_PSI} SELECT feature, ROUND(psi, 6) AS population_stability_index FROM ps""")
 def psi_by_feature(spark, folder):
-    from ..functions.scalars import to_long
     frame = split_frame(spark, folder).where("role <> 'test'")
-    return rounded(drift.psi(frame, drift.quantile_edges(frame, SENSORS, "role", "train"), "role", "train", "validation"))
+    return rounded(drift.column_psi(frame, drift.quantile_edges(frame, SENSORS, "role", "train"), "role", "train", "validation"))
 
 
 _NUMERIC = f"""ns AS (SELECT feature,
