@@ -1,12 +1,14 @@
 """Remove lines that repeat an earlier line of the collection, up to one edited character.
 
 Lines are compared in lower case with white space collapsed.  Equal lines are one class,
-held by its earliest place; ``exact_chars`` is the least length of a line that goes when it
-repeats, 1 for every line that is not blank.  Lines of ``MIN_CHARS`` characters or more that are
-near meet in a deletion-neighbourhood join: two lines are within one edit when they are equal after deleting one character at the same place (a substitution),
-or when one of them is the other without a character.  Every such variant becomes a hashed
-key; in a group of equal keys each line only needs the earliest other line, so groups
-yield minima and not pairs.  What is found is verified by edit distance.
+held by its earliest place; every line that is not blank goes when it repeats (``exact_chars``
+may raise the least length).  Lines of ``MIN_CHARS`` characters or more that are near meet in a
+deletion-neighbourhood join: two lines are within one edit when they are equal after deleting
+one character at the same place (a substitution), or when one of them is the other without a
+character.  Every such variant becomes a hashed key; in a group of equal keys each line only
+needs the earliest other line, so groups yield minima and not pairs.  What is found is
+verified by edit distance.  One edit turns many a short line into another one, so lines
+under ``MIN_CHARS`` are only compared as equal.
 
 One edit leaves the first or the second half of a line as it was, so variants are made
 only of lines that share a half with another line, and only in the other half.
@@ -22,14 +24,18 @@ from pyspark.sql.window import Window
 from yieldlake.llm.shingles import mix
 from yieldlake.scale import cut_lineage, lookup_join, scratch_scope
 
-MIN_CHARS = 20
+MIN_CHARS = 20  # least length of lines that are compared up to one edit
+EXACT_CHARS = 1  # least length of lines that are compared as equal
 LINE_BROADCAST = 100_000
 _STEP = 0x9E3779B97F4A7C15
 
 
 def normal(line: Column) -> Column:
     """Lower case, runs of white space as one space, none at the ends (a lone space needs no replacing)."""
-    return F.lower(F.trim(F.regexp_replace(line, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")))
+    uneven = F.lit(False)
+    for part in ("  ", "\t", "\x0b", "\x0c", "\r", "\n"):  # plain searches are far cheaper than the expression
+        uneven = uneven | F.contains(line, F.lit(part))
+    return F.lower(F.trim(F.when(uneven, F.regexp_replace(line, r"[\x20\x09-\x0D]{2,}|[\x09-\x0D]", " ")).otherwise(line)))
 
 
 def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -38,7 +44,7 @@ def _rows(docs: DataFrame, key: str, text: str) -> DataFrame:
     return rows.select("doc", F.xxhash64("doc", "text").alias("r1"), F.xxhash64(F.lit(7), "text", "doc").alias("r2"), "text")
 
 
-def _lines(rows: DataFrame, least: int = MIN_CHARS) -> DataFrame:
+def _lines(rows: DataFrame, least: int = EXACT_CHARS) -> DataFrame:
     """Lines of ``least`` characters or more with their place, normal form and two hashes of it."""
     split = rows.select("doc", "r1", "r2", F.posexplode(F.split("text", "\n", -1)).alias("line", "raw"))
     return split.select("doc", "r1", "r2", "line", normal(F.col("raw")).alias("norm")).where(
@@ -58,7 +64,7 @@ def _half_keys(norm: Column) -> list[Column]:
     return out
 
 
-def line_table(rows: DataFrame, exact_chars: int = MIN_CHARS, least: int = MIN_CHARS) -> DataFrame:
+def line_table(rows: DataFrame, exact_chars: int = EXACT_CHARS, least: int = EXACT_CHARS) -> DataFrame:
     """Every line's place, whether it stays for its length, hashes and half keys, written once."""
     keys = [k.alias(c) for k, c in zip(_half_keys(F.col("norm")), ("a0", "a1", "b0", "b1"))]
     return cut_lineage(_lines(rows, least).select(
@@ -133,7 +139,7 @@ def near_earlier(candidates: DataFrame) -> DataFrame:
     return pairs.where(F.levenshtein("norm", "earlier", 1) >= 0).select("h1", "h2").distinct()
 
 
-def dropped_lines(docs: DataFrame, key: str, text: str, exact_chars: int = MIN_CHARS, least: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, key: str, text: str, exact_chars: int = EXACT_CHARS, least: int = EXACT_CHARS) -> DataFrame:
     """``(r1, r2, gone, repeated)``: places of the lines to remove from each row that loses any.
 
     ``repeated`` has those of ``least`` characters or more that repeat too, but stay for their length.
@@ -150,7 +156,7 @@ def _dropped_lines(docs: DataFrame, key: str, text: str, exact_chars: int, least
     # The text of a candidate comes from its first place: only the rows that hold one are read again.
     places = sharers.select("first.r1", "first.r2").distinct()
     held = F.broadcast(places) if sharers.count() <= LINE_BROADCAST else places
-    texts = _lines(rows.join(held, ["r1", "r2"], "left_semi")).select(
+    texts = _lines(rows.join(held, ["r1", "r2"], "left_semi"), MIN_CHARS).select(
         "h1", "h2", "norm", F.struct("doc", "r1", "r2", "line").alias("at")).join(sharers, ["h1", "h2"]).where(
         F.col("at").eqNullSafe(F.col("first"))).select("h1", "h2", "first", "norm", "in_first", "in_second").dropDuplicates(["h1", "h2"])
     near = near_earlier(cut_lineage(texts)).withColumn("near", F.lit(True))
@@ -163,13 +169,14 @@ def _dropped_lines(docs: DataFrame, key: str, text: str, exact_chars: int, least
         F.collect_set(F.when(F.col("short"), F.col("line"))).alias("repeated"))
 
 
-def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", exact_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", exact_chars: int = EXACT_CHARS) -> DataFrame:
     """``docs`` with repeated lines removed from ``text``, plus ``n_lines`` and ``gone_lines``.
 
     A line goes when an earlier line, in the order of (key, row, place), is equal or within
     one edit after normalisation, whether or not that line itself stays.  Rows that repeat
     a key and text are treated alike; a null key comes first.  Null text stays null with 0
-    lines; blank lines and those under ``exact_chars`` (at most ``MIN_CHARS``) always stay.
+    lines; blank lines and those under ``exact_chars`` (at most ``MIN_CHARS``) always stay.  A
+    line of any length is one value; its variants are as many 64-bit keys as it has characters.
     An empty table gives no rows.  Columns of ``docs`` with those names are replaced.
     """
     return _cleaned(docs, key, text, exact_chars, exact_chars).drop("__fresh")
@@ -181,9 +188,9 @@ def _cleaned(docs: DataFrame, key: str, text: str, exact_chars: int, least: int)
     rows = own.withColumn("__r1", F.xxhash64(F.col(key), F.col(text).cast("string"))).withColumn(
         "__r2", F.xxhash64(F.lit(7), F.col(text).cast("string"), F.col(key)))
     gone = dropped_lines(own, key, text, exact_chars, least).toDF("__r1", "__r2", "__gone", "__repeated")
-    lines = F.split(F.col(text), "\n", -1)
+    lines = F.col("__lines")  # a column of its own: the text is split once
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
-    joined = rows.join(gone, ["__r1", "__r2"], "left").withColumn(
+    joined = rows.withColumn("__lines", F.split(F.col(text), "\n", -1)).join(gone, ["__r1", "__r2"], "left").withColumn(
         "n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines))).withColumn(
         "gone_lines", F.coalesce(F.size("__gone"), F.lit(0))).withColumn("__fresh", F.when(
             F.col("gone_lines") == 0, True).otherwise(
@@ -193,7 +200,7 @@ def _cleaned(docs: DataFrame, key: str, text: str, exact_chars: int, least: int)
 
 
 def kept_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", chars: str = "n_chars",
-                   exact_chars: int = MIN_CHARS) -> DataFrame:
+                   exact_chars: int = EXACT_CHARS) -> DataFrame:
     """``docs`` without repeated lines; a document that lost lines and has only blanks and repeats of any length left goes."""
     return _cleaned(docs, key, text, exact_chars, 1).where("__fresh").withColumn(
         chars, F.when(F.col("gone_lines") > 0, F.length(text).cast("long")).otherwise(F.col(chars))).select(*docs.columns)

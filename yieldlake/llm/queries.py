@@ -215,11 +215,11 @@ WITH split AS (
 long AS (
   SELECT doc_id, line, norm FROM (
     SELECT doc_id, line, lower(trim(regexp_replace(raw, '[\x20\x09-\x0D]+', ' ', 'g'))) AS norm FROM split)
-  WHERE length(norm) >= 20),
+  WHERE norm <> ''),
 classes AS (SELECT norm, count(*) AS n, min((doc_id, line)) AS first_place, length(norm) AS size FROM long GROUP BY norm),
 halves AS (
   SELECT DISTINCT norm, first_place, unnest(['a' || left(norm, m), 'b' || right(norm, m)]) AS key
-  FROM (SELECT norm, first_place, unnest([size // 2, (size - 1) // 2]) AS m FROM classes)),
+  FROM (SELECT norm, first_place, unnest([size // 2, (size - 1) // 2]) AS m FROM classes WHERE size >= 20)),
 near AS (
   SELECT DISTINCT l.norm FROM halves l JOIN halves e ON l.key = e.key AND e.first_place < l.first_place
   WHERE abs(length(l.norm) - length(e.norm)) <= 1 AND levenshtein(l.norm, e.norm) <= 1),
