@@ -12,7 +12,6 @@ bucket; predicting a whole text, however long, only averages those rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -25,7 +24,6 @@ BUCKETS = 1 << 16
 DIMENSIONS = 16
 SIZES = (2, 3, 4)
 SLICE_BYTES = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
 _IS_LETTER = np.array([c >= 128 or 97 <= c <= 122 for c in range(256)])
 
 
@@ -34,7 +32,7 @@ class LanguageOptions:
     """Bounds and rates of the fit; the sample is the only part of the data that it reads."""
 
     rows_per_language: int = 1500  # expected sample rows of each language
-    max_languages: int = 500
+    max_languages: int = 500  # the most frequent ones are learned; rows of others do not train
     max_sample_characters: int = 2000  # of a sampled text, from a random place; predictions read whole texts
     calibration_share: float = 0.25
     epochs: int = 6
@@ -81,9 +79,14 @@ def _pieces(data: np.ndarray) -> Iterator[np.ndarray]:
         yield data[start:start + step + max(SIZES) - 1]
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; number signs such as ² or Ⅷ are none."""
+    return any(map(str.isalpha, text))
+
+
 def predict_text(model: LanguageModel, text: str | None) -> tuple[str, float]:
     """Most likely language and its calibrated probability; ``und`` and 0 without any letter."""
-    if text is None or not _LETTER.search(text):
+    if text is None or not has_letter(text):
         return UNKNOWN, 0.0
     total, count = np.zeros(len(model.languages)), 0
     for part in _pieces(_bytes(text)):
@@ -160,9 +163,8 @@ def labelled_sample(docs: DataFrame, text: str, lang: str, key: str, options: La
     random place is kept whose length also varies, so that short texts are learned too.
     """
     labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
-    counts = labelled.groupBy(F.col(lang).alias("__lang")).agg(F.count(F.lit(1)).alias("n")).limit(options.max_languages + 1).collect()
-    if len(counts) > options.max_languages:
-        raise ValueError(f"more than {options.max_languages} languages")
+    counts = labelled.groupBy(F.col(lang).alias("__lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(
+        F.desc("n"), "__lang").limit(options.max_languages).collect()
     if not counts:
         return [], []
     shares = F.create_map(*[x for row in counts for x in (F.lit(row["__lang"]), F.lit(min(1.0, options.rows_per_language / row["n"])))])
