@@ -9,8 +9,9 @@
 4. Pairs that pass are verified by intersecting the sorted arrays.
 
 Groups of many near copies would make all their pairs: so each shared token first compares
-its sets with one of them, and what is found equal enough is one cluster before the tiles
-are compared.  Tiles only compare sets of different clusters.  No pair of clusters is lost.
+its sets with one of them, then those of still several clusters with a few of them, and what
+is found equal enough is one cluster before the tiles are compared.  Tiles only compare sets
+of different clusters.  No pair of clusters is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from yieldlake.llm.shingles import as_bytes, mix, shingle_sets
+from yieldlake.llm.shingles import as_bytes, mix, release_memory, shingle_sets
 from yieldlake.scale import cut_lineage, lookup_join, release_shuffles, scratch_scope
 from yieldlake.wafer.groups import connected
 
@@ -29,6 +30,10 @@ HOT_ROWS = 24  # a prefix token of more sets is put last
 MAX_HOT = 5_000_000  # a token counts as hot only above this share of all prefix tokens, so the list is bounded
 TILE_SIDE = 256  # rows of one side of a tile
 PAIR_CHUNK = 1 << 16
+PART_ROWS = 512  # texts whose sets are made together
+LONG_SET = SIGNATURE_WORDS * 64 * 2 // 3  # sets of more shingles also have a signature that fits them
+LEADERS = 4  # sets of a token that its other sets are compared with before tiles
+LEADER_TOKENS = 6  # tokens of a set that are compared with their leaders
 SEED_TOKENS = 3
 ID_BROADCAST = 100_000
 
@@ -99,21 +104,33 @@ def tile_candidates(tile: np.ndarray, square: np.ndarray, first: np.ndarray, siz
 
 
 def set_table(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """``(key, n, f1, f2, bits)`` per row: size, 128-bit fingerprint and bitmap signature of its shingle set."""
+    """``(key, n, f1, f2, bits, fit)`` per row: size, 128-bit fingerprint and bitmap signature of its shingle set.
+
+    ``fit`` is the signature with room for the set, where ``bits`` is too short to tell it apart.
+    """
     def run(batches):
         import pyarrow as pa
-        for batch in batches:
-            n, first, second, bits = [], [], [], []
+        for batch in _parts(batches):
+            n, first, second, bits, fit = [], [], [], [], []
             for s in shingle_sets(as_bytes(batch.column(1))):
                 n.append(len(s))
                 both = [int(mix(s + np.uint64(k)).sum(dtype=np.uint64)) for k in (1, 2)]
                 first.append(both[0] - (1 << 63))
                 second.append(both[1] - (1 << 63))
                 bits.append(signature(s))
+                fit.append(fitting_signature(s) if len(s) > LONG_SET else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64()), pa.array(bits, pa.binary())],
-                ["doc", "n", "f1", "f2", "bits"])
-    return _narrow(docs, key, text).mapInArrow(run, "doc bigint, n int, f1 bigint, f2 bigint, bits binary")
+                [batch.column(0), pa.array(n, pa.int32()), pa.array(first, pa.int64()), pa.array(second, pa.int64()),
+                 pa.array(bits, pa.binary()), pa.array(fit, pa.binary())], ["doc", "n", "f1", "f2", "bits", "fit"])
+    return _narrow(docs, key, text).mapInArrow(run, "doc bigint, n int, f1 bigint, f2 bigint, bits binary, fit binary")
+
+
+def _parts(batches):
+    """Batches in parts of few rows, so that what is made of them stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, PART_ROWS):
+            yield batch.slice(at, PART_ROWS)
+    release_memory()
 
 
 def _narrow(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -135,7 +152,7 @@ def prefix_tokens(docs: DataFrame, key: str, text: str, hot: np.ndarray) -> Data
 
     def run(batches):
         import pyarrow as pa
-        for batch in batches:
+        for batch in _parts(batches):
             prefixes, owners = [], []
             for s in shingle_sets(as_bytes(batch.column(1))):
                 if len(s):
@@ -234,13 +251,11 @@ def _encoded_sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: st
 
     def run(batches):
         import pyarrow as pa
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                sets = list(shingle_sets(as_bytes(part.column(1))))
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0), pa.array([int(mix(s + np.uint64(1)).sum(dtype=np.uint64)) - (1 << 63) for s in sets], pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()), pa.array([encode(s) for s in sets], pa.binary())], ["id", "f1", "n", "code"])
+        for part in _parts(batches):
+            sets = list(shingle_sets(as_bytes(part.column(1))))
+            yield pa.RecordBatch.from_arrays([
+                part.column(0), pa.array([int(mix(s + np.uint64(1)).sum(dtype=np.uint64)) - (1 << 63) for s in sets], pa.int64()),
+                pa.array([len(s) for s in sets], pa.int64()), pa.array([encode(s) for s in sets], pa.binary())], ["id", "f1", "n", "code"])
 
     return cut_lineage(_narrow(docs, key, text).join(involved, "doc", "left_semi").mapInArrow(
         run, "id bigint, f1 bigint, n bigint, code binary"))
@@ -283,50 +298,119 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, te
     return cut_lineage(met.mapInArrow(intersect, "u bigint, v bigint").distinct())
 
 
+_ROW = ("f1", "n", "cluster", "bits", "fit")
+
+
+class _Block:
+    """Columns of some rows of ``_ROW`` as arrays; long signatures stay in their Arrow buffer."""
+
+    def __init__(self, table):
+        self.owner, self.sizes, self.clusters = (table.column(c).to_numpy().astype(np.int64) for c in _ROW[:3])
+        self.words = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, SIGNATURE_WORDS)
+        self.fit = table.column("fit")
+        self.long = self.fit.is_valid().to_numpy(zero_copy_only=False) if len(self.owner) else np.zeros(0, bool)
+
+    def linked(self, left: np.ndarray, right: np.ndarray):
+        """The pairs of rows, once each, whose long signatures allow a link too, as a batch ``(a, b)``."""
+        import pyarrow as pa
+
+        a, b = np.minimum(self.owner[left], self.owner[right]), np.maximum(self.owner[left], self.owner[right])
+        _, once = np.unique(np.stack((a, b)), axis=1, return_index=True)
+        left, right, a, b = left[once], right[once], a[once], b[once]
+        good = np.ones(len(left), bool)
+        for i in np.flatnonzero(self.long[left] & self.long[right]).tolist():
+            x, y = (np.frombuffer(self.fit[int(at)].as_buffer(), np.uint64) for at in (left[i], right[i]))
+            good[i] = fitting_bound(int(self.sizes[left[i]]), int(self.sizes[right[i]]), x, y)
+        return pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good])], ["a", "b"])
+
+
+def _whole_groups(batches, names: tuple[str, ...], rows: int):
+    """Tables of about ``rows`` sorted rows that end where the values of ``names`` change; groups are small."""
+    import pyarrow as pa
+    rest = None
+    for batch in batches:
+        table = pa.Table.from_batches([batch])
+        rest = table if rest is None else pa.concat_tables([rest, table])
+        if rest.num_rows >= rows:
+            same = np.logical_and.reduce([k == k[-1] for k in (rest.column(c).to_numpy() for c in names)])
+            end = int(np.flatnonzero(~same)[-1]) + 1 if (~same).any() else 0
+            if end:
+                yield rest.slice(0, end).combine_chunks()
+                rest = rest.slice(end)
+    if rest is not None and rest.num_rows:
+        yield rest.combine_chunks()
+    release_memory()
+
+
+def _mixed_tokens(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """Rows ``token, f1, rows`` of the tokens whose sets lie in more than one cluster."""
+    grouped = shared.select("token", "f1", "rows").join(classes.select("f1", "cluster"), "f1")
+    mixed = grouped.groupBy("token").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select("token")
+    return grouped.drop("cluster").join(mixed, "token", "left_semi")
+
+
+def leader_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of each set with LEADERS sets of LEADER_TOKENS tokens of several clusters, within size and signature.
+
+    Tokens are taken in one hash order, so that near copies tend to take the same ones; the
+    leaders are a token's first sets in hash order.  Rows stream by in that order, so a token
+    of any number of sets takes the memory of its leaders, and pairs grow with the sets.
+    """
+    # A list holds one set's prefix at most.
+    taken = _mixed_tokens(shared, classes).groupBy("f1").agg(F.slice(F.sort_array(F.collect_list(
+        F.struct(F.xxhash64("token").alias("h"), "token"))), 1, LEADER_TOKENS).alias("taken")).select(
+        "f1", F.explode("taken.token").alias("token"))
+
+    def run(batches):
+        import pyarrow as pa
+        lead, token = None, None
+        for batch in _parts(batches):
+            table = pa.Table.from_batches([batch])
+            own = table.column("token").to_numpy()
+            if lead is not None and token == own[0]:
+                table = pa.concat_tables([lead, table])
+                own = table.column("token").to_numpy()
+            table = table.combine_chunks()
+            rows = _Block(table)
+            starts = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            group = np.repeat(starts, np.diff(np.concatenate((starts, [len(own)]))))
+            at = np.arange(len(own))
+            for k in range(LEADERS):
+                first = group + k
+                right = at[(first < at) & (rows.clusters[np.minimum(first, len(own) - 1)] != rows.clusters)]
+                left = first[right]
+                keep = bounded(rows.sizes[left], rows.sizes[right], rows.words[left], rows.words[right])
+                yield rows.linked(left[keep], right[keep])
+            token = own[-1]
+            lead = table.slice(int(starts[-1]), LEADERS)
+
+    count = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = F.xxhash64("token", "f1")
+    return taken.join(classes.select(*_ROW), "f1").select("token", *_ROW).repartition(count, "token").sortWithinPartitions(
+        "token", order, "f1").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
 def tile_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``(a, b)`` of sets of different clusters that share a prefix token and pass size and signature.
+    """Pairs ``(a, b)`` of sets of different clusters that share a prefix token and pass size and signatures.
 
-    ``classes`` has ``f1, n, bits, cluster``.  Tokens of a single cluster are left out.  A
+    ``classes`` has ``f1, n, bits, fit, cluster``.  Tokens of a single cluster are left out.  A
     token's rows are dealt to tiles of about TILE_SIDE rows a side.
     """
-    grouped = shared.select("token", "f1", "rows").join(classes.select("f1", "cluster"), "f1")
-    mixed = grouped.groupBy("token").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select("token")
-    known = grouped.join(mixed, "token", "left_semi").join(classes.select("f1", "n", "bits"), "f1")
     blocks = F.ceil(F.col("rows") / TILE_SIDE).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j")))
-    dealt = known.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("f1"), F.col("blocks")).cast("int")).withColumn(
-        "tile", F.explode(met)).select("token", "tile.i", "tile.j", "block", "f1", "n", "cluster", "bits")
+    dealt = _mixed_tokens(shared, classes).join(classes.select(*_ROW), "f1").withColumn("blocks", blocks).withColumn(
+        "block", F.pmod(F.xxhash64("f1"), F.col("blocks")).cast("int")).withColumn(
+        "tile", F.explode(met)).select("token", "tile.i", "tile.j", "block", *_ROW)
 
     def run(batches):
-        import pyarrow as pa
-        rest = None
-
-        def compared(table):
-            """Pairs of all tiles in a sorted table."""
+        for table in _whole_groups(batches, ("token", "i", "j"), 1 << 12):
             token, i, j = (table.column(c).to_numpy() for c in ("token", "i", "j"))
             tile = np.cumsum(np.concatenate(([0], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
-            sizes, clusters, owner, block = (table.column(c).to_numpy().astype(np.int64) for c in ("n", "cluster", "f1", "block"))
-            words = np.frombuffer(b"".join(table.column("bits").to_pylist()), np.uint64).reshape(-1, SIGNATURE_WORDS)
-            out = []
-            for x, y in tile_candidates(tile, i == j, block == i, sizes, clusters, words):
-                out.append(np.unique(np.sort(np.stack((owner[x], owner[y])), axis=0), axis=1))
-            pairs = np.unique(np.concatenate(out, axis=1), axis=1) if out else np.zeros((2, 0), np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            rest = table if rest is None else pa.concat_tables([rest, table])
-            if rest.num_rows >= 1 << 14:
-                keys = [rest.column(c).to_numpy() for c in ("token", "i", "j")]
-                # The last tile may go on in the next batch; a tile has a bounded number of rows.
-                same = np.logical_and.reduce([k == k[-1] for k in keys])
-                end = int(np.flatnonzero(~same)[-1]) + 1 if (~same).any() else 0
-                if end:
-                    yield compared(rest.slice(0, end).combine_chunks())
-                    rest = rest.slice(end)
-        if rest is not None and rest.num_rows:
-            yield compared(rest.combine_chunks())
+            rows = _Block(table)
+            block = table.column("block").to_numpy()
+            for x, y in tile_candidates(tile, i == j, block == i, rows.sizes, rows.clusters, rows.words):
+                yield rows.linked(x, y)
 
     count = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return dealt.repartition(count, "token", "i", "j").sortWithinPartitions("token", "i", "j", "n").mapInArrow(
@@ -347,20 +431,24 @@ def similar_documents(docs: DataFrame, key: str = "doc_id", text: str = "text")
         return keep(_similar_documents(docs, key, text))
 
 
+def _clustered(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """The columns of ``_ROW``: each class with the smallest id that its links reach."""
+    clusters = connected(links).select(F.col("u").alias("id"), F.col("v").alias("cluster"))
+    return cut_lineage(classes.join(clusters, "id", "left").withColumn("cluster", F.coalesce("cluster", "id")).select(*_ROW))
+
+
 def _similar_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
     sets = cut_lineage(set_table(docs, key, text))
     classes = cut_lineage(sets.where("n > 0 and doc is not null").groupBy("f1", "f2", "n").agg(
-        F.min("doc").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits")))
+        F.min("doc").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("bits").alias("bits"), F.first("fit").alias("fit")))
     hot = hot_tokens(docs, key, text)
     shared = cut_lineage(shared_tokens(prefix_tokens(docs, key, text, hot)))
     release_shuffles(docs.sparkSession)
     seeds = verified(_allowed(seed_pairs(shared), classes), classes, docs, key, text)
-    clusters = connected(seeds)
+    marked = _clustered(classes, seeds)
+    seeds = cut_lineage(seeds.unionByName(verified(leader_pairs(shared, marked), classes, docs, key, text)).distinct())
     release_shuffles(docs.sparkSession)
-    marked = classes.join(clusters.select(F.col("u").alias("id"), F.col("v").alias("cluster")), "id", "left").withColumn(
-        "cluster", F.coalesce("cluster", "id"))
-    marked = cut_lineage(marked.select("f1", "n", "bits", "id", "cluster"))
-    links = verified(tile_pairs(shared, marked), classes, docs, key, text)
+    links = verified(tile_pairs(shared, _clustered(classes, seeds)), classes, docs, key, text)
     # Rows of one class link; so do classes of rows that share a key.
     roots = connected(seeds.unionByName(links).distinct())
     named = classes.join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select(

@@ -1,8 +1,9 @@
 """Vectorised word and shingle hashes over many texts at a time.
 
 A word is a run of bytes other than space and 0x09-0x0D, with A-Z lower-cased.  All
-texts of a slice are hashed together with numpy: a running polynomial over the bytes
-gives each word its 64-bit hash, five neighbouring word hashes give a shingle.  Hashes
+texts of a slice are hashed together with numpy: every byte and its place in the word give
+64 scattered bits, their sum is the hash of the word (a polynomial modulo 2**64 would give
+equal hashes to certain swapped texts), and five neighbouring word hashes give a shingle.  Hashes
 are the same in every process.  A slice holds about a megabyte of text (a longer text
 stands alone), so working memory does not follow the size of an Arrow batch.
 """
@@ -63,12 +64,16 @@ def word_hashes(texts: Sequence[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     word[1:-1] = ~_SPACE[data]
     turns = np.flatnonzero(np.diff(word))
     starts, ends = turns[0::2], turns[1::2]
-    size = 1 << max(20, int(len(data)).bit_length())
-    forward, back = _powers(size)
+    # Counts up along the text and jumps back to 0 at the start of each word; between words it does not matter.
+    place = np.ones(len(data), dtype=np.int64)
+    place[:1] = 0
+    place[starts[1:]] -= starts[1:] - starts[:-1]
+    if len(starts):
+        place[starts[0]] -= starts[0]
+    place = np.cumsum(place)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTES[data] * forward[: len(data)], dtype=np.uint64, out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * back[starts])
-    return hashes, np.searchsorted(starts, edges)
+    np.cumsum(mix(_BYTES[data] + place.view(np.uint64) * np.uint64(_BASE)), dtype=np.uint64, out=total[1:])
+    return mix(total[ends] - total[starts]), np.searchsorted(starts, edges)
 
 
 def _windows(words: np.ndarray) -> np.ndarray:
@@ -100,6 +105,19 @@ def shingle_sets(texts: Sequence[bytes | None]) -> Iterator[np.ndarray]:
                 yield np.zeros(0, np.uint64)
 
 
+def release_memory() -> None:
+    """Give what freed batches left behind back to the system: a Python worker lives on for tasks of other stages."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def as_bytes(column) -> list[bytes | None]:
     """An Arrow string column as UTF-8 values without decoding them."""
     import pyarrow as pa
