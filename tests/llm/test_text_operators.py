@@ -72,6 +72,19 @@ def speech(language, count, seed):
     return [" ".join("".join(draw.choices(parts, k=3)) for _ in range(draw.randint(1, 40))) for _ in range(count)]
 
 
+def test_number_signs_are_no_letters_and_rare_languages_do_not_train():
+    model = language_id.fit(["ka lo mi"] * 10 + ["schr ich"] * 10, ["aa"] * 10 + ["bb"] * 10)
+    for text in ("²", "½ 12", "Ⅷ ①", "", "12!", None):
+        assert language_id.predict_text(model, text) == ("und", 0.0)
+    assert language_id.predict_text(model, "² ka")[0] == "aa" and language_id.predict_text(model, "漢")[0] in ("aa", "bb")
+
+
+def test_only_the_most_frequent_languages_are_learned(spark):
+    rows = [(i, t, lang, "s", 0) for i, (lang, t) in enumerate((x, t) for x, n in (("aa", 30), ("bb", 20), ("cc", 5)) for t in speech(x, n, 1))]
+    model = language_id.train(docs_of(spark, rows), options=language_id.LanguageOptions(max_languages=2))
+    assert model.languages == ("aa", "bb")
+
+
 def test_language_held_out_accuracy(spark, odd):
     rows = [(i, t, lang, "s", 0) for i, (lang, t) in enumerate((x, t) for x in ("aa", "bb", "cc") for t in speech(x, 60, 1))]
     docs = docs_of(spark, rows)
@@ -242,8 +255,9 @@ def plain_dedup(rows):
         kept = []
         for raw in text.split("\n"):
             norm = " ".join(raw.split()).lower()
-            gone = len(norm) >= line_dedup.MIN_CHARS and any(edit_one(norm, s) for s in seen)
-            if len(norm) >= line_dedup.MIN_CHARS:
+            near = [s for s in seen if min(len(s), len(norm)) >= line_dedup.MIN_CHARS]
+            gone = norm in seen or (len(norm) >= line_dedup.MIN_CHARS and any(edit_one(norm, s) for s in near))
+            if norm:
                 seen.append(norm)
             if not gone:
                 kept.append(raw)
@@ -276,14 +290,25 @@ def test_line_dedup_against_brute_force(spark, odd, shuffled, monkeypatch):
     assert line_dedup.dedup_lines(odd.limit(0)).count() == 0
 
 
+def test_swapped_words_of_two_letters_are_not_confused(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    twin = word.translate(str.maketrans("ab", "ba"))
+    assert shingles.word_hashes([word.encode()])[0] != shingles.word_hashes([twin.encode()])[0]
+    texts = [word, twin, f"one two three four five {word}", f"six seven eight nine ten {twin}", f" {word.upper()}\n"]
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_documents(docs_of(spark, [(i, t, None, None, None) for i, t in enumerate(texts)])).collect()}
+    assert got == {0: 0, 1: 1, 2: 2, 3: 3, 4: 0}
+
+
 def test_kept_documents_drop_whole_copies_with_short_lines(spark):
     long = "a line that is long enough to be near"
     rows = [(1, f"{long}\nshort\n \nx"), (2, f"{long}\nshort\n \nx"), (3, f"Short\nown words\n{long}s\n\nX "), (4, "short"), (5, "shor"), (6, "\n ")]
     docs = docs_of(spark, [(i, t, None, None, len(t)) for i, t in rows]).repartition(3)
     same = {1: rows[0][1], 5: "shor", 6: "\n "}
-    assert {r.doc_id: r.text for r in line_dedup.kept_documents(docs).collect()} == same | {3: "Short\nown words\n\nX ", 4: "short"}
-    assert {r.doc_id: r.text for r in line_dedup.kept_documents(docs, exact_chars=1).collect()} == same | {3: "own words\n"}
-    lost = {r.doc_id: r.gone_lines for r in line_dedup.dedup_lines(docs, exact_chars=1).collect()}
+    assert {r.doc_id: r.text for r in line_dedup.kept_documents(docs, exact_chars=20).collect()} == same | {3: "Short\nown words\n\nX ", 4: "short"}
+    assert {r.doc_id: r.text for r in line_dedup.kept_documents(docs).collect()} == same | {3: "own words\n"}
+    lost = {r.doc_id: r.gone_lines for r in line_dedup.dedup_lines(docs).collect()}
     assert lost == {1: 0, 2: 3, 3: 3, 4: 1, 5: 0, 6: 0}
 
 

@@ -23,9 +23,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from yieldlake.llm.shingles import release_memory
+
 MARK = "▁"
-CACHED_WORDS = 300_000  # in each of two generations; about 350 bytes a word
-CACHED_PAIRS = 500_000
+CACHED_WORDS = 100_000  # in each of two generations; about 350 bytes a word
+CACHED_PAIRS = 200_000
 CACHED_LENGTH = 64  # longer words are encoded each time
 
 
@@ -132,6 +134,10 @@ class PieceCodec:
             self.known[word] = found
         return found
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.known, self.older, self.apart = {}, {}, {}
+
     def words(self, text: str) -> list[tuple[int, str, str]]:
         """``word`` of each word of the text in turn."""
         return [self.known.get(w) or self.word(w) for w in self.split(MARK + text.replace(" ", MARK))] if text else []
@@ -207,6 +213,8 @@ def piece_digests(docs: DataFrame, model_file: str, key: str = "doc_id", text: s
                 batch.column(0), pa.array([x[0] for x in found], pa.int64()),
                 pa.array([x[1] for x in found], pa.string()), pa.array([x[2] for x in found], pa.string()),
             ], ["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.forget()  # the worker lives on for tasks of other stages
+        release_memory()
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
