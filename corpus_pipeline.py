@@ -14,35 +14,60 @@ from yieldlake.llm import language_id, line_dedup, mixing, ngram_join, sentence_
 from yieldlake.scale import cut_lineage
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+BATCH_ROWS = 1000  # texts are long: Arrow batches of Spark's 10,000 rows would hold tens of megabytes on both sides
+
+
+def _texts(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The columns of documents, with Arrow batches of few rows for the stages of this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return docs.select(*COLUMNS)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language the model accepts."""
-    docs = docs.select(*COLUMNS)
+    """Documents whose language the model accepts; null texts and those without a letter go.
+
+    Rows that repeat are judged alike, an empty table stays empty, columns beyond those of documents are left out.
+    """
+    docs = _texts(spark, docs)
     model = language_id.train(docs.where(~language_id.held_out(F.col("doc_id"))))
     return language_id.identify(docs, model).where("accepted").select(*COLUMNS)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that occurred before; documents of such lines alone go."""
-    return line_dedup.kept_documents(docs.select(*COLUMNS))
+    """Documents without lines that occurred before; documents of such lines alone go.
+
+    Null texts stay null, blank lines stay, rows that repeat key and text are treated alike.
+    """
+    return line_dedup.kept_documents(_texts(spark, docs))
+
+
+def _one_row_an_id(docs: DataFrame) -> DataFrame:
+    """The first row, by its columns, of each id; rows with a null id stay."""
+    again = cut_lineage(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"))
+    if again.isEmpty():
+        return docs
+    first = docs.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS)).alias("row")).select("row.*")
+    return cut_lineage(docs.join(again, "doc_id", "left_anti").select(*COLUMNS).unionByName(first))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each group of similar ones."""
-    docs = docs.select(*COLUMNS)
+    """One document, the one with the smallest id, of each group of similar ones; one row of rows that share an id.
+
+    Documents without a word and rows with a null id stay.
+    """
+    docs = _one_row_an_id(_texts(spark, docs))
     gone = ngram_join.similar_documents(docs).where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.mixed_documents(docs.select(*COLUMNS))
+    """Each document as often as the mix takes it; null texts count as texts of no words."""
+    return mixing.mixed_documents(_texts(spark, docs))
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token count and digests of the ids and the decoded text of each document."""
-    return sentence_pieces.piece_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    """Token count and digests of the ids and the decoded text of each document; a null text counts as empty."""
+    return sentence_pieces.piece_digests(_texts(spark, docs), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 STAGES = [
