@@ -143,6 +143,8 @@ def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 def lot_groups(active: DataFrame) -> DataFrame:
     """``(lot_id, gid)``: lots joined when they share a map; ids follow the smallest lot name."""
+    # Written once: what ``active`` derives from maps is read for lots, pairs and firsts.
+    active = cut_lineage(active.select("lot_id", "map_hash").distinct())
     lots = active.where("lot_id is not null").select("lot_id").distinct()
     roots = connected(_star_edges(active)).select(F.col("u").alias("lot_id"), F.col("v").alias("root"))
     named = lots.join(roots, "lot_id", "left").withColumn("root", F.coalesce("root", "lot_id"))
@@ -532,8 +534,9 @@ def split_manifest_violations(derived: DataFrame, manifest: DataFrame, protocol:
 
 def exclusion_comparison(manifest: DataFrame) -> DataFrame:
     """Per class: samples, lots and groups before and after dropping conflicting maps, without changing data."""
+    manifest = cut_lineage(manifest.select("lot_id", "map_hash", "class_index", "quality_status"))
+
     def side(rows: DataFrame, tag: str) -> DataFrame:
-        rows = rows.select("lot_id", "map_hash", "class_index", "quality_status")
         counted = class_group_support(group_class_counts(rows, lot_groups(rows)))
         lots = rows.where("quality_status = 'accepted' and class_index is not null").groupBy("class_index").agg(
             F.count(F.lit(1)).alias("samples"), F.count_distinct("lot_id").alias("lots"))
