@@ -1,6 +1,7 @@
 import importlib
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -234,3 +235,16 @@ def test_split_gains_equal_the_best_split_by_hand(spark):
 def test_averaged_gains_count_folds_alike():
     runs = [[("a", 30.0), ("b", 10.0)], [("b", 1.0)], []]
     assert models.averaged_gains(runs, ["a", "b", "c"]) == [("b", pytest.approx((0.25 + 1.0) / 3)), ("a", pytest.approx(0.25)), ("c", 0.0)]
+
+
+@pytest.mark.parametrize("classifier", ["logistic_regression", "random_forest"])
+def test_models_score_in_a_session_with_job_tags(spark, frame, classifier):
+    """A session with a job tag or an observed metric can't be sent to tasks; a training summary refers to it."""
+    spark.addTag("scoring")
+    try:
+        spark.range(1).observe(Observation(), F.count(F.lit(1)).alias("n")).collect()
+        model = fit(frame, PROFILE, Candidate("m", classifier, max_iter=8, trees=3), ["sensor_a", "sensor_b"])
+        assert not model.model.hasSummary
+        assert model.score(frame).where("positive_score between 0 and 1").count() == 240
+    finally:
+        spark.removeTag("scoring")

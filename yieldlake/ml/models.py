@@ -133,6 +133,22 @@ class Fitted:
         return int(self.model.numFeatures)
 
 
+def without_summary(model):
+    """The model as saving and loading gives it, without the summary of its training.
+
+    The summary refers to the session, and tasks that score receive the model with all it refers
+    to: a session that was given a job tag or an observed metric can't be sent.
+    """
+    if not getattr(model, "hasSummary", False):
+        return model
+    spark = SparkSession.active()
+    path = scratch_path(spark)
+    model.write().save(path)
+    stored = type(model).load(path)
+    remove_path(spark, path)
+    return stored
+
+
 def importances(model, names: list[str]) -> list[tuple[str, float]]:
     """Feature importance (trees) or absolute coefficient (linear), best first; ties keep input order."""
     values = model.featureImportances if hasattr(model, "featureImportances") else model.coefficients
@@ -303,7 +319,7 @@ def fit(df: DataFrame, profile: Profile, c: Candidate, features: list[str], ids:
     prepared = prep.transform(target)
     for stage in stages:
         prepared = stage.transform(prepared)
-    return Fitted(c, prep, build_classifier(c, weights["total"]).fit(prepared), weights, selected, stages)
+    return Fitted(c, prep, without_summary(build_classifier(c, weights["total"]).fit(prepared)), weights, selected, stages)
 
 
 def pca_to_variance(prepared: DataFrame, width: int, share: float, column: str = "all_features_vector"):
