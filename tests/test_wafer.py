@@ -1,9 +1,11 @@
 import hashlib
 import struct
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from yieldlake.functions import dies
 from yieldlake.functions.dies import CLASS_NAMES
 from yieldlake.profile import ContractError
 from yieldlake.wafer import canonical, groups, resize
@@ -143,3 +145,32 @@ def test_input_table_is_gated_and_written(spark, tmp_path):
     with pytest.raises(ContractError, match="wrong_class"):
         resize.write_input_table(broken, report, str(tmp_path / "broken"), (4, 4))
     assert [p.name for p in tmp_path.iterdir()] == ["table"]
+
+
+def test_small_maps_are_resized_in_parts(spark, monkeypatch):
+    """A batch of small maps is answered in parts, so that a task never holds the batch at model size."""
+    monkeypatch.setattr(dies, "CELLS_HELD", 3 * 5 * 7)
+    dies._gathered.cache_clear()
+    sizes = []
+    maps = [[[i % 3, 1], [2, i % 2]] if i % 10 else None for i in range(40)]
+
+    class Batch(list):
+        def slice(self, start, count):
+            sizes.append(count)
+            return Batch(self[start:start + count])
+
+        def to_pylist(self):
+            return list(self)
+
+    columns = [Batch(c) for c in (maps, [5] * 40, [5] * 40, [0] * 40, [1] * 40)]
+    parts = list(dies._gathered(5, 7).func(iter([columns])))
+    dies._gathered.cache_clear()
+    assert max(len(p) for p in parts) == 3 and sum(len(p) for p in parts) == 40 and set(sizes) == {3}
+    rows = [r for p in parts for r in p.to_pylist()]
+    for value, got in zip(maps, rows):
+        if value is None:
+            assert got is None
+        else:
+            want = np.zeros((5, 7), dtype=int)
+            want[:, 1:6] = np.array(value)[[0, 0, 1, 1, 1]][:, [0, 0, 1, 1, 1]]
+            assert got == want.tolist()

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 CLASS_NAMES = ("None", "Center", "Donut", "Edge-Loc", "Edge-Ring", "Loc", "Near-Full", "Random", "Scratch")
 LABEL_ALIASES = {"none": "None", "Near-full": "Near-Full"}
 MAX_CELLS = 1_000_000
+CELLS_HELD = 1 << 22  # resized cells that a task holds at a time
 MAP_ERRORS = ("INVALID_MAP_STRUCTURE", "INVALID_MAP_SIZE_OR_DTYPE", "INVALID_MAP_VALUES", "NO_VALID_DIE")
 
 
@@ -131,7 +132,7 @@ def resized(cells: Column, geometry: Column, target_h: int, target_w: int) -> Co
 
     Output cell i reads source cell ``((2 i + 1) * length) div (2 * new length)``.  Cells
     are gathered with numpy over Arrow batches: a lambda per cell costs several times more
-    at model size.
+    at model size.  A batch is answered in parts of bounded size.
     """
     g = geometry
     return _gathered(target_h, target_w)(cells, g["resized_height"], g["resized_width"], g["top"], g["left"])
@@ -139,26 +140,32 @@ def resized(cells: Column, geometry: Column, target_h: int, target_w: int) -> Co
 
 @lru_cache(maxsize=16)
 def _gathered(target_h: int, target_w: int):
-    @F.arrow_udf("array<array<tinyint>>")
-    def gather(cells, new_h, new_w, top, left):
+    def gather(batches):
         import numpy as np
         import pyarrow as pa
 
         def picks(length, count):
             return ((2 * np.arange(count, dtype=np.int64) + 1) * length) // (2 * count)
 
-        out = np.zeros((len(cells), target_h, target_w), dtype=np.int8)
-        known = []
-        for k, (value, h, w, y, x) in enumerate(zip(*(c.to_pylist() for c in (cells, new_h, new_w, top, left)))):
-            known.append(value is not None and None not in (h, w, y, x))
-            if known[-1]:
-                source = np.array(value, dtype=np.int8)
-                out[k, y:y + h, x:x + w] = source[picks(source.shape[0], h)][:, picks(source.shape[1], w)]
-        rows = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, target_w, dtype=np.int32)), pa.array(out.ravel()))
-        maps = pa.ListArray.from_arrays(pa.array(np.arange(0, len(cells) * target_h + 1, target_h, dtype=np.int32)), rows)
-        return maps if all(known) else pa.array([m if k else None for m, k in zip(maps.to_pylist(), known)], maps.type)
-
-    return gather
+        def resize(rows):
+            out = np.zeros((len(rows), target_h, target_w), dtype=np.int8)
+            known = np.zeros(len(rows), dtype=bool)
+            for k, (value, h, w, y, x) in enumerate(rows):
+                known[k] = value is not None and None not in (h, w, y, x)
+                if known[k]:
+                    source = np.array(value, dtype=np.int8)
+                    out[k, y:y + h, x:x + w] = source[picks(source.shape[0], h)][:, picks(source.shape[1], w)]
+            lines = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, target_w, dtype=np.int32)), pa.array(out.ravel()))
+            return pa.ListArray.from_arrays(pa.array(np.arange(0, len(rows) * target_h + 1, target_h, dtype=np.int32)), lines,
+                                            mask=pa.array(~known))
+
+        for columns in batches:
+            for start in range(0, len(columns[0]), step):
+                yield resize(list(zip(*(c.slice(start, step).to_pylist() for c in columns))))
+
+    # A batch of small maps may be large at model size, so it is answered in parts.
+    step = max(1, CELLS_HELD // (target_h * target_w))
+    return F.arrow_udf(gather, "array<array<tinyint>>", F.ArrowUDFType.SCALAR_ITER)
 
 
 def channels(cells: Column) -> Column:
