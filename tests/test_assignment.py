@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from yieldlake.ml import models
 from yieldlake.ml.models import bootstrap_copies, stratified_bootstrap
-from yieldlake.profile import ContractError
+from yieldlake.profile import ContractError, Profile
 from yieldlake.wafer import groups
 
 RATIOS = np.array([0.7, 0.15, 0.15])
@@ -118,3 +119,19 @@ def test_bootstrap_draws_rows_as_often_as_chance_does(spark):
     # Not drawn, once and twice: exp(-1), exp(-1) and exp(-1) / 2 of all rows.
     assert (4000 - sum(shares.values())) / 4000 == pytest.approx(0.368, abs=0.02)
     assert shares[1] / 4000 == pytest.approx(0.368, abs=0.03) and shares[2] / 4000 == pytest.approx(0.184, abs=0.03)
+
+
+def test_repeats_share_one_draw(spark, monkeypatch):
+    """One join gives every repeat the copies that it would get alone; stable selection makes it once."""
+    df = spark.range(300).select(F.col("id").alias("row_id"), F.when(F.col("id") % 5 == 0, 1).otherwise(-1).alias("label"),
+                                 ((F.col("id") * 7) % 11 + F.col("id") % 5).cast("double").alias("sensor_a"),
+                                 ((F.col("id") * 3) % 13).cast("double").alias("sensor_b"))
+    together = {r.row_id: list(r.copies) for r in models.bootstrap_counts(df, "label", ["row_id"], [0, 1, 4], 11).collect()}
+    for place, repeat in enumerate((0, 1, 4)):
+        alone = {r.row_id: r.copies for r in bootstrap_copies(df, "label", ["row_id"], repeat, 11).collect()}
+        assert alone == {k: v[place] for k, v in together.items() if v[place]}
+    calls, draw = [], models.bootstrap_counts
+    monkeypatch.setattr(models, "bootstrap_counts", lambda *a: calls.append(a[3]) or draw(*a))
+    chosen = models.stable_selection(df, Profile("t", "label", -1, 1, feature_prefix="sensor_"), models.Candidate(
+        "s", selector="stable_forest", top_k=1, trees=3, repeats=3), ["sensor_a", "sensor_b"], ["row_id"])
+    assert calls == [[0, 1, 2]] and chosen[0]["bootstrap_repeats"] == 3

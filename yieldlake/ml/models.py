@@ -9,12 +9,12 @@ from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..profile import ContractError, Profile
-from ..scale import cut_lineage, remove_path, scratch_path, seeded_hash
+from ..scale import cut_lineage, remove_path, scratch_path, scratch_scope, seeded_hash
 from .preprocess import FeaturePrep, FeaturePrepModel, PrepStatistics
 
 # Leaf sizes and depth variants of the candidate families.
@@ -203,15 +203,11 @@ def averaged_gains(runs: list[list[tuple[str, float]]], features: list[str]) ->
     return sorted(means.items(), key=lambda x: (-x[1], features.index(x[0])))
 
 
-def bootstrap_copies(df: DataFrame, label: str, ids: list[str], repeat: int, seed: int) -> DataFrame:
-    """``df`` with ``copies``: how often each row is drawn when every class draws its own size with replacement.
+def _class_ranks(df: DataFrame, label: str, ids: list[str], seed: int) -> tuple[DataFrame, DataFrame]:
+    """``df`` with ``__rank``, a row's place within its class in a seeded hash order, and the class sizes.
 
-    A row's rank within its class is its place in a seeded hash order, found from counts per
-    hash prefix and the order within a prefix.  Each of a class's draws hashes to one rank;
-    draws are counted per rank before they meet the rows.  Rows that were not drawn and rows
-    without a label are left out; ``ids`` must identify a row.
+    A rank is found from counts per hash prefix and the order within a prefix; rows without a label are left out.
     """
-    spark = df.sparkSession
     hashed = df.where(F.col(label).isNotNull()).withColumn("__h", seeded_hash(ids, seed)).withColumn("__p", F.substring("__h", 1, 4))
     prefixes = hashed.groupBy(label, "__p").agg(F.count(F.lit(1)).alias("__n"))
     along = Window.partitionBy(label).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
@@ -220,36 +216,66 @@ def bootstrap_copies(df: DataFrame, label: str, ids: list[str], repeat: int, see
     within = Window.partitionBy(label, "__p").orderBy("__h", *ids)
     ranked = hashed.join(F.broadcast(offsets.drop("__n")), [label, "__p"]).withColumn(
         "__rank", F.col("__before") + F.row_number().over(within) - 1)
-    sizes = offsets.groupBy(label).agg(F.sum("__n").alias("__size"))
+    return ranked.select(*df.columns, "__rank"), offsets.groupBy(label).agg(F.sum("__n").alias("__size"))
+
+
+def bootstrap_counts(df: DataFrame, label: str, ids: list[str], repeats: list[int], seed: int) -> DataFrame:
+    """``df`` with ``copies``, an array: how often each of the ``repeats`` draws a row when every class draws its own size with replacement.
+
+    Each of a class's draws hashes to one rank; the draws of all repeats are counted per rank
+    before they meet the rows, once.  Rows that no repeat drew and rows without a label are
+    left out; ``ids`` must identify a row.
+    """
+    ranked, sizes = _class_ranks(df, label, ids, seed)
     most = sizes.agg(F.max("__size").alias("n")).first().n or 0
-    draws = spark.range(most).crossJoin(F.broadcast(sizes)).where("id < __size")  # one row a class
-    place = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(repeat)), F.col(label).cast("string"), F.col("id").cast("string")))
-    picked = draws.select(label, F.pmod(F.conv(F.substring(place, 1, 15), 16, 10).cast("bigint"), F.col("__size")).alias("__rank")).groupBy(
-        label, "__rank").agg(F.count(F.lit(1)).alias("copies"))
+    draws = df.sparkSession.range(most).crossJoin(F.broadcast(sizes)).where("id < __size").withColumn(  # one row a class
+        "__repeat", F.explode(F.array(*map(F.lit, repeats))))
+    place = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("__repeat").cast("string"), F.col(label).cast("string"), F.col("id").cast("string")))
+    picked = draws.select(
+        label, "__repeat", F.pmod(F.conv(F.substring(place, 1, 15), 16, 10).cast("bigint"), F.col("__size")).alias("__rank")).repartition(label, "__rank").groupBy(
+        label, "__rank").agg(F.array(*[F.count_if(F.col("__repeat") == r) for r in repeats]).alias("copies"))
     return ranked.join(picked, [label, "__rank"]).select(*df.columns, "copies")
 
 
+def bootstrap_copies(df: DataFrame, label: str, ids: list[str], repeat: int, seed: int) -> DataFrame:
+    """``df`` with ``copies``: how often one repeat of ``bootstrap_counts`` draws each row."""
+    return bootstrap_counts(df, label, ids, [repeat], seed).withColumn("copies", F.get("copies", F.lit(0)))
+
+
+def _repeated(drawn: DataFrame, copies: Column, columns: list[str]) -> DataFrame:
+    """Every row as often as ``copies`` says."""
+    return drawn.where(copies > 0).withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), copies))).select(*columns)
+
+
 def stratified_bootstrap(df: DataFrame, label: str, ids: list[str], repeat: int, seed: int) -> DataFrame:
     """Bootstrap rows: ``df`` with each row as often as ``bootstrap_copies`` draws it; every class keeps its size."""
-    drawn = bootstrap_copies(df, label, ids, repeat, seed)
-    return drawn.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies")))).select(*df.columns)
+    return _repeated(bootstrap_copies(df, label, ids, repeat, seed), F.col("copies"), df.columns)
 
 
 def stable_selection(df: DataFrame, profile: Profile, c: Candidate, features: list[str], ids: list[str]) -> list[dict]:
-    """Selection frequency and mean rank over bootstraps; a sensor removed in a bootstrap ranks last plus one."""
+    """Selection frequency and mean rank over bootstraps; a sensor removed in a bootstrap ranks last plus one.
+
+    The rows are written once with their copies in every bootstrap; each bootstrap reads them from there.
+    """
     kind = "forest" if c.selector == "stable_forest" else "gain"
     last = len(features) + 1
+    # Every class keeps its size, so all bootstraps have the class weights of the rows themselves.
+    weights = class_weight(df, profile, c.weight_mode)
+    columns = list(dict.fromkeys([*features, profile.label]))
 
-    def one(repeat: int) -> dict[str, tuple[int, float]]:
-        sample = stratified_bootstrap(df, profile.label, ids, repeat, c.seed)
+    def one(drawn: DataFrame, repeat: int) -> dict[str, tuple[int, float]]:
+        sample = _repeated(drawn, F.get("copies", F.lit(repeat)), columns)
         prep = FeaturePrep(features=features, missingThreshold=profile.missing_threshold,
-                           dropConstant=profile.drop_constant).fit(sample)
-        weights = class_weight(sample, profile, c.weight_mode)
+                           dropConstant=profile.drop_constant)
+        prep = prep.build(prep.statistics(sample, stored=True))
         model = _selector_model(replace(c, seed=c.seed + repeat), kind,
                                 prep.transform(with_target(sample, profile, weights)), weights["total"])
         return {n: (i, v) for i, (n, v) in enumerate(importances(model, prep.get("features")), 1)}
 
-    runs = run_all([lambda r=r: one(r) for r in range(c.repeats)])
+    with scratch_scope(df.sparkSession):
+        counted = bootstrap_counts(df.select(*dict.fromkeys([*ids, *columns])), profile.label, ids, list(range(c.repeats)), c.seed)
+        drawn = cut_lineage(counted.select(*columns, "copies"))
+        runs = run_all([lambda r=r: one(drawn, r) for r in range(c.repeats)])
     order = {f: i for i, f in enumerate(features)}
     table = []
     for f in features:

@@ -18,6 +18,7 @@ from ..functions.scalars import known, ratio, to_long_text
 from ..profile import ContractError
 from ..scale import cut_lineage
 
+WRITTEN_OUT = 32  # inputs whose preparation is one expression each
 MAX_LEVELS = 10_000  # slots that all categorical features together may add to the vector
 
 
@@ -47,8 +48,8 @@ class PrepStatistics:
 class FeaturePrep(Estimator, _PrepParams, DefaultParamsReadable, DefaultParamsWritable):
     """Quality filter, exact-median imputation, optional scaling, missing flags and one-hot encoding.
 
-    The inputs are written once; statistics and exact medians come from their batches whatever
-    the number of sensors, and one row per sensor reaches the driver.
+    The inputs are written once, unless they are stored; statistics and exact medians come from
+    their batches whatever the number of sensors, and one row per sensor reaches the driver.
     """
 
     @keyword_only
@@ -59,18 +60,21 @@ class FeaturePrep(Estimator, _PrepParams, DefaultParamsReadable, DefaultParamsWr
                          outputCol="features_vector")
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
-    def statistics(self, dataset: DataFrame) -> PrepStatistics:
-        """What fitting needs to know of the rows; it serves every scaling and missing mode."""
+    def statistics(self, dataset: DataFrame, stored: bool = False) -> PrepStatistics:
+        """What fitting needs to know of the rows; it serves every scaling and missing mode.
+
+        Rows that are ``stored`` already are read from where they are.
+        """
         names = self.getOrDefault("features")
-        stored = cut_lineage(dataset.select(*names))
-        columns = {r.feature: r for r in column_moments(stored, names).select(
+        rows = dataset.select(*names) if stored else cut_lineage(dataset.select(*names))
+        columns = {r.feature: r for r in column_moments(rows, names).select(
             "feature", F.col("row_count").alias("n"), F.col("seen_count").alias("seen"), "mean",
             ratio(F.col("m2"), F.col("value_count")).alias("var"), F.col("minimum").alias("low"),
             F.col("maximum").alias("high")).collect()}
         if not columns:
             raise ContractError("no rows to fit on")
         medians = {r.feature: (r.q[0] if r.q else 0.0) for r in column_quantiles(
-            stored, names, [0.5], name="q", stored=True).collect()}
+            rows, names, [0.5], name="q", stored=True).collect()}
         return PrepStatistics(columns, medians, *self._fit_categories(dataset))
 
     def _fit(self, dataset: DataFrame) -> FeaturePrepModel:
@@ -159,14 +163,21 @@ class FeaturePrepModel(Model, HasOutputCol, DefaultParamsReadable, DefaultParams
         return model
 
     def values(self):
-        """Array of prepared values: zipped with the fitted arrays, so the expression does not grow per statistic."""
+        """Array of prepared values.
+
+        Many inputs are zipped with the fitted arrays, so the expression does not grow per
+        statistic; few are written out, which Spark compiles.  Both give the same numbers.
+        """
         def numbers(name: str):
             return F.array(*[F.lit(float(v)) for v in self.get(name)])
 
-        names = self.get("features")
-        raw = F.array(*[known(F.col(f).cast("double")) for f in names])
-        filled = F.zip_with(raw, numbers("medians"), lambda x, m: F.coalesce(x, m))
-        out = F.zip_with(F.zip_with(filled, numbers("means"), lambda x, m: x - m), numbers("scales"), lambda x, s: x / s)
+        raw = [known(F.col(f).cast("double")) for f in self.get("features")]
+        if len(raw) <= WRITTEN_OUT:
+            fitted = zip(raw, self.get("medians"), self.get("means"), self.get("scales"))
+            out = F.array(*[(F.coalesce(x, F.lit(float(m))) - F.lit(float(c))) / F.lit(float(s)) for x, m, c, s in fitted])
+        else:
+            filled = F.zip_with(F.array(*raw), numbers("medians"), lambda x, m: F.coalesce(x, m))
+            out = F.zip_with(F.zip_with(filled, numbers("means"), lambda x, m: x - m), numbers("scales"), lambda x, s: x / s)
         if self.get("flags"):
             flags = [known(F.col(f).cast("double")).isNull().cast("double") for f in self.get("flags")]
             out = F.concat(out, F.array(*flags))
