@@ -248,3 +248,11 @@ def test_models_score_in_a_session_with_job_tags(spark, frame, classifier):
         assert model.score(frame).where("positive_score between 0 and 1").count() == 240
     finally:
         spark.removeTag("scoring")
+
+
+def test_stored_fold_rows_are_not_written_again(spark, frame, monkeypatch):
+    """Statistics of rows that are stored read them in place and equal those of written rows."""
+    written = models.prep_statistics(frame, PROFILE, ["sensor_a", "sensor_b"])
+    calls = []
+    monkeypatch.setattr("yieldlake.ml.preprocess.cut_lineage", calls.append)
+    assert models.prep_statistics(frame, PROFILE, ["sensor_a", "sensor_b"], True).medians == written.medians and not calls

@@ -56,16 +56,20 @@ class Scored:
 
 @dataclass
 class FoldRows:
-    """Rows stored once, and which of them fit and which evaluate a fold."""
+    """Rows stored once, and which of them fit and which evaluate a fold.
+
+    Statistics read rows that are ``stored`` where they are; of others they write what they need.
+    """
 
     rows: DataFrame
     fit: Callable[[int], Column]
     evaluation: Callable[[int], Column]
+    stored: bool = False
 
 
-def time_fold_rows(blocked: DataFrame, block: str = "block") -> FoldRows:
+def time_fold_rows(blocked: DataFrame, block: str = "block", stored: bool = False) -> FoldRows:
     """Fold i evaluates block i and fits on all earlier blocks."""
-    return FoldRows(blocked, lambda f: F.col(block) < f, lambda f: F.col(block) == f)
+    return FoldRows(blocked, lambda f: F.col(block) < f, lambda f: F.col(block) == f, stored)
 
 
 def cv_fold_rows(df: DataFrame, profile: Profile, ids: list[str], n_splits: int, n_repeats: int, seed: int) -> FoldRows:
@@ -75,7 +79,7 @@ def cv_fold_rows(df: DataFrame, profile: Profile, ids: list[str], n_splits: int,
     def home(f: int) -> Column:
         return F.get("__homes", F.lit((f - 1) // n_splits)) == (f - 1) % n_splits + 1
 
-    return FoldRows(placed, lambda f: ~home(f), home)
+    return FoldRows(placed, lambda f: ~home(f), home, True)
 
 
 def score_folds(members: FoldRows, profile: Profile, candidates: list[Candidate], features: list[str], ids: list[str],
@@ -95,7 +99,8 @@ def score_folds(members: FoldRows, profile: Profile, candidates: list[Candidate]
         return (tagged(scored, **tags), fit_record(model, spark, **tags, fit_role=role),
                 selection_rows(model, spark, **tags, fit_role=role, fit_id=f"{c.name}:{role}:{f}"))
 
-    known = dict(zip(folds, run_all([lambda f=f: prep_statistics(members.rows.where(members.fit(f)), profile, features) for f in folds])))
+    known = dict(zip(folds, run_all([lambda f=f: prep_statistics(
+        members.rows.where(members.fit(f)), profile, features, members.stored) for f in folds])))
     done = run_all([lambda c=c, f=f: job(c, f) for c in candidates for f in folds])
     chosen = [d[2] for d in done if d[2] is not None]
     return Scored(cut_lineage(union_all([d[0] for d in done])), union_all([d[1] for d in done]),
@@ -152,14 +157,14 @@ def compare_temporal(df: DataFrame, profile: Profile, candidates: list[Candidate
     blocked = cut_lineage(time_blocks(df, profile, outer_splits))
     outer = fold_membership(blocked, outer_splits).withColumnRenamed("fold", "outer_fold")
     folds = list(range(1, outer_splits + 1))
-    done = score_folds(time_fold_rows(blocked), profile, candidates, features, ids, "outer_fold", folds, role="outer_fit")
+    done = score_folds(time_fold_rows(blocked, stored=True), profile, candidates, features, ids, "outer_fold", folds, role="outer_fit")
     inner_parts, inner_fits = [], []
     for f in folds:
         past = blocked.where(F.col("block") < f)
         for mode in modes:
             if mode == "temporal_oof":
                 # Inner blocks are time cuts, a column of the stored rows.
-                members = time_fold_rows(time_blocks(past, profile, inner_splits, "inner_block"), "inner_block")
+                members = time_fold_rows(time_blocks(past, profile, inner_splits, "inner_block"), "inner_block", stored=True)
                 inner_folds = list(range(1, inner_splits + 1))
             else:
                 members = cv_fold_rows(past, profile, ids, settings.n_splits, 1, settings.seed)
@@ -225,7 +230,7 @@ def compare_recent_windows(df: DataFrame, profile: Profile, candidate: Candidate
     usable = facts_all.where("train_fail > 0 and train_fail < train_samples").collect()  # folds times windows
     since = {r.fold * 100000 + r.window_days: r.train_start for r in usable}
     every = FoldRows(blocked, lambda u: (F.col("block") < u // 100000) & (ts >= F.lit(since[u])),
-                     lambda u: F.col("block") == u // 100000)
+                     lambda u: F.col("block") == u // 100000, True)
     done = score_folds(every, profile, [candidate], features, ids, "unit", sorted(since))
     scored = metrics.binary_metrics(done.predictions, profile, SCORE, threshold, ["model_name", "unit"]).withColumns({
         "fold": F.floor(F.col("unit") / 100000).cast("int"), "window_days": (F.col("unit") % 100000).cast("int")})

@@ -288,10 +288,10 @@ def stable_selection(df: DataFrame, profile: Profile, c: Candidate, features: li
     return [{**t, "selection_rank": i, "feature_space": "raw_sensor"} for i, t in enumerate(table[:c.top_k], 1)]
 
 
-def prep_statistics(df: DataFrame, profile: Profile, features: list[str]) -> PrepStatistics:
+def prep_statistics(df: DataFrame, profile: Profile, features: list[str], stored: bool = False) -> PrepStatistics:
     """Statistics of fit rows that the preprocessing of all candidates shares."""
     return FeaturePrep(features=[f for f in features if f not in profile.categorical],
-                       categorical=[f for f in features if f in profile.categorical]).statistics(df)
+                       categorical=[f for f in features if f in profile.categorical]).statistics(df, stored)
 
 
 def fit(df: DataFrame, profile: Profile, c: Candidate, features: list[str], ids: list[str] | None = None,
