@@ -256,3 +256,29 @@ def test_stored_fold_rows_are_not_written_again(spark, frame, monkeypatch):
     calls = []
     monkeypatch.setattr("yieldlake.ml.preprocess.cut_lineage", calls.append)
     assert models.prep_statistics(frame, PROFILE, ["sensor_a", "sensor_b"], True).medians == written.medians and not calls
+
+
+def test_rows_of_running_sums_are_made_once(spark, spread, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    df = spark.range(50).select("id", F.lit(1).cast("bigint").alias("n")).mapInArrow(seen, "id bigint, n bigint")
+    from yieldlake.scale import running_sum
+    assert running_sum(df, [F.col("id")], ["n"]).agg(F.max("cum_n")).first()[0] == 50 and made.value == 50
+
+
+def test_fits_of_one_fold_share_counts_and_statistics(spark, frame, monkeypatch):
+    """Class weights and fixed inputs come from the shared statistics, without a pass over the rows."""
+    names = ["sensor_a", "sensor_b"]
+    known = models.prep_statistics(frame, PROFILE, names)
+    c = Candidate("f", "logistic_regression", selector="fixed", fixed=("sensor_a",), weight_mode="ratio", max_iter=5)
+    alone = fit(frame, PROFILE, c, names)
+    monkeypatch.setattr(models, "label_counts", lambda *_: pytest.fail("counted again"))
+    monkeypatch.setattr(models.FeaturePrep, "statistics", lambda *_: pytest.fail("read again"))
+    shared = fit(frame, PROFILE, c, names, known=known)
+    assert shared.weights == alone.weights and shared.prep.get("means") == alone.prep.get("means")
+    assert list(shared.model.coefficients) == list(alone.model.coefficients)

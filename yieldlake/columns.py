@@ -73,8 +73,9 @@ def _merged(a: tuple, b: tuple) -> tuple:
 
 def _batch_moments(numbers: np.ndarray, group: np.ndarray, count: int, finite: bool) -> tuple:
     """Per (group, column) of a batch: rows, known numbers, counted ones, mean, squared deviations, least, largest."""
-    order = np.argsort(group, kind="stable")
-    numbers, group = numbers[order], group[order]
+    if count > 1:
+        order = np.argsort(group, kind="stable")
+        numbers, group = numbers[order], group[order]
     starts = np.searchsorted(group, np.arange(count))
     known = ~np.isnan(numbers)
     used = np.isfinite(numbers) if finite else known
@@ -232,7 +233,7 @@ def _ordered(x: np.ndarray) -> np.ndarray:
 
 def _runs(cell: np.ndarray, x: np.ndarray, shift: int) -> tuple:
     """Counts of the known numbers ``x`` by cell and next bits, with the least and largest of each."""
-    order = np.lexsort((x, cell))
+    order = np.lexsort((x, cell)) if len(cell) and cell.min() < cell.max() else np.argsort(x)
     cell, x = cell[order], x[order] + 0.0
     digit = (_ordered(x) >> np.uint64(shift)) & np.uint64((1 << DIGIT) - 1)
     edge = np.flatnonzero((np.diff(cell, prepend=-1) != 0) | (np.diff(digit.astype(np.int64), prepend=-1) != 0))

@@ -198,10 +198,10 @@ def compare_temporal(df: DataFrame, profile: Profile, candidates: list[Candidate
 
 
 def compare_later_period(train: DataFrame, later: DataFrame, profile: Profile, candidates: list[Candidate],
-                         features: list[str], ids: list[str], threshold: float) -> DataFrame:
-    """Fit on Train, score a later period, one metric row per model under a fixed threshold."""
+                         features: list[str], ids: list[str], threshold: float, stored: bool = False) -> DataFrame:
+    """Fit on Train, score a later period, one metric row per model under a fixed threshold; ``stored`` rows are read in place."""
     rows = tagged(train, fold_role="fit").unionByName(tagged(later, fold_role="evaluation"))
-    members = FoldRows(rows, lambda f: F.col("fold_role") == "fit", lambda f: F.col("fold_role") == "evaluation")
+    members = FoldRows(rows, lambda f: F.col("fold_role") == "fit", lambda f: F.col("fold_role") == "evaluation", stored)
     done = score_folds(members, profile, candidates, features, ids, "period", [1])
     return metrics.binary_metrics(done.predictions, profile, SCORE, threshold, ["model_name"])
 

@@ -75,18 +75,24 @@ def build_classifier(c: Candidate, total_weight: float):
     raise ContractError(f"unknown classifier: {c.classifier}")
 
 
-def class_weight(df: DataFrame, profile: Profile, mode: str) -> dict[str, float]:
-    """Weights of both labels from the counts of the current fit rows."""
+def label_counts(df: DataFrame, profile: Profile) -> tuple[int, int]:
+    """Rows of the positive and the negative label."""
     label = F.col(profile.label)
     n = df.agg(F.count_if(label == F.lit(profile.positive)).alias("p"),
                F.count_if(label == F.lit(profile.negative)).alias("n")).first()
-    if not n.p or not n.n:
+    return n.p, n.n
+
+
+def class_weight(df: DataFrame, profile: Profile, mode: str, known: PrepStatistics | None = None) -> dict[str, float]:
+    """Weights of both labels from the counts of the current fit rows, which ``known`` may hold already."""
+    p, n = (known and known.labels) or label_counts(df, profile)
+    if not p or not n:
         raise ContractError("the fit rows need both labels")
     if mode == "balanced":
-        total = n.p + n.n
-        return {"positive": total / (2 * n.p), "negative": total / (2 * n.n), "rows": total, "total": float(total)}
-    ratio = {"none": 1.0, "sqrt_ratio": (n.n / n.p) ** 0.5, "ratio": n.n / n.p}[mode]
-    return {"positive": ratio, "negative": 1.0, "rows": n.p + n.n, "total": ratio * n.p + n.n}
+        total = p + n
+        return {"positive": total / (2 * p), "negative": total / (2 * n), "rows": total, "total": float(total)}
+    ratio = {"none": 1.0, "sqrt_ratio": (n / p) ** 0.5, "ratio": n / p}[mode]
+    return {"positive": ratio, "negative": 1.0, "rows": p + n, "total": ratio * p + n}
 
 
 def class_weight_table(df: DataFrame, profile: Profile, keys: list[str]) -> DataFrame:
@@ -185,7 +191,7 @@ def split_gains(model, names: list[str]) -> list[tuple[str, float]]:
 def weighted_gains(df: DataFrame, profile: Profile, c: Candidate, features: list[str],
                    known: PrepStatistics | None = None) -> list[tuple[str, float]]:
     """Split gains of a boosted model on these rows, with failures weighted by the class ratio of the same rows."""
-    weights = class_weight(df, profile, "ratio")
+    weights = class_weight(df, profile, "ratio", known)
     numeric = [f for f in features if f not in profile.categorical]
     prep = FeaturePrep(features=numeric, missingThreshold=profile.missing_threshold, dropConstant=profile.drop_constant).build(
         known or prep_statistics(df, profile, numeric))
@@ -289,21 +295,23 @@ def stable_selection(df: DataFrame, profile: Profile, c: Candidate, features: li
 
 
 def prep_statistics(df: DataFrame, profile: Profile, features: list[str], stored: bool = False) -> PrepStatistics:
-    """Statistics of fit rows that the preprocessing of all candidates shares."""
-    return FeaturePrep(features=[f for f in features if f not in profile.categorical],
-                       categorical=[f for f in features if f in profile.categorical]).statistics(df, stored)
+    """Statistics of fit rows that the preprocessing and the class weights of all candidates share."""
+    found = FeaturePrep(features=[f for f in features if f not in profile.categorical],
+                        categorical=[f for f in features if f in profile.categorical]).statistics(df, stored)
+    return replace(found, labels=label_counts(df, profile))
 
 
 def fit(df: DataFrame, profile: Profile, c: Candidate, features: list[str], ids: list[str] | None = None,
-        known: PrepStatistics | None = None) -> Fitted:
-    """Fit every stage on these rows only; ``known`` are their statistics where they were made before."""
-    weights = class_weight(df, profile, c.weight_mode)
+        known: PrepStatistics | None = None, stored: bool = False) -> Fitted:
+    """Fit every stage on these rows only; ``known`` are their statistics where they were made before, ``stored`` rows are read in place."""
+    known = known or prep_statistics(df, profile, features, stored)
+    weights = class_weight(df, profile, c.weight_mode, known)
     linear = c.classifier.startswith("logistic") or c.selector == "pca"
     numeric = [f for f in features if f not in profile.categorical]
     prep = FeaturePrep(
         features=numeric, missingThreshold=profile.missing_threshold, dropConstant=profile.drop_constant, scale=linear,
         indicators=c.missing_mode == "median_indicator",
-        categorical=[f for f in features if f in profile.categorical]).build(known or prep_statistics(df, profile, features))
+        categorical=[f for f in features if f in profile.categorical]).build(known)
     target = with_target(df, profile, weights)
     selected: list[dict] = []
     stages: list = []
@@ -335,7 +343,8 @@ def fit(df: DataFrame, profile: Profile, c: Candidate, features: list[str], ids:
         selected = stable_selection(df, profile, c, numeric, ids or [])
         prep = prep.keep([f for f in prep.get("features") if f in {s["feature"] for s in selected}])
     elif c.selector == "fixed":
-        prep = FeaturePrep(features=list(c.fixed), missingThreshold=1.0, dropConstant=False, scale=linear).fit(df)
+        fixed = FeaturePrep(features=list(c.fixed), missingThreshold=1.0, dropConstant=False, scale=linear)
+        prep = fixed.build(known) if set(c.fixed) <= set(known.medians) else fixed.fit(df)
         selected = [{"feature": n, "selection_rank": i, "selection_importance": None, "feature_space": "raw_sensor"}
                     for i, n in enumerate(c.fixed, 1)]
     elif c.selector == "pca":

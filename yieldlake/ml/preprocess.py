@@ -43,6 +43,7 @@ class PrepStatistics:
     medians: dict[str, float]
     modes: list[str]
     levels: list[str]
+    labels: tuple[int, int] | None = None  # rows of the positive and the negative label
 
 
 class FeaturePrep(Estimator, _PrepParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -101,7 +102,7 @@ class FeaturePrep(Estimator, _PrepParams, DefaultParamsReadable, DefaultParamsWr
             spreads.append(float(spread) if spread > 0 else 1.0)
         use_scale = self.getOrDefault("scale")
         flagged = [f for f in kept if stats[f].seen < stats[f].n] if self.getOrDefault("indicators") else []
-        modes, levels = known.modes, known.levels
+        modes, levels = (known.modes, known.levels) if self.getOrDefault("categorical") else ([], [])
         model = FeaturePrepModel()
         model._set(
             features=kept, medians=[float(medians[f]) for f in kept],

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import nan_to_null
 from ..profile import Profile
+from ..scale import cut_lineage
 
 SENSORS = ["sensor_0", "sensor_1", "sensor_2", "sensor_3", "sensor_4", "sensor_5"]
 SENSOR_PROFILE = Profile(
@@ -39,6 +40,11 @@ def sensor_frame(spark: SparkSession, folder: str) -> DataFrame:
         F.col("c_mktsegment").alias("machine"))
 
 
+def stored_sensor_frame(spark: SparkSession, folder: str) -> DataFrame:
+    """The sensor frame written once, for queries that read it many times: the join is made in one pass only."""
+    return cut_lineage(sensor_frame(spark, folder))
+
+
 def score_frame(spark: SparkSession, folder: str) -> DataFrame:
     """Sensor frame with a deterministic tied score and a fold number."""
     return sensor_frame(spark, folder).withColumn(
