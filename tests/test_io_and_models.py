@@ -258,6 +258,40 @@ def test_stored_fold_rows_are_not_written_again(spark, frame, monkeypatch):
     assert models.prep_statistics(frame, PROFILE, ["sensor_a", "sensor_b"], True).medians == written.medians and not calls
 
 
+def test_boosted_trees_fit_counted_bins(spark, tmp_path):
+    """Rows with equal bins and label become one weighted row: the trees are those of all rows, the fit is bounded."""
+    rows = [(i, float(i % 9), None if i % 4 == 0 else float(i % 5), 1 if i % 9 > 5 and i % 5 else -1) for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_id int, sensor_a double, sensor_b double, label int")
+    names = ["sensor_a", "sensor_b"]
+    c = Candidate("m", "boosted_trees", weight_mode="ratio", trees=3, depth=3)
+    known = models.prep_statistics(df, PROFILE, names, candidates=[c])
+    assert 10 < known.binned[1].count() < 100 and known.binned[1].agg(F.sum("__n")).first()[0] == 3000
+    model = fit(df, PROFILE, c, names, known=known)
+    prep = models.FeaturePrep(features=names).build(known)
+    weighted = models.with_target(df, PROFILE, model.weights)
+    plain = models.Fitted(c, prep, models.build_classifier(c, model.weights["total"]).fit(prep.transform(weighted)), model.weights)
+    both = model.score(df).select("row_id", F.col("positive_score").alias("a")).join(
+        plain.score(df).select("row_id", F.col("positive_score").alias("b")), "row_id")
+    assert both.where("abs(a - b) < 1e-9").count() == 3000
+    scorer = FrozenScorer.from_fit(model, PROFILE, 0.5, 5)
+    scorer.save(str(tmp_path / "scorer"))
+    assert FrozenScorer.load(str(tmp_path / "scorer")).score(df.select("row_id", *names), ["row_id"]).join(
+        both, "row_id").where("positive_score = a").count() == 3000
+
+
+def test_bins_of_many_values_keep_the_imputed_median_apart(spark):
+    df = spark.range(8000).select(F.when(F.col("id") % 2 == 0, F.pmod(F.col("id") * 7919, F.lit(8000)).cast("double")).alias("x"),
+                                  F.lit(1).alias("label"))
+    prep = models.FeaturePrep(features=["x"])
+    known = prep.statistics(df)
+    edges = models.bin_edges(known, df, ["x"])["x"]
+    assert len(edges) == 31 and edges == sorted(edges)
+    counts = {r.b: r["count"] for r in df.select(F.get(prep.build(known).binned({"x": edges}).values(), F.lit(0)).alias("b")).groupBy("b").count().collect()}
+    # Half of the rows are imputed; the others spread over the bins, of which the widest takes two steps.
+    largest = max(counts.values())
+    assert len(counts) == 32 and 4000 <= largest < 4100 and sorted(counts.values())[-2] < 300
+
+
 def test_rows_of_running_sums_are_made_once(spark, spread, tmp_path):
     made = spark.sparkContext.accumulator(0)
 

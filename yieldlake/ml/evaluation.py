@@ -100,7 +100,7 @@ def score_folds(members: FoldRows, profile: Profile, candidates: list[Candidate]
                 selection_rows(model, spark, **tags, fit_role=role, fit_id=f"{c.name}:{role}:{f}"))
 
     known = dict(zip(folds, run_all([lambda f=f: prep_statistics(
-        members.rows.where(members.fit(f)), profile, features, members.stored) for f in folds])))
+        members.rows.where(members.fit(f)), profile, features, members.stored, candidates) for f in folds])))
     done = run_all([lambda c=c, f=f: job(c, f) for c in candidates for f in folds])
     chosen = [d[2] for d in done if d[2] is not None]
     return Scored(cut_lineage(union_all([d[0] for d in done])), union_all([d[1] for d in done]),
@@ -110,7 +110,11 @@ def score_folds(members: FoldRows, profile: Profile, candidates: list[Candidate]
 def fold_gains(members: FoldRows, profile: Profile, c: Candidate, features: list[str], folds: list[int]) -> tuple[DataFrame, DataFrame]:
     """Class-weighted split gains ``(fold, feature, gain)`` of every fold's fit rows, and their average ``(feature, share, rank)``."""
     spark = members.rows.sparkSession
-    runs = run_all([lambda f=f: weighted_gains(members.rows.where(members.fit(f)), profile, c, features) for f in folds])
+    def run(f: int) -> list[tuple[str, float]]:
+        rows = members.rows.where(members.fit(f))
+        return weighted_gains(rows, profile, c, features, prep_statistics(rows, profile, features, members.stored))
+
+    runs = run_all([lambda f=f: run(f) for f in folds])
     rows = [(f, n, v) for f, run in zip(folds, runs) for n, v in run]
     mean = [(n, v, i) for i, (n, v) in enumerate(averaged_gains(runs, features), 1)]
     return (spark.createDataFrame(rows, "fold int, feature string, gain double"),

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import PCA, VectorSlicer
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..profile import ContractError, Profile
 from ..scale import cut_lineage, remove_path, scratch_path, scratch_scope, seeded_hash
-from .preprocess import FeaturePrep, FeaturePrepModel, PrepStatistics
+from .preprocess import WRITTEN_OUT, FeaturePrep, FeaturePrepModel, PrepStatistics, bin_edges
 
 # Leaf sizes and depth variants of the candidate families.
 LEAF_VARIANTS = {"random_forest_leaf3": 3, "random_forest_leaf5": 5}
@@ -162,6 +163,39 @@ def importances(model, names: list[str]) -> list[tuple[str, float]]:
     return sorted(pairs, key=lambda p: -abs(p[1]))
 
 
+def boosting(c: Candidate) -> bool:
+    """Whether a candidate fits boosted trees on its fit rows, as selector or as classifier."""
+    return c.classifier == "boosted_trees" or c.selector in ("gain", "weighted_gain")
+
+
+def counted_bins(df: DataFrame, profile: Profile, prep: FeaturePrepModel, count: Column | None = None) -> DataFrame:
+    """``(__slots, label, __n)``: how many rows have the same prepared slots and label."""
+    return df.groupBy(prep.values().alias("__slots"), F.col(profile.label)).agg(
+        F.sum(F.lit(1).cast("bigint") if count is None else count).alias("__n"))
+
+
+def boosting_rows(df: DataFrame, profile: Profile, prep: FeaturePrepModel, weights: dict[str, float],
+                  known: PrepStatistics, count: Column | None = None) -> tuple[FeaturePrepModel, DataFrame]:
+    """The preparation and the weighted rows that boosted trees are fitted on.
+
+    Spark's trees see an input through 32 bins only, and rows with equal bins and label have the same gradient in
+    every iteration: one row of their summed weight gives the same trees.  Their number is bounded by the bins.  Wide
+    rows, of which few are equal, stay as they are.
+    """
+    if len(prep.get("features")) > WRITTEN_OUT or not prep.get("features"):
+        rows = df if count is None else _repeated(df, count, [*prep.get("features"), *prep.get("categorical"), profile.label])
+        return prep, prep.transform(with_target(rows, profile, weights))
+    prep = prep.binned(known.edges or bin_edges(known, df, prep.get("features")))
+    names, rows = known.binned or ([], None)
+    if count is None and set(prep.slot_names()) <= set(names):
+        mine = F.array(*[F.get("__slots", F.lit(names.index(n))) for n in prep.slot_names()])
+        counted = rows.groupBy(mine.alias("__slots"), F.col(profile.label)).agg(F.sum("__n").alias("__n"))
+    else:
+        counted = counted_bins(df, profile, prep, count)
+    weighted = with_target(cut_lineage(counted), profile, weights).withColumn("__w", F.col("__w") * F.col("__n"))
+    return prep, weighted.withColumn(prep.get("outputCol"), array_to_vector("__slots"))
+
+
 def _selector_model(c: Candidate, kind: str, prepared: DataFrame, total_weight: float):
     common = {"featuresCol": "features_vector", "labelCol": "__y", "weightCol": "__w"}
     if kind == "forest":
@@ -193,9 +227,10 @@ def weighted_gains(df: DataFrame, profile: Profile, c: Candidate, features: list
     """Split gains of a boosted model on these rows, with failures weighted by the class ratio of the same rows."""
     weights = class_weight(df, profile, "ratio", known)
     numeric = [f for f in features if f not in profile.categorical]
-    prep = FeaturePrep(features=numeric, missingThreshold=profile.missing_threshold, dropConstant=profile.drop_constant).build(
-        known or prep_statistics(df, profile, numeric))
-    model = _selector_model(c, "gain", prep.transform(with_target(df, profile, weights)), weights["total"])
+    known = known or prep_statistics(df, profile, numeric)
+    prep = FeaturePrep(features=numeric, missingThreshold=profile.missing_threshold, dropConstant=profile.drop_constant).build(known)
+    _, rows = boosting_rows(df, profile, prep, weights, known)
+    model = _selector_model(c, "gain", rows, weights["total"])
     return split_gains(model, prep.slot_names())
 
 
@@ -270,12 +305,18 @@ def stable_selection(df: DataFrame, profile: Profile, c: Candidate, features: li
     columns = list(dict.fromkeys([*features, profile.label]))
 
     def one(drawn: DataFrame, repeat: int) -> dict[str, tuple[int, float]]:
-        sample = _repeated(drawn, F.get("copies", F.lit(repeat)), columns)
+        copies = F.get("copies", F.lit(repeat))
+        sample = _repeated(drawn, copies, columns)
         prep = FeaturePrep(features=features, missingThreshold=profile.missing_threshold,
                            dropConstant=profile.drop_constant)
-        prep = prep.build(prep.statistics(sample, stored=True))
-        model = _selector_model(replace(c, seed=c.seed + repeat), kind,
-                                prep.transform(with_target(sample, profile, weights)), weights["total"])
+        known = prep.statistics(sample, stored=True)
+        prep = prep.build(known)
+        if kind == "gain":
+            known = replace(known, edges=bin_edges(known, sample, prep.get("features")))
+            _, rows = boosting_rows(drawn.where(copies > 0), profile, prep, weights, known, copies)
+        else:
+            rows = prep.transform(with_target(sample, profile, weights))
+        model = _selector_model(replace(c, seed=c.seed + repeat), kind, rows, weights["total"])
         return {n: (i, v) for i, (n, v) in enumerate(importances(model, prep.get("features")), 1)}
 
     with scratch_scope(df.sparkSession):
@@ -294,11 +335,22 @@ def stable_selection(df: DataFrame, profile: Profile, c: Candidate, features: li
     return [{**t, "selection_rank": i, "feature_space": "raw_sensor"} for i, t in enumerate(table[:c.top_k], 1)]
 
 
-def prep_statistics(df: DataFrame, profile: Profile, features: list[str], stored: bool = False) -> PrepStatistics:
-    """Statistics of fit rows that the preprocessing and the class weights of all candidates share."""
+def prep_statistics(df: DataFrame, profile: Profile, features: list[str], stored: bool = False,
+                    candidates: Sequence[Candidate] = ()) -> PrepStatistics:
+    """Statistics of fit rows that the preprocessing and the class weights of all candidates share.
+
+    Where several of the ``candidates`` boost trees, these share the counted bins, too.
+    """
     found = FeaturePrep(features=[f for f in features if f not in profile.categorical],
                         categorical=[f for f in features if f in profile.categorical]).statistics(df, stored)
-    return replace(found, labels=label_counts(df, profile))
+    found = replace(found, labels=label_counts(df, profile))
+    numeric = [f for f in features if f not in profile.categorical]
+    if not any(map(boosting, candidates)) or len(numeric) > WRITTEN_OUT:
+        return found
+    prep = FeaturePrep(features=numeric, missingThreshold=profile.missing_threshold, dropConstant=profile.drop_constant).build(found)
+    edges = bin_edges(found, df, numeric)
+    return replace(found, edges=edges, binned=(
+        prep.slot_names(), cut_lineage(counted_bins(df, profile, prep.binned(edges)))))
 
 
 def fit(df: DataFrame, profile: Profile, c: Candidate, features: list[str], ids: list[str] | None = None,
@@ -319,7 +371,8 @@ def fit(df: DataFrame, profile: Profile, c: Candidate, features: list[str], ids:
         names = prep.slot_names()
         if c.top_k is not None and c.top_k > len(names):
             raise ContractError(f"Top-K of {c.top_k} exceeds {len(names)} features")
-        ranked = importances(_selector_model(c, c.selector, prep.transform(target), weights["total"]), names)
+        rows = boosting_rows(df, profile, prep, weights, known)[1] if c.selector == "gain" else prep.transform(target)
+        ranked = importances(_selector_model(c, c.selector, rows, weights["total"]), names)
         chosen = [p for p in ranked if p[1] != 0.0] if c.selector == "l1" else ranked[:c.top_k]
         selected = [{"feature": n, "selection_rank": i, "selection_importance": v,
                      "feature_space": "raw_sensor" if n in numeric else "transformed_feature"}
@@ -351,7 +404,10 @@ def fit(df: DataFrame, profile: Profile, c: Candidate, features: list[str], ids:
         prep._set(outputCol="all_features_vector")
         model, k = pca_to_variance(prep.transform(df), len(prep.slot_names()), c.pca_variance)
         stages = [model, VectorSlicer(inputCol="components", outputCol="features_vector", indices=list(range(k)))]
-    prepared = prep.transform(target)
+    if c.classifier == "boosted_trees" and not stages:
+        prep, prepared = boosting_rows(df, profile, prep, weights, known)
+    else:
+        prepared = prep.transform(target)
     for stage in stages:
         prepared = stage.transform(prepared)
     return Fitted(c, prep, without_summary(build_classifier(c, weights["total"]).fit(prepared)), weights, selected, stages)

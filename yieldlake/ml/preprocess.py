@@ -14,11 +14,13 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..columns import column_moments, column_quantiles
-from ..functions.scalars import known, ratio, to_long_text
+from ..functions.scalars import known as known_number, ratio, to_long_text
 from ..profile import ContractError
 from ..scale import cut_lineage
 
 WRITTEN_OUT = 32  # inputs whose preparation is one expression each
+BINS = 32  # bins of a binned input, as many as Spark's trees use
+EDGE_STEPS = 256  # quantiles from which the edges of the bins are taken
 MAX_LEVELS = 10_000  # slots that all categorical features together may add to the vector
 
 
@@ -26,6 +28,45 @@ def _one_hot(levels: Column, value: Column) -> Column:
     return F.transform(levels, lambda level: (level == value).cast("double"))
 
 
+def _bin(x: Column, edges: list[float], first: int = 0) -> Column:
+    """Number of edges below ``x``, found by halving."""
+    if not edges:
+        return F.lit(float(first))
+    half = len(edges) // 2
+    return F.when(x > F.lit(edges[half]), _bin(x, edges[half + 1:], first + half + 1)).otherwise(_bin(x, edges[:half], first))
+
+
+def bin_edges(known: PrepStatistics, rows: DataFrame, names: Sequence[str]) -> dict[str, list[float]]:
+    """At most 31 edges per input of the imputed ``rows``: midpoints of up to 32 values, otherwise quantiles.
+
+    Of an input that is imputed, the median has a bin of its own up to 1/256 of the rows.
+    The quantiles are those of ``approxQuantile`` with a rank error of 1/2000.
+    """
+    edges: dict[str, list[float]] = {f: [] for f in names}
+    names = [f for f in names if known.columns[f].seen]
+    found = dict(zip(names, rows.select(*[F.col(f).cast("double").alias(f) for f in names]).approxQuantile(
+        names, [i / EDGE_STEPS for i in range(EDGE_STEPS + 1)], 0.0005)))
+    for f in names:
+        median, imputed = known.medians[f], known.columns[f].seen < known.columns[f].n
+        points = set(found[f])
+        if len(points) <= BINS:
+            x = known_number(F.col(f).cast("double"))
+            few = rows.select(x.alias("x")).where("x is not null").distinct().limit(BINS + 1)  # at most 33 rows
+            points = {r.x for r in few.collect()} | ({median} if imputed else set())
+        if len(points) <= BINS:
+            ordered = sorted(points)
+            edges[f] = [(a + b) / 2 for a, b in zip(ordered, ordered[1:])]
+            continue
+        step = EDGE_STEPS // BINS
+        cuts = found[f][step:-1:step]
+        if imputed:
+            lower = [v for v in found[f] if v < median]
+            cuts[BINS // 2 - 1] = median
+            cuts[BINS // 2 - 2] = lower[-1] if lower else cuts[BINS // 2 - 2]
+        edges[f] = sorted(set(cuts))
+    return edges
+
+
 class _PrepParams(HasOutputCol):
     features = Param(Params._dummy(), "features", "numeric inputs in model order", TypeConverters.toListString)
     missingThreshold = Param(Params._dummy(), "missingThreshold", "removal above this share", TypeConverters.toFloat)
@@ -44,6 +85,8 @@ class PrepStatistics:
     modes: list[str]
     levels: list[str]
     labels: tuple[int, int] | None = None  # rows of the positive and the negative label
+    edges: dict[str, list[float]] | None = None  # of the bins, where boosted trees need them
+    binned: tuple[list[str], DataFrame] | None = None  # inputs and counted rows of these bins
 
 
 class FeaturePrep(Estimator, _PrepParams, DefaultParamsReadable, DefaultParamsWritable):
@@ -140,11 +183,13 @@ class FeaturePrepModel(Model, HasOutputCol, DefaultParamsReadable, DefaultParams
     categorical = Param(Params._dummy(), "categorical", "encoded text inputs", TypeConverters.toListString)
     modes = Param(Params._dummy(), "modes", "most frequent category", TypeConverters.toListString)
     levels = Param(Params._dummy(), "levels", "column=category of each slot", TypeConverters.toListString)
+    edges = Param(Params._dummy(), "edges", "edges of the bins of all kept inputs", TypeConverters.toListFloat)
+    edgeCounts = Param(Params._dummy(), "edgeCounts", "edges of each kept input; none: no bins", TypeConverters.toListInt)
 
     def __init__(self):
         super().__init__()
         self._setDefault(outputCol="features_vector", flags=[], removedMissing=[], removedConstant=[],
-                         categorical=[], modes=[], levels=[])
+                         categorical=[], modes=[], levels=[], edges=[], edgeCounts=[])
 
     def get(self, name: str):
         return self.getOrDefault(name)
@@ -163,6 +208,21 @@ class FeaturePrepModel(Model, HasOutputCol, DefaultParamsReadable, DefaultParams
                    **{k: [self.get(k)[place[n]] for n in chosen] for k in ("medians", "means", "scales")})
         return model
 
+    def binned(self, edges: dict[str, list[float]]) -> FeaturePrepModel:
+        """Same inputs as numbers of their bins; flags and categories stay as they are."""
+        model = self.copy()
+        model._set(edges=[float(e) for f in self.get("features") for e in edges[f]],
+                   edgeCounts=[len(edges[f]) for f in self.get("features")])
+        return model
+
+    def _bins(self) -> list[Column]:
+        out, start = [], 0
+        for f, median, size in zip(self.get("features"), self.get("medians"), self.get("edgeCounts")):
+            x = F.coalesce(known_number(F.col(f).cast("double")), F.lit(float(median)))
+            out.append(_bin(x, self.get("edges")[start:start + size]))
+            start += size
+        return out
+
     def values(self):
         """Array of prepared values.
 
@@ -172,15 +232,17 @@ class FeaturePrepModel(Model, HasOutputCol, DefaultParamsReadable, DefaultParams
         def numbers(name: str):
             return F.array(*[F.lit(float(v)) for v in self.get(name)])
 
-        raw = [known(F.col(f).cast("double")) for f in self.get("features")]
-        if len(raw) <= WRITTEN_OUT:
+        raw = [known_number(F.col(f).cast("double")) for f in self.get("features")]
+        if self.get("edgeCounts"):
+            out = F.array(*self._bins())
+        elif len(raw) <= WRITTEN_OUT:
             fitted = zip(raw, self.get("medians"), self.get("means"), self.get("scales"))
             out = F.array(*[(F.coalesce(x, F.lit(float(m))) - F.lit(float(c))) / F.lit(float(s)) for x, m, c, s in fitted])
         else:
             filled = F.zip_with(F.array(*raw), numbers("medians"), lambda x, m: F.coalesce(x, m))
             out = F.zip_with(F.zip_with(filled, numbers("means"), lambda x, m: x - m), numbers("scales"), lambda x, s: x / s)
         if self.get("flags"):
-            flags = [known(F.col(f).cast("double")).isNull().cast("double") for f in self.get("flags")]
+            flags = [known_number(F.col(f).cast("double")).isNull().cast("double") for f in self.get("flags")]
             out = F.concat(out, F.array(*flags))
         for column, mode in zip(self.get("categorical"), self.get("modes")):
             mine = F.array(*[F.lit(s.split("=", 1)[1]) for s in self.get("levels") if s.split("=", 1)[0] == column])
