@@ -113,3 +113,32 @@ def test_values_count_each_distinct_number_once(spark):
     got = sorted(((r.feature, r.bits, r.text, r.n) for r in column_values(df, ["x"], ["t"]).where("bits is not null or text is not null").collect()), key=lambda x: (x[0], x[3]))
     assert [(f, n) for f, _, _, n in got] == [("t", 3), ("t", 6), ("t", 6), ("x", 6), ("x", 6)]
     assert {(r.feature, r.n) for r in column_values(df, ["x"], ["t"]).where("bits is null and text is null").collect()} == {("x", 6), ("t", 3)}
+
+
+@pytest.mark.parametrize("keys", [[], ["k"]])
+def test_correlations_look_their_ranks_up_once(spark, monkeypatch, keys):
+    """The rows that met their ranks are read by one pass: the means come from the ranked values."""
+    from yieldlake.operators import distribution
+
+    looked_up = spark.sparkContext.accumulator(0)
+    join = distribution.lookup_join
+
+    def seen(batches):
+        for batch in batches:
+            looked_up.add(batch.num_rows)
+            yield batch
+
+    def counted(*args):
+        out = join(*args)
+        return out.mapInArrow(seen, out.schema)
+
+    rows = [(i % 3, float(i % 17), float((i * 7) % 23)) for i in range(300)]
+    df = spark.createDataFrame(rows, "k int, a double, b double")
+    monkeypatch.setattr(distribution, "lookup_join", counted)
+    got = {(r.method, r["k"] if keys else None): r.correlation for r in distribution.correlations(df, ["a", "b"], keys).collect()}
+    assert looked_up.value == 2 * len(set(r if keys else r[1:] for r in rows))
+    for (method, k), value in got.items():
+        a, b = (np.array([r[i] for r in rows if k is None or r[0] == k]) for i in (1, 2))
+        if method == "spearman":
+            a, b = (np.array([(x < v).sum() + ((x == v).sum() - 1) / 2 for v in x]) for x in (a, b))
+        assert value == pytest.approx(np.corrcoef(a, b)[0, 1], abs=1e-12)

@@ -119,9 +119,9 @@ def correlations(df: DataFrame, columns: list[str], keys: list[str] | None = Non
         mine = ranked.where(F.col("pos") == i).select(value_key("v").alias("__value"), F.col("rank").alias(f"__r{i}"), F.col("n").alias("__n"))
         wide = lookup_join(wide.withColumn("__value", value_key(c)), mine, "__value", "__n").drop("__value", "__n")
     pairs = list(combinations(range(len(columns)), 2))
-    # Centring on the group means keeps the second moments accurate for large ranks.
-    means = _means(wide, columns, keys)
-    wide = join_on(wide, means, keys)
+    # Centring on the group means keeps the second moments accurate for large ranks; the ranked values give the
+    # means, so that the looked up rows are read by one pass only.
+    wide = join_on(wide, _means(ranked, columns, keys), keys)
     aggs = [F.sum("w").alias("rows"), *[(F.min(c) == F.max(c)).alias(f"__same{i}") for i, c in enumerate(columns)]]
     for i, j in pairs:
         for method, a, b in (("p", f"__c{i}", f"__c{j}"), ("s", f"__d{i}", f"__d{j}")):
@@ -146,9 +146,11 @@ def correlations(df: DataFrame, columns: list[str], keys: list[str] | None = Non
     return sums.select(*keys, "rows", F.inline(F.array(*cells)))
 
 
-def _means(wide: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
-    """Weighted means of values and ranks per key."""
-    return wide.groupBy(*keys).agg(*[
-        m for i, c in enumerate(columns) for m in (
-            (F.sum(F.col("w") * F.col(c)) / F.sum("w")).alias(f"__m{i}"),
-            (F.sum(F.col("w") * F.col(f"__r{i}")) / F.sum("w")).alias(f"__n{i}"))])
+def _means(ranked: DataFrame, columns: list[str], keys: list[str]) -> DataFrame:
+    """Means of values and ranks per key, from how often each value of a column occurs."""
+    def mean(value: str, i: int):
+        mine = F.col("pos") == i
+        return F.sum(F.when(mine, F.col("n") * F.col(value))) / F.sum(F.when(mine, F.col("n")))
+
+    return ranked.groupBy(*keys).agg(*[
+        m for i in range(len(columns)) for m in (mean("v", i).alias(f"__m{i}"), mean("rank", i).alias(f"__n{i}"))])
