@@ -233,6 +233,59 @@ def test_fitting_signatures_bound_the_overlap():
         assert may or not ngram_join.similar(len(left), len(right), len(np.intersect1d(left, right)))
 
 
+def test_tokens_of_the_same_sets_are_one(spark):
+    rows = [(t, f, t % 7) for t in range(100, 140) for f in ((1, 2) if t % 2 else (1, 2, 3))] + [(900, 4, 0), (901, 4, 1), (901, 5, 1), (901, 5, 2)]
+    got = ngram_join.shared_tokens(spark.createDataFrame(rows, "token bigint, f1 bigint, rank tinyint")).collect()
+    held = {}
+    for r in got:
+        held.setdefault((r.token, r.rows), []).append((r.f1, r["rank"]))
+    assert sorted((n, sorted(v)) for (_, n), v in held.items()) == [(2, [(1, 0), (2, 0)]), (2, [(4, 1), (5, 1)]), (3, [(1, 0), (2, 0), (3, 0)])]
+
+
+def test_a_pair_is_compared_by_one_token_that_both_name():
+    rng = np.random.default_rng(4)
+    once = 0
+    for _ in range(300):
+        both, a, b = (rng.integers(-(1 << 63), ngram_join.NO_TOKEN, n) for n in rng.integers(1, 12, 3))
+        low = [np.concatenate((np.unique(np.concatenate((both, x))), [ngram_join.NO_TOKEN] * ngram_join.LOWEST))[None, :ngram_join.LOWEST] for x in (a, b)]
+        met = ngram_join.met_here(both, low[0].repeat(len(both), 0), low[1].repeat(len(both), 0))
+        agreed = np.intersect1d(low[0][low[0] != ngram_join.NO_TOKEN], low[1])
+        assert met.sum() == 1 if len(agreed) else met.all()
+        once += len(agreed) > 0 and len(both) > 1
+    assert once > 100
+
+
+def test_pairs_of_many_common_tokens_are_made_once(spark, monkeypatch):
+    """60 sets, each a cluster of its own, that lack a few of 200 tokens each: nearly every token has other sets."""
+    rng = np.random.default_rng(9)
+    sets = [np.sort(rng.choice(200, 190, replace=False)) for _ in range(60)]
+    words = [np.frombuffer(ngram_join.signature(s.astype(np.uint64)), np.uint64) for s in sets]
+    rows = np.array([(t, f) for t in range(200) for f in range(60) if t in sets[f]])
+    token, owner = rows[:, 0].copy(), rows[:, 1].copy()
+    yes, sizes = np.ones(len(rows), bool), np.full(len(rows), 190)
+    lowest = np.stack([s[:ngram_join.LOWEST] for s in sets])[owner]
+    made = [(owner[a], owner[b]) for x, y in ngram_join.tile_candidates(token, yes, yes, sizes, owner, np.stack(words)[owner], token, lowest)
+            for a, b in zip(x, y)]
+    every = set(itertools.combinations(range(60), 2))
+    assert {(min(p), max(p)) for p in made} == every and len(made) < 2 * len(every)  # each token of a pair made it before, some 180
+    monkeypatch.setattr(ngram_join, "TILE_SIDE", 16)
+    shared = ngram_join.shared_tokens(spark.createDataFrame([(int(t), i, 0) for i, s in enumerate(sets) for t in s], "token bigint, f1 bigint, rank tinyint"))
+    classes = spark.createDataFrame([(i, 190, i, bytearray(w.tobytes()), None) for i, w in enumerate(words)],
+                                    "f1 bigint, n int, cluster bigint, bits binary, fit binary")
+    assert {(r.a, r.b) for r in ngram_join.tile_pairs(shared, classes).collect()} == every
+
+
+def test_signatures_with_more_room_tell_more_sets_apart():
+    rng = np.random.default_rng(13)
+    passed = {1: 0, ngram_join.FINE_ROOM: 0}
+    for _ in range(100):
+        both, a, b = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (240, 60, 60))  # two thirds in common
+        for room in passed:
+            marks = [np.frombuffer(ngram_join.fitting_signature(np.concatenate((both, x)), room), np.uint64) for x in (a, b)]
+            passed[room] += ngram_join.fitting_bound(300, 300, *marks)
+    assert passed[1] > 90 and passed[ngram_join.FINE_ROOM] < 10
+
+
 def test_prefix_length_is_exact():
     for n in range(1, 300):
         assert ngram_join.prefix_length(n) == n - -(-3 * n // 4) + 1

@@ -3,9 +3,11 @@
 1. Each text becomes a set of shingle hashes; equal sets are one class.
 2. Sets with similarity t share a token among the first ``n - ceil(t n) + 1`` of any fixed
    order.  The order here is by hash, with tokens that many sets have put last.
+   Tokens that the same sets have are one token from there on.
 3. Sets that share a prefix token meet in its tiles, where sizes are kept within the band
    that t allows and bitmap signatures bound the overlap from above: a bit that differs
-   stands for at least one shingle that is not shared.
+   stands for at least one shingle that is not shared.  Of the tokens that two sets share,
+   the first that both name among their smallest compares them.
 4. Pairs that pass are verified by intersecting the sorted arrays.
 
 Groups of many near copies would make all their pairs: so each shared token first compares
@@ -16,6 +18,8 @@ of different clusters.  No pair of clusters is lost.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +39,9 @@ LONG_SET = SIGNATURE_WORDS * 64 * 2 // 3  # sets of more shingles also have a si
 LEADERS = 4  # sets of a token that its other sets are compared with before tiles
 LEADER_TOKENS = 6  # tokens of a set that are compared with their leaders
 SEED_TOKENS = 3
+LOWEST = 4  # smallest tokens that a set names in tiles
+NO_TOKEN = (1 << 63) - 1  # in place of a smallest token where a set has fewer
+FINE_ROOM = 4  # how much more room signatures have that sort out the pairs of tiles
 ID_BROADCAST = 100_000
 
 
@@ -55,9 +62,9 @@ def signature(shingles: np.ndarray, size: int = SIGNATURE_WORDS * 64) -> bytes:
     return np.packbits(bits).tobytes()
 
 
-def fitting_signature(shingles: np.ndarray) -> bytes:
+def fitting_signature(shingles: np.ndarray, room: int = 1) -> bytes:
     """Bitmap with room for a set of any size; half of it folds onto the other for comparison with a shorter one."""
-    return signature(shingles, 1 << max(6, int(len(shingles) * 3 // 2).bit_length()))
+    return signature(shingles, 1 << max(6, int(len(shingles) * room * 3 // 2).bit_length()))
 
 
 def fitting_bound(size_a: int, size_b: int, bits_a: np.ndarray, bits_b: np.ndarray) -> bool:
@@ -76,12 +83,27 @@ def bounded(left_size, right_size, left_words: np.ndarray, right_words: np.ndarr
     return similar(left_size, right_size, np.minimum((left_size + right_size - apart) // 2, np.minimum(left_size, right_size)))
 
 
-def tile_candidates(tile: np.ndarray, square: np.ndarray, first: np.ndarray, sizes: np.ndarray, clusters: np.ndarray, words: np.ndarray):
+def met_here(token: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Which pairs of sets this token compares: all but those whose smallest tokens agree first on another one.
+
+    ``left`` and ``right`` hold the ``LOWEST`` smallest tokens of the sets of each pair, in order.  Both sets have the
+    token that they agree on, so they meet in its tiles.
+    """
+    agreed = np.full(len(token), NO_TOKEN, np.int64)
+    for k in range(left.shape[1] - 1, -1, -1):
+        named = left[:, k]
+        agreed = np.where((right == named[:, None]).any(axis=1), named, agreed)
+    return (agreed == NO_TOKEN) | (agreed == token)
+
+
+def tile_candidates(tile: np.ndarray, square: np.ndarray, first: np.ndarray, sizes: np.ndarray, clusters: np.ndarray, words: np.ndarray,
+                    token: np.ndarray, lowest: np.ndarray):
     """Positions ``(a, b)`` of rows that share a tile and may link, of different clusters.
 
     ``tile`` numbers the tiles of the rows, in order; rows of a tile are ordered by size.
     All pairs of a ``square`` tile count; of another, those of a ``first`` row with one of
-    the second side.  A row is only paired within its size band.
+    the second side.  A row is only paired within its size band, and a pair that another
+    of its tokens compares is left to that one.
     """
     count = len(tile)
     ends = np.searchsorted(tile, tile, "right")
@@ -98,6 +120,8 @@ def tile_candidates(tile: np.ndarray, square: np.ndarray, first: np.ndarray, siz
         right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(own) - own, own)
         keep = (clusters[left] != clusters[right]) & (square[left] | (first[left] != first[right]))
         left, right = left[keep], right[keep]
+        keep = met_here(token[left], lowest[left], lowest[right])
+        left, right = left[keep], right[keep]
         good = bounded(sizes[left], sizes[right], words[left], words[right])
         yield left[good], right[good]
         start = stop
@@ -178,7 +202,11 @@ def hot_tokens(docs: DataFrame, key: str, text: str) -> np.ndarray:
 
 
 def shared_tokens(tokens: DataFrame) -> DataFrame:
-    """Rows ``(token, f1, rank, rows)`` of tokens that at least two different sets have; equal sets count once."""
+    """Rows ``(token, f1, rank, rows)`` of tokens that at least two different sets have; equal sets count once.
+
+    Tokens of the same sets would compare the same pairs, so they become one token, named by a hash of its sets and
+    with the least rank of each.  Should two hashes be equal, the sets of both are compared.
+    """
     def run(batches):
         import pyarrow as pa
         rest = [np.zeros(0, np.int64)] * 2 + [np.zeros(0, np.int8)]
@@ -196,7 +224,9 @@ def shared_tokens(tokens: DataFrame) -> DataFrame:
             sizes = np.diff(np.concatenate((starts, [len(t)])))
             rows = np.repeat(sizes, sizes)
             keep = rows > 1
-            out = pa.RecordBatch.from_arrays([pa.array(t[keep]), pa.array(o[keep]), pa.array(r[keep]), pa.array(rows[keep].astype(np.int64))],
+            owners = np.add.reduceat(mix(o.view(np.uint64)), starts) if len(t) else np.zeros(0, np.uint64)
+            named = np.repeat(mix(owners + sizes.astype(np.uint64)).view(np.int64), sizes)
+            out = pa.RecordBatch.from_arrays([pa.array(named[keep]), pa.array(o[keep]), pa.array(r[keep]), pa.array(rows[keep].astype(np.int64))],
                                              ["token", "f1", "rank", "rows"])
             return out, [c[end:] for c in columns]
 
@@ -211,7 +241,8 @@ def shared_tokens(tokens: DataFrame) -> DataFrame:
 
     count = int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return tokens.repartition(count, "token").sortWithinPartitions("token", "f1").mapInArrow(
-        run, "token bigint, f1 bigint, rank tinyint, rows bigint")
+        run, "token bigint, f1 bigint, rank tinyint, rows bigint").groupBy("token", "f1").agg(
+        F.min("rank").alias("rank"), F.max("rows").alias("rows"))
 
 
 def seed_pairs(shared: DataFrame) -> DataFrame:
@@ -261,10 +292,13 @@ def _encoded_sets(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: st
         run, "id bigint, f1 bigint, n bigint, code binary"))
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Pairs whose sorted shingle arrays intersect enough, as class ids ``(u, v)`` with ``u > v``."""
+def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, key: str, text: str, room: int = 1) -> DataFrame:
+    """Pairs whose sorted shingle arrays intersect enough, as class ids ``(u, v)`` with ``u > v``.
+
+    Signatures of more ``room`` sort out more pairs before their arrays are read.
+    """
     pairs = cut_lineage(pairs)
-    marks = _encoded_sets(pairs, classes, docs, key, text, fitting_signature)
+    marks = _encoded_sets(pairs, classes, docs, key, text, partial(fitting_signature, room=room))
 
     def bound(batches):
         import pyarrow as pa
@@ -343,10 +377,11 @@ def _whole_groups(batches, names: tuple[str, ...], rows: int):
 
 
 def _mixed_tokens(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """Rows ``token, f1, rows`` of the tokens whose sets lie in more than one cluster."""
+    """Rows ``token, f1, rows`` of the tokens whose sets lie in more than one cluster; ``rows`` is one number a token."""
     grouped = shared.select("token", "f1", "rows").join(classes.select("f1", "cluster"), "f1")
-    mixed = grouped.groupBy("token").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi")).where("lo <> hi").select("token")
-    return grouped.drop("cluster").join(mixed, "token", "left_semi")
+    mixed = grouped.groupBy("token").agg(F.min("cluster").alias("lo"), F.max("cluster").alias("hi"), F.max("rows").alias("rows")).where(
+        "lo <> hi").select("token", "rows")
+    return grouped.select("token", "f1").join(mixed, "token")
 
 
 def leader_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
@@ -394,14 +429,18 @@ def tile_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs ``(a, b)`` of sets of different clusters that share a prefix token and pass size and signatures.
 
     ``classes`` has ``f1, n, bits, fit, cluster``.  Tokens of a single cluster are left out.  A
-    token's rows are dealt to tiles of about TILE_SIDE rows a side.
+    token's rows are dealt to tiles of about TILE_SIDE rows a side, each with the LOWEST smallest tokens of its set.
     """
     blocks = F.ceil(F.col("rows") / TILE_SIDE).cast("int")
     met = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(
         F.least(F.col("block"), o).alias("i"), F.greatest(F.col("block"), o).alias("j")))
-    dealt = _mixed_tokens(shared, classes).join(classes.select(*_ROW), "f1").withColumn("blocks", blocks).withColumn(
+    lows = [f"low{k}" for k in range(LOWEST)]
+    # A list holds one set's prefix at most.
+    held = _mixed_tokens(shared, classes).groupBy("f1").agg(F.sort_array(F.collect_list(F.struct("token", "rows"))).alias("held"))
+    named = [F.coalesce(F.get("held.token", F.lit(k)), F.lit(NO_TOKEN)).alias(c) for k, c in enumerate(lows)]
+    dealt = held.join(classes.select(*_ROW), "f1").select(*_ROW, *named, F.inline("held")).withColumn("blocks", blocks).withColumn(
         "block", F.pmod(F.xxhash64("f1"), F.col("blocks")).cast("int")).withColumn(
-        "tile", F.explode(met)).select("token", "tile.i", "tile.j", "block", *_ROW)
+        "tile", F.explode(met)).select("token", "tile.i", "tile.j", "block", *lows, *_ROW)
 
     def run(batches):
         for table in _whole_groups(batches, ("token", "i", "j"), 1 << 12):
@@ -409,7 +448,8 @@ def tile_pairs(shared: DataFrame, classes: DataFrame) -> DataFrame:
             tile = np.cumsum(np.concatenate(([0], (token[1:] != token[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]))))
             rows = _Block(table)
             block = table.column("block").to_numpy()
-            for x, y in tile_candidates(tile, i == j, block == i, rows.sizes, rows.clusters, rows.words):
+            lowest = np.stack([table.column(c).to_numpy() for c in lows], axis=1)
+            for x, y in tile_candidates(tile, i == j, block == i, rows.sizes, rows.clusters, rows.words, token, lowest):
                 yield rows.linked(x, y)
 
     count = int(shared.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -448,7 +488,7 @@ def _similar_documents(docs: DataFrame, key: str, text: str) -> DataFrame:
     marked = _clustered(classes, seeds)
     seeds = cut_lineage(seeds.unionByName(verified(leader_pairs(shared, marked), classes, docs, key, text)).distinct())
     release_shuffles(docs.sparkSession)
-    links = verified(tile_pairs(shared, _clustered(classes, seeds)), classes, docs, key, text)
+    links = verified(tile_pairs(shared, _clustered(classes, seeds)), classes, docs, key, text, FINE_ROOM)
     # Rows of one class link; so do classes of rows that share a key.
     roots = connected(seeds.unionByName(links).distinct())
     named = classes.join(roots.select(F.col("u").alias("id"), F.col("v").alias("root")), "id", "left").select(
