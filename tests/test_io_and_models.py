@@ -279,6 +279,16 @@ def test_boosted_trees_fit_counted_bins(spark, tmp_path):
         both, "row_id").where("positive_score = a").count() == 3000
 
 
+def test_weight_and_depth_grid_boosts_all_trees(spark, monkeypatch):
+    plans = importlib.import_module("yieldlake.plans.model_queries")
+    grid = []
+    monkeypatch.setattr(plans.evaluation, "compare_later_period", lambda *args, **_: grid.extend(args[3]))
+    plans.weight_and_depth_grid(spark, "/root/testdata/sf0.001")
+    built = [models.build_classifier(c, 1.0) for c in grid]
+    assert [(b.getMaxIter(), b.getMaxDepth()) for b in built] == [(300, 5)] * 3 + [(300, 2)] * 3
+    assert [c.weight_mode for c in grid] == ["none", "sqrt_ratio", "ratio"] * 2
+
+
 def test_bins_of_many_values_keep_the_imputed_median_apart(spark):
     df = spark.range(8000).select(F.when(F.col("id") % 2 == 0, F.pmod(F.col("id") * 7919, F.lit(8000)).cast("double")).alias("x"),
                                   F.lit(1).alias("label"))

@@ -198,8 +198,9 @@ def sensor_count_curve(spark, folder):
 
 @query("L3")
 def weight_and_depth_grid(spark, folder):
+    """Two depths under three weight modes; every fit boosts all 300 trees of the weight comparison."""
     train, later = _parts(spark, folder)
-    grid = weight_grid(Candidate("boosted", "boosted_trees", trees=2))
+    grid = weight_grid(Candidate("boosted", "boosted_trees", trees=300))
     return evaluation.compare_later_period(train, later, NUMERIC_PROFILE, grid, SENSORS, IDS, 0.3, stored=True)
 
 
